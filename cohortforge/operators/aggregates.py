@@ -48,7 +48,7 @@ def crosstab_long(df: DataFrame, row: str, col: str, col_values: Sequence | None
     if col_values is None:
         col_values = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).collect()]
     names = [f"_v{i}" for i in range(len(col_values))]
-    wide = df.where(F.col(row).isNotNull()).groupBy(row).pivot(col, list(col_values)).agg(F.count("*"))
+    wide = df.where(F.col(row).isNotNull()).groupBy(row).pivot(col, list(col_values)).agg(F.count(F.lit(1)))
     wide = wide.toDF(row, *names).na.fill(0, subset=names)
     pairs = [F.struct(F.lit(v).alias(col), F.col(n).alias("n")) for v, n in zip(col_values, names)]
     return wide.select(row, F.explode(F.array(*pairs)).alias("_p")).select(row, "_p.*")

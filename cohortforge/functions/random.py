@@ -52,3 +52,9 @@ def uniform_int(u: Column, lo: Column | int, hi: Column | int) -> Column:
     lo_c = lo if isinstance(lo, Column) else F.lit(lo)
     hi_c = hi if isinstance(hi, Column) else F.lit(hi)
     return (lo_c + F.floor(u * (hi_c - lo_c + 1))).cast("int")
+
+
+def py_uniform(tag, key) -> float:
+    """The same draw computed in Python (for scalar parameters such as a systematic offset)."""
+    import hashlib
+    return int(hashlib.md5(f"{tag}|{key}".encode()).hexdigest()[:8], 16) / TWO_POW_32

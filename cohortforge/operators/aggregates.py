@@ -54,10 +54,11 @@ def crosstab_long(df: DataFrame, row: str, col: str, col_values: Sequence | None
     return wide.select(row, F.explode(F.array(*pairs)).alias("_p")).select(row, "_p.*")
 
 
-def crosstab_rownorm(df: DataFrame, row: str, col: str, col_values: Sequence | None = None) -> DataFrame:
+def crosstab_rownorm(df: DataFrame, row: str, col: str, col_values: Sequence | None = None, digits: int | None = 6) -> DataFrame:
     g = crosstab_long(df, row, col, col_values)
     tot = F.sum("n").over(Window.partitionBy(row))
-    return g.select(row, col, "n", r6(F.when(tot > 0, F.col("n") / tot)).alias("share"))
+    share = F.when(tot > 0, F.col("n") / tot)
+    return g.select(row, col, "n", (F.round(share, digits) if digits is not None else share).alias("share"))
 
 
 def crosstab_truncate(ct: DataFrame, row: str, col: str, keep_rows: int = 2, keep_cols: int = 2) -> DataFrame:

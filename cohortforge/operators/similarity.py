@@ -74,3 +74,50 @@ def js_by_group(real: DataFrame, synth: DataFrame, group_cols: str | Sequence[st
         "N_real", "N_synth", "TOTAL",
         r6(F.col("TOTAL") / grand).alias("PERCENTAGE"),
     )
+
+
+def stack_features(df: DataFrame, cols: Sequence[str], feature: str = "FEATURE", value: str = "CATEGORY") -> DataFrame:
+    """Unpivot columns to (FEATURE, CATEGORY) rows as strings (nulls kept as null categories)."""
+    arr = F.array(*[F.struct(F.lit(c).alias(feature), F.col(c).cast("string").alias(value)) for c in cols])
+    return df.select(F.explode(arr).alias("_s")).select("_s.*")
+
+
+def js_report(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Similarity per feature for several columns at once: one unpivot, one shuffle for all features."""
+    a = stack_features(real, cols)
+    b = stack_features(synth, cols)
+    per = js_from_counts(side_counts(a, b, ["FEATURE"], "CATEGORY"), ["FEATURE"])
+    return per.select(F.col("FEATURE").alias("Feature"), r6(similarity_from_distance(F.col("js"))).alias("Similarity"))
+
+
+def js_similarity(real: DataFrame, synth: DataFrame, col: str) -> DataFrame:
+    return js_report(real, synth, [col])
+
+
+def js_cell_matrix(real: DataFrame, synth: DataFrame, row: str, col: str, col_values) -> DataFrame:
+    """Per crosstab cell: row-normalized share p (real) and q (synth); JS of (p, 1-p) vs (q, 1-q)."""
+    from .aggregates import crosstab_rownorm
+    a = crosstab_rownorm(real, row, col, col_values, None).select(row, col, F.col("share").alias("P"))
+    b = crosstab_rownorm(synth, row, col, col_values, None).select(row, col, F.col("share").alias("Q"))
+    j = a.join(b, [row, col], "full").na.fill(0.0, subset=["P", "Q"])
+    p, q = F.col("P"), F.col("Q")
+    js = F.sqrt(js_term(p, q) + js_term(F.lit(1.0) - p, F.lit(1.0) - q))
+    return j.select(row, col, r6(p).alias("P"), r6(q).alias("Q"), r6(js).alias("JS"))
+
+
+def js_smoothed(real: DataFrame, synth: DataFrame, col: str, eps: float = 1e-9) -> DataFrame:
+    """1 - JS distance of class shares after adding eps to each aligned count (one row)."""
+    from .aggregates import bincount_smoothed
+    b = bincount_smoothed(real, synth, col, eps)
+    return b.agg(r6(F.lit(1.0) - F.sqrt(F.sum(js_term(F.col("P_A"), F.col("P_B"))))).alias("SIMILARITY"))
+
+
+def js_positional(real: DataFrame, synth: DataFrame, col: str) -> DataFrame:
+    """Rank-order variant: value_counts shares of each side aligned by frequency rank (one row).
+    The rank window runs over each side's class table."""
+    def ranked(df):
+        c = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
+        return c.select(F.row_number().over(Window.orderBy(F.col("n").desc(), F.col(col))).alias("RANK"),
+                        (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))
+    j = ranked(real).join(ranked(synth).withColumnRenamed("p", "q"), "RANK", "full").na.fill(0.0, subset=["p", "q"])
+    return j.agg(r6(similarity_from_distance(F.sqrt(F.sum(js_term(F.col("p"), F.col("q")))))).alias("Similarity"))

@@ -212,3 +212,33 @@ def duck_prefix(*views: str) -> str:
 
 def register_duck_view(name: str, deps: list[str], sql: str) -> None:
     DUCK_VIEWS[name] = (deps, sql)
+
+
+PRED_CONTEXT = ["SEX_CODE", "RACE", "PAT_COUNTY"]
+
+
+def predictions(spark, sf_dir) -> DataFrame:
+    """Frequency-classifier predictions of APR_MDC for the real test split (trained on real_train)."""
+    from ..operators import metrics
+    model = metrics.frequency_classifier_fit(real_train(spark, sf_dir), PRED_CONTEXT, "APR_MDC")
+    return metrics.frequency_classifier_predict(model, real_test(spark, sf_dir), PRED_CONTEXT, "APR_MDC")
+
+
+def duck_frequency_predictions(train: str, test: str, ctx: list[str], label: str) -> str:
+    k = ", ".join(ctx)
+    on = " and ".join(f"rk.{c} = t.{c}" for c in ctx)
+    return f"""(with fc as (select {k}, {label} lab, count(*) n from {train} where {label} is not null group by all),
+rk as (select *, row_number() over (partition by {k} order by n desc, lab) r, sum(n) over (partition by {k}) tot from fc),
+tops as (select {k}, max(case when r = 1 then cast(lab as varchar) end) md,
+                string_agg(cast(lab as varchar), '|' order by r) filter (where r <= 3) topk from rk group by all),
+g as (select {label} lab, count(*) n from {train} where {label} is not null group by 1),
+gr as (select lab, n, row_number() over (order by n desc, lab) r, sum(n) over () tot from g)
+select t.RECORD_ID id, cast(t.{label} as varchar) y, coalesce(tp.md, (select cast(lab as varchar) from gr where r = 1)) pred,
+  case when tp.md is not null then coalesce(rk.n::double / rk.tot, 0) else coalesce(gr.n::double / gr.tot, 0) end p_true,
+  coalesce(tp.topk, (select string_agg(cast(lab as varchar), '|' order by r) from gr where r <= 3)) topk
+from {test} t left join tops tp using ({k}) left join rk on {on} and rk.lab = t.{label} left join gr on gr.lab = t.{label}
+where t.{label} is not null)"""
+
+
+DUCK_VIEWS["predictions"] = (["real_train", "real_test"],
+                             duck_frequency_predictions("real_train", "real_test", PRED_CONTEXT, "APR_MDC")[1:-1])

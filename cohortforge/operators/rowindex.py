@@ -62,3 +62,18 @@ def top_k_per_group(df: DataFrame, keys, order_col: str, tie: str, k: int, out:
     """Rows with the k smallest `order_col` (in [0,1)) per group, skew-safe (see group_rank)."""
     r = group_rank(df, keys, order_col, tie, out=out, max_rank=k)
     return r.where(F.col(out) <= k)
+
+
+def k_smallest_per_group(df: DataFrame, keys, order_cols, k: int, salt_of: str, salts: int = 64, out: str = "_rank") -> DataFrame:
+    """The k rows with the smallest `order_cols` per group, for arbitrary (non-uniform) order values.
+
+    Two stages: rank within (keys, salt) sub-groups (salt = hash of `salt_of` mod `salts`) and keep
+    k, then rank the at most k*salts survivors per group. A hot group is ranked by `salts` tasks
+    and only k*salts of its rows ever meet in one task."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_of)), F.lit(salts)))
+    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order_cols)
+    s1 = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
+    w2 = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order_cols)
+    return s1.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k)

@@ -273,3 +273,28 @@ def q_gen_chain(spark, d):
     s1 = gen.contextual_draw(pop, tr, ["SEX_CODE", "PAT_AGE", "RACE"], "APR_MDC", "APR_MDC", "chain_mdc", "SYN_ID")
     s2 = gen.contextual_draw(s1, tr, ["APR_MDC"], "APR_DRG", "APR_DRG", "chain_drg", "SYN_ID")
     return gen.contextual_draw(s2, tr, ["APR_DRG"], "ICD3", "ICD3", "chain_icd3", "SYN_ID")
+
+
+# --- embedding-similarity labelling -----------------------------------------------------------------
+from ...operators import embed  # noqa: E402
+
+_EMB_DUCK = """with e as (select vec_id, label, unnest(embedding) v, generate_subscripts(embedding, 1) pos from embeddings),
+c as (select label, pos, avg(v) c from e group by all),
+s as (select e.vec_id, c.label cl, sum(e.v * c.c) sc from e join c using (pos) group by all),
+r as (select *, row_number() over (partition by vec_id order by sc desc, cl) rk from s)
+"""
+
+
+@register("label_by_similarity", _EMB_DUCK + """select vec_id, max(case when rk = 1 then cl end) TOP1,
+  string_agg(cast(cl as varchar), '|' order by rk) filter (where rk <= 3) TOP3 from r group by 1""")
+def q_label_by_similarity(spark, d):
+    e = fx.read_table(spark, d, "embeddings")
+    cents = embed.label_centroids(e, "embedding", "label")
+    return embed.score_top_k(e, "vec_id", "embedding", cents, k=3).select("vec_id", "TOP1", "TOP3")
+
+
+@register("topk_labels", _EMB_DUCK + "select vec_id, cast(rk as int) RANK, cl LABEL from r where rk <= 3")
+def q_topk_labels(spark, d):
+    e = fx.read_table(spark, d, "embeddings")
+    cents = embed.label_centroids(e, "embedding", "label")
+    return embed.top_k_long(e, "vec_id", "embedding", cents, k=3)

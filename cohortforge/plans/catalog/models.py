@@ -1 +1,111 @@
-"""Placeholder."""
+"""Models and model-based privacy attack. Spark ML results are not bit-reproducible
+against another engine, so these keys are checked on rows only."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...operators import metrics, models
+from ...session import scratch_path
+from .. import fixtures as fx
+from ..registry import register
+
+FEATS = ["SEX_CODE", "PAT_AGE", "RACE", "ETHNICITY", "PAT_ZIP", "PAT_COUNTY", "PUBLIC_HEALTH_REGION"]
+RF = {"numTrees": 30, "maxDepth": 10}
+
+
+@register("train_random_forest")
+def q_train_random_forest(spark, d):
+    _, pred, _ = models.fit_predict("random_forest", fx.real_train(spark, d), fx.real_test(spark, d), FEATS, "APR_MDC", **RF)
+    return pred.drop("prob")
+
+
+@register("train_logistic")
+def q_train_logistic(spark, d):
+    _, pred, _ = models.fit_predict("logistic", fx.real_train(spark, d), fx.real_test(spark, d), FEATS, "APR_MDC", regParam=0.01)
+    return pred.drop("prob")
+
+
+@register("train_boosted")
+def q_train_boosted(spark, d):
+    # 5 classes of ILLNESS_SEVERITY/LOS-style targets keep one-vs-rest GBT affordable; MDC has 25
+    _, pred, _ = models.fit_predict("boosted", fx.real_train(spark, d), fx.real_test(spark, d), FEATS, "ILLNESS_SEVERITY",
+                                    maxIter=10, maxDepth=4)
+    return pred.drop("prob")
+
+
+@register("model_select")
+def q_model_select(spark, d):
+    res, _ = models.model_select(fx.real_train(spark, d), FEATS, "APR_MDC")
+    return spark.createDataFrame([(k, round(m, 6)) for k, m, _ in res], "MODEL string, CV_F1 double")
+
+
+@register("evaluate_models")
+def q_evaluate_models(spark, d):
+    out = None
+    for kind, params in [("logistic", {"regParam": 0.01}), ("random_forest", RF)]:
+        _, pred, _ = models.fit_predict(kind, fx.real_train(spark, d), fx.real_test(spark, d), FEATS, "APR_MDC", **params)
+        row = metrics.accuracy(pred).join(metrics.f1_scores(pred), how="inner").select(F.lit(kind).alias("MODEL"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("two_stage_model")
+def q_two_stage_model(spark, d):
+    """Stage 1 predicts APR_MDC; its prediction is a feature of the stage-2 APR_DRG model.
+    Stage-1 predictions for the training rows are out-of-fold (2 hash folds) to avoid leakage."""
+    from ...functions.random import uniform
+    tr, te = fx.real_train(spark, d), fx.real_test(spark, d)
+    fold = uniform("fold", "RECORD_ID") < 0.5
+    parts = []
+    for a, b in [(tr.where(fold), tr.where(~fold)), (tr.where(~fold), tr.where(fold))]:
+        _, p, _ = models.fit_predict("random_forest", a, b, FEATS, "APR_MDC", **RF)
+        parts.append(p.select(F.col("id").alias("RECORD_ID"), F.col("pred").alias("MDC_HAT")))
+    oof = parts[0].unionByName(parts[1])
+    _, p_te, _ = models.fit_predict("random_forest", tr, te, FEATS, "APR_MDC", **RF)
+    tr2 = tr.join(oof, "RECORD_ID", "inner")
+    te2 = te.join(p_te.select(F.col("id").alias("RECORD_ID"), F.col("pred").alias("MDC_HAT")), "RECORD_ID", "inner")
+    _, pred, _ = models.fit_predict("random_forest", tr2, te2, FEATS + ["MDC_HAT"], "APR_DRG", **RF)
+    return pred.drop("prob")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, d):
+    model, _, prep = models.fit_predict("random_forest", fx.real_train(spark, d), fx.real_test(spark, d), FEATS, "APR_MDC", **RF)
+    return models.feature_importance(model, prep.features, spark, 15)
+
+
+@register("save_bundle")
+def q_save_bundle(spark, d):
+    model, pred, prep = models.fit_predict("random_forest", fx.real_train(spark, d), fx.real_test(spark, d), FEATS, "APR_MDC", **RF)
+    path = scratch_path(spark, "bundle")
+    models.save_bundle(model, prep, path)
+    return spark.read.parquet(f"{path}/features")
+
+
+@register("load_bundle")
+def q_load_bundle(spark, d):
+    model, _, prep = models.fit_predict("random_forest", fx.real_train(spark, d), fx.real_test(spark, d), FEATS, "APR_MDC", **RF)
+    path = scratch_path(spark, "bundle")
+    models.save_bundle(model, prep, path)
+    pm, vocab, codes, features, label = models.load_bundle(spark, path)
+    prep2 = models.prepare(fx.real_train(spark, d), [fx.real_test(spark, d)], features, label)
+    return models.predict_frame(pm, prep2, prep2.tests[0]).drop("prob")
+
+
+@register("mia_auc_model")
+def q_mia_auc_model(spark, d):
+    """Attack model: RF on member (train) vs non-member (test) rows, 70/30 hash split, AUC."""
+    from ...functions.random import uniform
+    from ...operators.sampling import sample_n
+    tr, te = fx.real_train(spark, d), fx.real_test(spark, d)
+    n = min(tr.count(), te.count())
+    both = (sample_n(tr, n, tag="member").withColumn("MEMBER", F.lit("1"))
+            .unionByName(sample_n(te, n, tag="nonmember").withColumn("MEMBER", F.lit("0"))))
+    fit_part = both.where(uniform("attack", "RECORD_ID") < 0.7)
+    eval_part = both.where(uniform("attack", "RECORD_ID") >= 0.7)
+    _, pred, prep = models.fit_predict("random_forest", fit_part, eval_part, FEATS, "MEMBER", numTrees=100, maxDepth=10)
+    # probability of class "1": position of label "1" in the dense code table
+    pos = prep.codes.where(F.col("MEMBER") == "1").first()["_y"]
+    scored = pred.select(F.col("prob")[int(pos)].alias("score"), F.col("y").cast("int").alias("lab"))
+    return metrics.roc_auc(scored, "score", "lab")

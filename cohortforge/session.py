@@ -23,6 +23,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor, so give it the memory
+            builder = builder.config("spark.driver.memory", os.environ.get("COHORTFORGE_DRIVER_MEMORY", "16g"))
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

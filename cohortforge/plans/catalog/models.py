@@ -57,15 +57,17 @@ def q_two_stage_model(spark, d):
     from ...functions.random import uniform
     tr, te = fx.real_train(spark, d), fx.real_test(spark, d)
     fold = uniform("fold", "RECORD_ID") < 0.5
+    stage1 = {"numTrees": 10, "maxDepth": 8}
     parts = []
     for a, b in [(tr.where(fold), tr.where(~fold)), (tr.where(~fold), tr.where(fold))]:
-        _, p, _ = models.fit_predict("random_forest", a, b, FEATS, "APR_MDC", **RF)
+        _, p, _ = models.fit_predict("random_forest", a, b, FEATS, "APR_MDC", **stage1)
         parts.append(p.select(F.col("id").alias("RECORD_ID"), F.col("pred").alias("MDC_HAT")))
     oof = parts[0].unionByName(parts[1])
-    _, p_te, _ = models.fit_predict("random_forest", tr, te, FEATS, "APR_MDC", **RF)
+    _, p_te, _ = models.fit_predict("random_forest", tr, te, FEATS, "APR_MDC", **stage1)
     tr2 = tr.join(oof, "RECORD_ID", "inner")
     te2 = te.join(p_te.select(F.col("id").alias("RECORD_ID"), F.col("pred").alias("MDC_HAT")), "RECORD_ID", "inner")
-    _, pred, _ = models.fit_predict("random_forest", tr2, te2, FEATS + ["MDC_HAT"], "APR_DRG", **RF)
+    # stage 2 has ~150 DRG classes: multinomial logistic keeps it linear in the class count
+    _, pred, _ = models.fit_predict("logistic", tr2, te2, FEATS + ["MDC_HAT"], "APR_DRG", regParam=0.01, maxIter=50)
     return pred.drop("prob")
 
 

@@ -128,13 +128,13 @@ def contextual_draw(rows: DataFrame, train: DataFrame, keys: Sequence[str], labe
     dist = dist.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cats", "_cum")
     cond = [F.col(rk) == F.col(f"_k{i}") for i, rk in enumerate(row_keys)]
     j = rows.join(bounded_broadcast(dist), cond, "left")
-    j = j.withColumn(out, inverse_cdf(F.col("_cats"), F.col("_cum"), uniform(tag, id_col)))
+    j = j.withColumn("_local", inverse_cdf(F.col("_cats"), F.col("_cum"), uniform(tag, id_col)))
     j = j.drop("_cats", "_cum", *[f"_k{i}" for i in range(len(keys))])
     if not global_fallback:
-        return j
+        return j.withColumnRenamed("_local", out)
     gcounts = t.groupBy(label).agg((F.count("*") + F.lit(alpha)).alias("n"))
-    missing = draw_from_counts(j.where(F.col(out).isNull()).drop(out), gcounts, label, uniform(tag, id_col), out)
-    return j.where(F.col(out).isNotNull()).unionByName(missing.select(*j.columns))
+    j = draw_from_counts(j, gcounts, label, uniform(tag, id_col), "_global")
+    return j.withColumn(out, F.coalesce(F.col("_local"), F.col("_global"))).drop("_local", "_global")
 
 
 def conditional_independent(train: DataFrame, requests: DataFrame, output: str, features: Sequence[str],

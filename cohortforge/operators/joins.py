@@ -65,8 +65,9 @@ def draw_from_counts(df: DataFrame, counts: DataFrame, label: str, u: "F.Column"
     ascending, k = floor(u*N), pick the label whose cumulative range [prev, cum) contains k.
 
     The range lookup is an equi join on blocks of width W ~ N / #labels: each label row is exploded
-    into the blocks its range touches (about 2 x #labels rows in total), each draw joins the rows of
-    its block and keeps the one containing k. No nested-loop join, no literal arrays in the plan.
+    into the blocks its range touches (about 2 x #labels rows in total), and each draw joins its
+    block with the range test inside the (left) join condition, so every input row comes out once.
+    No nested-loop join, no literal arrays in the plan, and the input is referenced once.
     """
     stats = counts.agg(F.sum("n").alias("N"), F.count("*").alias("L")).first()
     if stats is None or not stats["N"]:
@@ -77,20 +78,20 @@ def draw_from_counts(df: DataFrame, counts: DataFrame, label: str, u: "F.Column"
                         .alias("_cum"))  # one row per label (vocabulary-bounded)
     blocks = cum.select(F.col(label).alias("_lab"), (F.col("_cum") - F.col("n")).alias("_prev"), "_cum",
                         F.explode(F.sequence(F.floor((F.col("_cum") - F.col("n")) / width).cast("bigint"),
-                                             F.floor((F.col("_cum") - 1) / width).cast("bigint"))).alias("_blk"))
+                                             F.floor((F.col("_cum") - 1) / width).cast("bigint"))).alias("_bb"))
     k = F.floor(u * F.lit(total)).cast("bigint")
     keyed = df.withColumn("_k", k).withColumn("_blk", F.floor(F.col("_k") / width).cast("bigint"))
-    hit = keyed.join(bounded_broadcast(blocks), "_blk", "left").where(
-        F.col("_prev").isNull() | ((F.col("_k") >= F.col("_prev")) & (F.col("_k") < F.col("_cum"))))
-    return hit.withColumn(out, F.col("_lab")).drop("_blk", "_k", "_lab", "_prev", "_cum")
+    b = bounded_broadcast(blocks)
+    cond = (keyed["_blk"] == b["_bb"]) & (keyed["_k"] >= b["_prev"]) & (keyed["_k"] < b["_cum"])
+    hit = keyed.join(b, cond, "left")
+    return hit.withColumn(out, F.col("_lab")).drop("_blk", "_bb", "_k", "_lab", "_prev", "_cum")
 
 
 def fallback_fill(df: DataFrame, pool: DataFrame, label: str, id_col: str = "RECORD_ID", tag: str = "fallback") -> DataFrame:
     """Rows whose label is null get a draw (with replacement) from the global pool distribution."""
     counts = pool.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    missing = df.where(F.col(label).isNull())
-    filled = draw_from_counts(missing.drop(label), counts, label, uniform(tag, id_col), label)
-    return df.where(F.col(label).isNotNull()).unionByName(filled.select(*df.columns))
+    drawn = draw_from_counts(df.withColumnRenamed(label, "_orig"), counts, label, uniform(tag, id_col), "_fb")
+    return drawn.withColumn(label, F.coalesce(F.col("_orig"), F.col("_fb"))).select(*df.columns)
 
 
 def anti_keys(a: DataFrame, b: DataFrame, key: str = "RECORD_ID") -> DataFrame:

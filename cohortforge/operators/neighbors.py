@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .rowindex import k_smallest_per_group
 
 DEFAULT_BLOCK = 2048
@@ -37,6 +38,9 @@ def _candidates(qv: DataFrame, pv: DataFrame, feats: Sequence[str], k: int | Non
     _pmult bigint). Returns (feats..., _d2, _pid, _plab, _pmult) candidate rows: the k nearest entries
     per query and pool block (k mode) or every entry within radius (radius mode)."""
     feats = list(feats)
+    # distinct vectors are small relative to the rows: materialize them once (reliable checkpoint)
+    # so the block counts and the replicated cogroup inputs do not recompute their lineage
+    qv, pv = cut_lineage(qv), cut_lineage(pv)
     nq, npool = qv.count(), pv.count()
     kq, kp = _n_blocks(nq, block_rows), _n_blocks(npool, block_rows)
     q = qv.withColumn("_qb", _block_of(feats, kq)).withColumn("_pb", F.explode(F.sequence(F.lit(0), F.lit(kp - 1))))

@@ -46,8 +46,9 @@ def js_from_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(F.when(known, F.col("n_real"))).over(w).alias("_R"),
         F.sum(F.when(known, F.col("n_synth"))).over(w).alias("_S"),
     )
-    p = F.col("n_real") / F.col("_R")
-    q = F.col("n_synth") / F.col("_S")
+    # groups present on one side only have a zero total on the other: null share, no ANSI error
+    p = F.try_divide(F.col("n_real"), F.col("_R"))
+    q = F.try_divide(F.col("n_synth"), F.col("_S"))
     agg = c.groupBy(*keys).agg(
         F.sum(F.when(known, js_term(p, q))).alias("_js2"),
         F.max("_R").alias("_R"), F.max("_S").alias("_S"),

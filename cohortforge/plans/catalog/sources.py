@@ -209,3 +209,13 @@ def q_county_dim_join(spark, d):
     rep = js_by_group(fx.real_train(spark, d), fx.synth(spark, d), "PAT_COUNTY", "APR_MDC")
     dim = county_dim(spark, d).where(F.col("STATEFP") == "48").select(F.col("COUNTYFP").cast("int").alias("PAT_COUNTY"), "NAME")
     return rep.join(F.broadcast(dim), "PAT_COUNTY", "inner").select("PAT_COUNTY", "NAME", "JS_similarity")
+
+
+@register("chunked_scan", P("base") + "select " + ", ".join(f"cast({c} as varchar) {c}" for c in fx.BASE_COLUMNS) + " from base")
+def q_chunked_scan(spark, d):
+    """Raw base extracts ingested a file per micro-batch by a file stream, appended to Parquet."""
+    from ...streaming.ingest import chunked_ingest
+    root = raw_layout(spark, d)
+    out, ckpt = scratch_path(spark, "chunked_out"), scratch_path(spark, "chunked_ckpt")
+    chunked_ingest(spark, f"{root}/*", fx.BASE_COLUMNS, out, ckpt, name_glob="*BASE*", files_per_batch=2)
+    return spark.read.parquet(out).select(*fx.BASE_COLUMNS)

@@ -125,7 +125,7 @@ def label_coverage(train: DataFrame, test: DataFrame, label: str, examples: int
     n_unseen = unseen.agg(F.count("*").alias("N_UNSEEN"))
     ex = unseen.orderBy(label).limit(examples).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(label)), lambda x: x.cast("string")), ",").alias("EXAMPLES"))
-    return n_test.join(n_unseen, how="inner").join(ex, how="inner").select(
+    return combine_rows(n_test, n_unseen, ex).select(
         "N_UNSEEN", "N_TEST_LABELS", F.round(F.col("N_UNSEEN") / F.col("N_TEST_LABELS"), 6).alias("FRACTION"), "EXAMPLES")
 
 
@@ -163,3 +163,20 @@ def group_sample_list(df: DataFrame, group: str, value: str, k: int = 5, tag: st
 
 def state_counts(df: DataFrame, step: str, state: str) -> DataFrame:
     return df.groupBy(step, state).agg(F.count("*").alias("N"))
+
+
+def combine_rows(*frames: DataFrame) -> DataFrame:
+    """Put the columns of several one-row frames (global aggregates) side by side without a join:
+    each frame becomes one struct in a union of single rows, and one final aggregate picks them up.
+    Column names must be distinct across frames."""
+    names = [f"_r{i}" for i in range(len(frames))]
+    parts = []
+    for i, f in enumerate(frames):
+        cols = [F.struct(*[F.col(c) for c in f.columns]).alias(n) if j == i else F.lit(None).alias(n)
+                for j, n in enumerate(names)]
+        parts.append(f.select(*cols))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.union(p)
+    row = u.agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
+    return row.select(*[F.col(f"{n}.{c}").alias(c) for n, f in zip(names, frames) for c in f.columns])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.divergence import r6
+from .aggregates import combine_rows
 from .encode import standardize
 from .metrics import roc_auc
 from .neighbors import nearest
@@ -61,11 +62,11 @@ def privacy_score(auc: F.Column, mean_nnd: F.Column, leak: F.Column) -> dict:
 def privacy_report(train: DataFrame, synth: DataFrame, test: DataFrame, feats: Sequence[str], id_col: str = "RECORD_ID") -> DataFrame:
     """One row: P_MIA, P_NND, P_LEAKAGE, privacy_score, mean_nnd, real_nnd, leak_rate, mia_auc."""
     sd, rd = nnd(train, synth, test, feats, id_col)
-    m = sd.agg(F.avg("D").alias("mean_nnd")).join(rd.agg(F.avg("D").alias("real_nnd")), how="inner")
+    m = combine_rows(sd.agg(F.avg("D").alias("mean_nnd")), rd.agg(F.avg("D").alias("real_nnd")))
     lk = leak_rate(sd, rd).select(F.col("LEAK_RATE").alias("leak_rate"))
     tr, sy, te = standardize(train.select(id_col, *feats), [synth.select(id_col, *feats), test.select(id_col, *feats)], feats)
     auc = mia_distance_auc(tr, te, sy, feats, id_col).select(F.col("AUC").alias("mia_auc"))
-    row = m.join(lk, how="inner").join(auc, how="inner")  # one-row frames
+    row = combine_rows(m, lk, auc)  # one-row frames side by side, no join
     sc = privacy_score(F.col("mia_auc"), F.col("mean_nnd"), F.col("leak_rate"))
     return row.select(*[r6(v).alias(k) for k, v in sc.items()], r6(F.col("mean_nnd")).alias("mean_nnd"),
                       r6(F.col("real_nnd")).alias("real_nnd"), "leak_rate", "mia_auc")

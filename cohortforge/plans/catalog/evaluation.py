@@ -118,7 +118,7 @@ def _common(train, test, label, min_count=2):
 def _fit_eval(train, test, label):
     model = metrics.frequency_classifier_fit(train, CTX, label)
     pred = metrics.frequency_classifier_predict(model, test, CTX, label)
-    return metrics.accuracy(pred).join(metrics.f1_scores(pred), how="inner")
+    return agg.combine_rows(metrics.accuracy(pred), metrics.f1_scores(pred))
 
 
 @register("tstr", P("synth", "real_test") + """,
@@ -161,7 +161,7 @@ def q_utility_grid(spark, d):
                          ("synth_synth", s_tr, s_te)]:
         model = metrics.frequency_classifier_fit(tr, CTX, "APR_MDC")
         pred = metrics.frequency_classifier_predict(model, te, CTX, "APR_MDC")
-        row = metrics.accuracy(pred).join(metrics.f1_scores(pred).select("F1_WEIGHTED"), how="inner") \
+        row = agg.combine_rows(metrics.accuracy(pred), metrics.f1_scores(pred).select("F1_WEIGHTED")) \
             .select(F.lit(name).alias("SCENARIO"), "ACCURACY", "F1_WEIGHTED")
         out = row if out is None else out.unionByName(row)
     return out

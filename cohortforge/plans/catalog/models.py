@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import metrics, models
+from ...operators.aggregates import combine_rows
 from ...session import scratch_path
 from .. import fixtures as fx
 from ..registry import register
@@ -45,7 +46,7 @@ def q_evaluate_models(spark, d):
     out = None
     for kind, params in [("logistic", {"regParam": 0.01}), ("random_forest", RF)]:
         _, pred, _ = models.fit_predict(kind, fx.real_train(spark, d), fx.real_test(spark, d), FEATS, "APR_MDC", **params)
-        row = metrics.accuracy(pred).join(metrics.f1_scores(pred), how="inner").select(F.lit(kind).alias("MODEL"), "*")
+        row = combine_rows(metrics.accuracy(pred), metrics.f1_scores(pred)).select(F.lit(kind).alias("MODEL"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 

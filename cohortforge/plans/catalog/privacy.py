@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions.divergence import r6
 from ...operators import cluster, neighbors, privacy
+from ...operators.aggregates import combine_rows
 from .. import fixtures as fx
 from ..registry import register
 
@@ -148,7 +149,7 @@ def q_nnd(spark, d):
     tr, sy, te = _std_frames(spark, d)
     sd = privacy.nn_distances(sy, tr, NN, "RECORD_ID", "RECORD_ID")
     rd = privacy.nn_distances(te, tr, NN, "RECORD_ID", "RECORD_ID")
-    return sd.agg(r6(F.avg("D")).alias("mean_nnd")).join(rd.agg(r6(F.avg("D")).alias("real_nnd")), how="inner")
+    return combine_rows(sd.agg(r6(F.avg("D")).alias("mean_nnd")), rd.agg(r6(F.avg("D")).alias("real_nnd")))
 
 
 @register("leak_rate", _PRIV_BASE + _LEAK + " select * from lk")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions.divergence import duck_js_term
 from ...operators import similarity as sim
+from ...operators.aggregates import combine_rows
 from .. import fixtures as fx
 from ..registry import register
 
@@ -148,7 +149,7 @@ def q_kl_divergence(spark, d):
     tr, sy = fx.real_train(spark, d), fx.synth(spark, d)
     age = stats.kl_divergence(tr, sy, "PAT_AGE").withColumnRenamed("KL", "KL_AGE")
     sex = stats.kl_divergence(tr, sy, "SEX_CODE").withColumnRenamed("KL", "KL_SEX")
-    j = age.join(sex, how="inner")  # two one-row aggregates
+    j = combine_rows(age, sex)  # two one-row aggregates
     verdict = F.when((F.col("KL_AGE") > 0.1) & (F.col("KL_SEX") > 0.1), "Poor match").otherwise("Good match")
     return j.select(F.round("KL_AGE", 6).alias("KL_AGE"), F.round("KL_SEX", 6).alias("KL_SEX"), verdict.alias("VERDICT"))
 

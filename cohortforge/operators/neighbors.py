@@ -74,12 +74,24 @@ def _candidates(qv: DataFrame, pv: DataFrame, feats: Sequence[str], k: int | Non
             if radius2 is not None:
                 qi, pj = np.nonzero(d2 <= radius2 + 1e-12)
                 sel_q, sel_p, sel_d = qi, pj, d2[qi, pj]
+            elif k == 1:
+                # argmin returns the first minimum: pool entries are in id order, so ties -> smallest id
+                sel_q = np.arange(len(qs))
+                sel_p = np.argmin(d2, axis=1)
+                sel_d = d2[sel_q, sel_p]
             else:
+                # k-th smallest distance per query (linear-time partition), then an exact (distance,
+                # id) ordering of the few entries at or below it
                 kk = min(k, d2.shape[1])
-                idx = np.argsort(d2, axis=1, kind="stable")[:, :kk]
-                sel_q = np.repeat(np.arange(len(qs)), kk)
-                sel_p = idx.reshape(-1)
-                sel_d = np.take_along_axis(d2, idx, axis=1).reshape(-1)
+                vk = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+                r, c = np.nonzero(d2 <= vk[:, None])
+                dd = d2[r, c]
+                order = np.lexsort((c, dd, r))
+                r, c, dd = r[order], c[order], dd[order]
+                starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
+                rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
+                keep = rank < kk
+                sel_q, sel_p, sel_d = r[keep], c[keep], dd[keep]
             part = pd.DataFrame(qs[sel_q], columns=feats)
             part["_d2"] = sel_d
             part["_pid"] = pid[sel_p]

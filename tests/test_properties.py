@@ -97,3 +97,20 @@ def test_shares_sum_to_one(spark):
     from cohortforge.operators.aggregates import value_shares
     df = spark.range(999).select((F.col("id") % 13).alias("c"))
     assert sum(r["share"] for r in value_shares(df, "c").collect()) == pytest.approx(1.0, abs=1e-5)
+
+
+def test_k_nearest_matches_brute_force_with_ties(spark):
+    from cohortforge.operators.neighbors import nearest
+    rng = np.random.default_rng(3)
+    q = rng.integers(0, 3, size=(120, 2)).astype(float)
+    p = rng.integers(0, 3, size=(200, 2)).astype(float)
+    qdf = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(q)], "QID long, A double, B double")
+    pdf = spark.createDataFrame([(5000 - i, *map(float, v)) for i, v in enumerate(p)], "PID long, A double, B double")
+    got = {}
+    for r in nearest(qdf, pdf, ["A", "B"], "QID", "PID", None, 3, block_rows=32).collect():
+        got.setdefault(r["QID"], []).append((r["RANK"], r["NN_ID"]))
+    ids = 5000 - np.arange(len(p))
+    for i, v in enumerate(q):
+        d2 = ((p - v) ** 2).sum(axis=1)
+        order = np.lexsort((ids, d2))[:3]
+        assert [x for _, x in sorted(got[i])] == [int(ids[j]) for j in order]

@@ -29,15 +29,19 @@ def dbscan(df: DataFrame, feats: Sequence[str], id_col: str, eps: float, min_sam
     ce = e.join(core, "_v", "left_semi").join(core.withColumnRenamed("_v", "_u"), "_u", "left_semi").select("_v", "_u")
     ce = cut_lineage(ce)
     labels = cut_lineage(core.withColumn("_lab", F.col("_v")))
+    # labels only decrease, so "nothing changed" is "the label sum did not drop": one aggregate over
+    # the checkpointed labels per round instead of a join against the previous round
+    total = labels.agg(F.sum("_lab")).first()[0]
     for _ in range(max_rounds):
         prop = ce.join(labels.withColumnRenamed("_v", "_u").withColumnRenamed("_lab", "_nl"), "_u", "inner") \
             .groupBy("_v").agg(F.min("_nl").alias("_nl"))
         new = labels.join(prop, "_v", "left").select("_v", F.least(F.col("_lab"), F.coalesce(F.col("_nl"), F.col("_lab"))).alias("_lab"))
         new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("_lab", "_old"), "_v").where(F.col("_lab") != F.col("_old")).limit(1).count()
+        new_total = new.agg(F.sum("_lab")).first()[0]
         labels = new
-        if changed == 0:
+        if new_total == total:
             break
+        total = new_total
     # border vectors: non-core with a core neighbour -> smallest adjacent cluster label
     border = (e.join(core, "_v", "left_anti").join(labels.withColumnRenamed("_v", "_u"), "_u", "inner")
               .groupBy("_v").agg(F.min("_lab").alias("_lab")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.divergence import r6
+from ..session import bounded_broadcast
 
 
 def frequency_classifier_fit(train: DataFrame, context: Sequence[str], label: str) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +42,7 @@ def frequency_classifier_predict(model, test: DataFrame, context: Sequence[str],
     # probability of the true class: context count / context total, else global share
     pt = ranked.select(*key, F.col(label).alias("_y"), (F.col("_n") / F.col("_tot")).alias("_pc"))
     pg = glob.select(F.col(label).alias("_y"), (F.col("_n") / F.lit(float(gtot))).alias("_pg"))
-    j = j.join(pt, [*key, "_y"], "left").join(F.broadcast(pg), "_y", "left")
+    j = j.join(pt, [*key, "_y"], "left").join(bounded_broadcast(pg), "_y", "left")
     seen = F.col("_mode").isNotNull()
     return j.select(
         F.col(id_col).alias("id"), F.col("_y").cast("string").alias("y"),
@@ -133,7 +134,7 @@ def roc_auc(scored: DataFrame, score: str, label: str, buckets: int = 256) -> Da
     tot = db.groupBy("_b").agg(F.sum("_n").alias("_bn"))
     off = tot.select("_b", (F.sum("_bn").over(Window.orderBy("_b")) - F.col("_bn")).alias("_off"))
     w = Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    r = db.join(F.broadcast(off), "_b").withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    r = db.join(F.broadcast(off), "_b")  # at most `buckets` rows.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     avg_rank = F.col("_off") + F.col("_before") + (F.col("_n") + 1) / 2.0
     agg = r.agg(F.sum(F.col("_p") * avg_rank).alias("_rs"), F.sum("_p").alias("N_POS"), (F.sum("_n") - F.sum("_p")).alias("N_NEG"))
     auc = (F.col("_rs") - F.col("N_POS") * (F.col("N_POS") + 1) / 2.0) / (F.col("N_POS") * F.col("N_NEG"))

@@ -134,7 +134,8 @@ def roc_auc(scored: DataFrame, score: str, label: str, buckets: int = 256) -> Da
     tot = db.groupBy("_b").agg(F.sum("_n").alias("_bn"))
     off = tot.select("_b", (F.sum("_bn").over(Window.orderBy("_b")) - F.col("_bn")).alias("_off"))
     w = Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    r = db.join(F.broadcast(off), "_b")  # at most `buckets` rows.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    # the offset table has at most `buckets` rows
+    r = db.join(F.broadcast(off), "_b").withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     avg_rank = F.col("_off") + F.col("_before") + (F.col("_n") + 1) / 2.0
     agg = r.agg(F.sum(F.col("_p") * avg_rank).alias("_rs"), F.sum("_p").alias("N_POS"), (F.sum("_n") - F.sum("_p")).alias("N_NEG"))
     auc = (F.col("_rs") - F.col("N_POS") * (F.col("N_POS") + 1) / 2.0) / (F.col("N_POS") * F.col("N_NEG"))

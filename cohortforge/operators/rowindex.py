@@ -26,7 +26,8 @@ def with_row_index(df: DataFrame, key: str, out: str = "_idx", max_buckets: int
     sizes = keyed.groupBy("_bkt").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_bkt", (F.sum("_n").over(Window.orderBy("_bkt")) - F.col("_n")).alias("_off"))
     ranked = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_bkt").orderBy(key)))
-    return (ranked.join(F.broadcast(offsets), "_bkt")  # at most max_buckets rows
+    # the offset table has at most max_buckets rows
+    return (ranked.join(F.broadcast(offsets), "_bkt")
             .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
             .drop("_bkt", "_off", "_rn"))
 

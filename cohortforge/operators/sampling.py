@@ -73,7 +73,8 @@ def prefix_sum(df: DataFrame, key: str, value: str, out: str = "_cum", max_bucke
     sums = keyed.groupBy("_bkt").agg(F.sum(value).alias("_bs"))
     offs = sums.select("_bkt", (F.sum("_bs").over(Window.orderBy("_bkt")) - F.col("_bs")).alias("_boff"))
     w = Window.partitionBy("_bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return (keyed.join(F.broadcast(offs), "_bkt")  # at most max_buckets rows.withColumn(out, F.col("_boff") + F.sum(value).over(w))
+    # the offset table has at most max_buckets rows
+    return (keyed.join(F.broadcast(offs), "_bkt").withColumn(out, F.col("_boff") + F.sum(value).over(w))
             .drop("_bkt", "_boff"))
 
 

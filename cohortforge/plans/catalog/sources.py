@@ -208,7 +208,8 @@ def q_county_dim_join(spark, d):
     from ...operators.similarity import js_by_group
     rep = js_by_group(fx.real_train(spark, d), fx.synth(spark, d), "PAT_COUNTY", "APR_MDC")
     dim = county_dim(spark, d).where(F.col("STATEFP") == "48").select(F.col("COUNTYFP").cast("int").alias("PAT_COUNTY"), "NAME")
-    return rep.join(F.broadcast(dim), "PAT_COUNTY", "inner")  # dimension: one row per nation (25).select("PAT_COUNTY", "NAME", "JS_similarity")
+    # the dimension has one row per nation (25)
+    return rep.join(F.broadcast(dim), "PAT_COUNTY", "inner").select("PAT_COUNTY", "NAME", "JS_similarity")
 
 
 @register("chunked_scan", P("base") + "select " + ", ".join(f"cast({c} as varchar) {c}" for c in fx.BASE_COLUMNS) + " from base")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import embeddings, language, lm, minhash, mixing, packing, quality, sharding, topk, warc
 from .common import read
 
 
@@ -12,14 +12,45 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(read(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op1_sharding": op1_sharding,
-    "op6_mixing": op6_mixing,
-}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_sharding, op2_quality_classifier, op3_warc, op4_lm_scoring, op5_topk_search, op6_mixing, op7_packing,
+    op8_embedding_dedup, op9_minhash_dedup, op10_language_id)}
 
 #: The words of the contracts, in DuckDB's regular expressions.
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -43,7 +74,58 @@ select doc_id, size, source_size, target, (greatest(0, least(size, wanted - star
     + greatest(0, least(size, wanted - source_size - start)))::bigint taken from p
 """
 
-#: Only what SQL can express; the others are tested against brute force.
+_WARC = """
+with p as (select page_id, coalesce(html, '') h from pages),
+g as (select page_id, h, sha1(h) d, max(page_id) over (partition by h) top from p),
+b as (select *, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' a, [('0x' || substr(d, (i * 5 + 1)::int, 5))::bigint for i in range(0, 8)] fives from g)
+select page_id, octet_length(encode(h))::bigint payload_bytes,
+  array_to_string([substr(a, (v >> 15 & 31)::int + 1, 1) || substr(a, (v >> 10 & 31)::int + 1, 1)
+    || substr(a, (v >> 5 & 31)::int + 1, 1) || substr(a, (v & 31)::int + 1, 1) for v in fives], '') payload_digest,
+  case when page_id = top then 'response' else 'revisit' end record_type,
+  case when page_id <> top then top end refers_to
+from b
+"""
+
+_VALID = """embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0"""
+
+_TOPK = f"""
+with v as (select vec_id, [floor(256 * x::double) for x in embedding] e from embeddings where {_VALID}),
+s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
+select query_id, "rank", vec_id, score from r where "rank" <= 5
+"""
+
+_VECTORS = f"""
+with recursive v as (select vec_id, [x::double for x in embedding] e from embeddings where {_VALID}),
+l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
+select e.vec_id, (select count(*) from l where l.a = e.vec_id)::bigint n_links,
+  least(e.vec_id, coalesce((select min(b) from r where r.a = e.vec_id), e.vec_id))::bigint component_id,
+  e.vec_id <= coalesce((select min(b) from r where r.a = e.vec_id), e.vec_id) kept
+from embeddings e
+"""
+
+_SHINGLES = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] end) s from w),
+n as (select doc_id, count(*) n from s group by 1),
+i as (select a.doc_id a, b.doc_id b, count(*) n from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+l as (select i.a, i.b from i join n x on x.doc_id = i.a join n y on y.doc_id = i.b where 100 * i.n >= 80 * (x.n + y.n - i.n)),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+m as (select a, min(b) b from r group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id))::bigint component_id,
+  d.doc_id <= coalesce(m.b, d.doc_id) kept
+from documents d left join n using (doc_id) left join m on m.a = d.doc_id
+"""
+
+#: Only what SQL can express; the others are tested against brute force, round trips or held-out accuracy.
 ORACLE = {
+    "op3_warc": _WARC,
+    "op5_topk_search": _TOPK,
     "op6_mixing": _MIXING,
+    "op8_embedding_dedup": _VECTORS,
+    "op9_minhash_dedup": _SHINGLES,
 }

@@ -4,8 +4,8 @@ Model. A byte is eight binary decisions; the decision node is the bits of the by
 Every node of the context tree (context, bits so far) has the Krichevsky-Trofimov probability KT(n0, n1) of the bits it saw in
 training, and the weighted probability Pw = (KT + prod Pw(children)) / 2 (Pw = KT at depth ORDER). After training the tree is frozen: a bit's
 probability is the mixture along its path, weighing a node's own estimate (n + 1/2) / (n0 + n1 + 1) against its child's mixture by
-KT : prod Pw(children); a child that saw nothing leaves its parent's estimate as it is. A text is its bytes with A-Z lowered, then
-an end (byte 0, as before the start). Its score is the sum of the log10 probabilities.
+KT : prod Pw(children); a child that saw nothing leaves its parent's estimate as it is. A text is what the word baseline scores: its words
+with A-Z lowered, one space between them, then an end (byte 0, as before the start). Its score is the sum of the log10 probabilities.
 
 Jobs. 1. Tasks count words and strings of ORDER + 1 bytes of all documents (training counts, 0 for what only other documents
 hold) and send them packed, by key range for words and by the two nearest context bytes for strings, so that a range holds whole
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, parts, written
-from .textcore import LOWER, U64, Lookup, fmix, grams, sums_between, text_slices, word_hashes, word_spans
+from .textcore import LOWER, SPACE, U64, Lookup, fmix, grams, sums_between, text_slices, word_hashes, word_spans
 
 ORDER = 5
 TOP_WORDS = 1 << 19
@@ -157,9 +157,20 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[first], np.add.reduceat(count, first) if len(first) else count
 
 
-def _ended(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slice with a byte 0 after each document."""
-    return np.insert(data, offsets[1:], 0), offsets + np.arange(len(offsets))
+def token_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each document of a slice with one space between them and a byte 0 as the end."""
+    data = np.insert(data, offsets[1:], 0x20)
+    offsets = offsets + np.arange(len(offsets))
+    solid = ~SPACE[data]
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]  # the white space right after a word; every document ends in white space now
+    last = offsets[1:] - 1
+    before = np.concatenate([[0], np.cumsum(keep)])
+    keep[last[np.diff(before[offsets]) == 0]] = True  # the end of a document without words
+    at = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    out = np.where(solid, data, 0x20).astype(np.uint8)[keep]
+    out[at[1:] - 1] = 0
+    return out, at
 
 
 def _packed(kind: int, key: np.ndarray, count: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -201,7 +212,7 @@ def _count(order: int, buckets: int):
                 data = LOWER[data]
                 starts, ends, first = word_spans(data, offsets)
                 add(WORDS, word_hashes(data, starts, ends), np.repeat(here, np.diff(first)))
-                data, offsets = _ended(data, offsets)
+                data, offsets = token_bytes(data, offsets)
                 add(STRINGS, grams(data, offsets, order), np.repeat(here, np.diff(offsets)))
                 for kind in held:
                     if sum(map(len, held[kind][0])) > _HELD:
@@ -305,7 +316,7 @@ def _score(model):
                 rare = np.concatenate([[0], np.cumsum(~known)])[first]
                 base = sums_between(value, first) + m.end_value
                 n_known = np.diff(np.concatenate([[0], np.cumsum(known)])[first]) + m.end_known
-                data, offsets = _ended(data, offsets)
+                data, offsets = token_bytes(data, offsets)
                 gram = grams(data, offsets, m.order)
                 place = strings.find(gram)
                 found = place >= 0

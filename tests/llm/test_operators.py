@@ -239,7 +239,7 @@ def test_language_model_matches_brute_force(spark, rows, top):
 
 
 def test_language_model_beats_the_words(spark, docs, odd, empty):
-    got = [r for r in lm.score_documents(read(spark, "/root/testdata/sf0.01", "documents")).collect() if r.held_out]
+    got = [r for r in lm.score_documents(read(spark, "/root/testdata/sf0.1", "documents")).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
     assert lm.score_documents(empty).count() == 0
     assert lm.score_documents(odd.selectExpr("*", "1 as uid", "2 as score")).count() == len(ODD)

@@ -8,9 +8,11 @@
    are posted, and values that nobody shares are skipped altogether.
 3. In a posting list, collisions are counted against the list's first document, pairs with enough collisions are confirmed on their
    full shingle sets, and confirmed pairs are merged into components. Then the lists that still hold more than one component
-   count the collisions of all their cross-component pairs, which are confirmed and merged as well. A pair that is left out
-   is in one component already, so no component is lost and no group is expanded into all its pairs. Lists longer than ``CHUNK``
-   are dealt out by chunk (first pass) and by pairs of chunks (second pass).
+   count the collisions of their cross-component pairs, each pair in the first list that it shares. The documents of pairs with enough
+   collisions meet once more in that list with their shingle sets; all pairs are confirmed there, as intersections of bit sets, and
+   only a spanning forest of the confirmed ones leaves the task. A pair that is left out is in one component already, so no
+   component is lost, and no group is sent out as all its pairs. Lists longer than ``CHUNK`` are dealt out by chunk (first
+   pass) and by pairs of chunks (second pass).
 
 With 32 coordinates and 15 matches, a pair of similarity exactly 0.8 is missed with probability 6e-6, less above.
 
@@ -34,7 +36,7 @@ from .textcore import LOWER, U64, fmix, text_slices, word_hashes, word_spans
 
 COORDS = 32
 MATCHES = 15
-CHUNK = 2048
+CHUNK = 1024
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,29 +157,102 @@ def _against_first(matches: int):
     return run
 
 
-def _across(matches: int):
-    """Of each (item, chunk pair) list, the pairs of documents in different components that collide often enough."""
+def _cross_pairs(number, coord, rep, comp, side, mask, sig, matches: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of one list in different components that collide often enough, if this list is the first that they share."""
+    low, high = (np.full(int(number[-1]) + 1, x) for x in (np.iinfo(np.int64).max, np.iinfo(np.int64).min))
+    np.minimum.at(low, number, comp)
+    np.maximum.at(high, number, comp)
+    live = np.flatnonzero((low != high)[number])
+    bits = np.arange(sig.shape[1])
+    lag = 1
+    while lag < len(live):
+        i = np.flatnonzero(number[live[lag:]] == number[live[:-lag]])
+        if not len(i):
+            break
+        i, j = live[i], live[i + lag]
+        # in a pair of two chunks, pairs within a chunk are counted elsewhere (side: 2 if there is only one chunk)
+        ok = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
+        i, j = i[ok], j[ok]
+        for x in range(0, len(i), 1 << 16):
+            a, b = i[x:x + (1 << 16)], j[x:x + (1 << 16)]
+            same = sig[a] == sig[b]
+            posted = ((mask[a] & mask[b])[:, None] >> bits) & 1
+            hit = (np.count_nonzero(same, axis=1) >= matches) & ((same & (posted == 1)).argmax(axis=1) == coord[a])
+            if hit.any():
+                yield a[hit], b[hit]
+        lag += 1
+
+
+def _meeting(matches: int):
+    """Of each (item, chunk pair) list, the documents that take part in a pair to be confirmed there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, (item, c, d, rep, comp, side, mask), sig in _lists(batches, 3):
+            take = np.zeros(len(rep), bool)
+            for a, b in _cross_pairs(number, item >> 32, rep, comp, side, mask, sig, matches):
+                take[a] = take[b] = True
+            if take.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (item, c, d, rep, comp, side, mask)] + [
+                    pa.ListArray.from_arrays(pa.array(np.arange(take.sum() + 1, dtype=np.int32) * sig.shape[1]),
+                                             pa.array(sig[take].ravel()))],
+                    ["item", "c", "d", "rep", "comp", "side", "mask", "sig"])
+    return run
+
+
+def _bit_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of bits per set, over the values that at least two of the sets hold."""
+    flat = np.concatenate(sets)
+    values, where, n = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    words = int((n > 1).sum() + 63) // 64
+    out = np.zeros((len(sets), max(1, words)), U64)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = n[where] > 1
+    at = column[where[shared]]
+    np.bitwise_or.at(out, (row[shared], at >> 6), U64(1) << (at & 63).astype(U64))
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the graph with edges (a, b)."""
+    root: dict[int, int] = {}
+    out = []
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = top(x), top(y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return tuple(np.array(out, np.int64).reshape(-1, 2).T)
+
+
+def _across(matches: int, num: int, den: int):
+    """Of each (item, chunk pair) list of meeting documents, a spanning forest of the pairs with den * intersection >= num * union."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (_, _, _, rep, comp, side), sig in _lists(batches, 3):
-            n_lists = int(number[-1]) + 1
-            low, high = np.full(n_lists, np.iinfo(np.int64).max), np.full(n_lists, np.iinfo(np.int64).min)
-            np.minimum.at(low, number, comp)
-            np.maximum.at(high, number, comp)
-            live = np.flatnonzero((low != high)[number])
-            number, rep, comp, side, sig = number[live], rep[live], comp[live], side[live], sig[live]
-            lag = 1
-            while lag < len(number):
-                i = np.flatnonzero(number[lag:] == number[:-lag])
-                if not len(i):
-                    break
-                # in a pair of two chunks, pairs within a chunk are counted elsewhere (side: 2 if there is only one chunk)
-                i = i[(comp[i] != comp[i + lag]) & ((side[i] != side[i + lag]) | (side[i] == 2))]
-                for x in range(0, len(i), 1 << 16):
-                    j = i[x:x + (1 << 16)]
-                    j = j[np.count_nonzero(sig[j] == sig[j + lag], axis=1) >= matches]
-                    if len(j):
-                        yield _pairs(rep[j], rep[j + lag])
-                lag += 1
+        for number, (item, _, _, rep, comp, side, mask, raw), sig in _lists(batches, 3):
+            edges = [[], []]
+            first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+            for s, e in zip(first, np.r_[first[1:], len(number)]):
+                if e - s < 2:
+                    continue
+                sets = [np.frombuffer(x, U64) for x in raw[s:e]]
+                size, bits = np.array([len(x) for x in sets]), _bit_sets(sets)
+                for a, b in _cross_pairs(number[s:e] - number[s], item[s:e] >> 32, rep[s:e], comp[s:e], side[s:e], mask[s:e],
+                                         sig[s:e], matches):
+                    step = max(1, (1 << 20) // bits.shape[1])
+                    for x in range(0, len(a), step):
+                        i, j = a[x:x + step], b[x:x + step]
+                        both = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+                        hit = den * both >= num * (size[i] + size[j] - both)
+                        edges[0].append(rep[s:e][i[hit]])
+                        edges[1].append(rep[s:e][j[hit]])
+            if edges[0] and len(np.concatenate(edges[0])):
+                yield _pairs(*_forest(np.concatenate(edges[0]), np.concatenate(edges[1])))
     return run
 
 
@@ -196,10 +271,15 @@ def _confirm(num: int, den: int):
     return run
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shingles) of the documents with the given ids."""
+    ids = ids.distinct()
+    return written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "sets")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     pairs = cut_lineage(pairs.distinct())
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(docs.join(ends, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "sets")
+    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, k)
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -229,11 +309,13 @@ def near_duplicates(documents: DataFrame, k: int = 4, num: int = 80, den: int =
         .where(F.size("held") > 0)
     )
     chunks = F.ceil(F.col("x.n") / CHUNK).cast("int")
+    coords_posted = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x["item"], 32).cast("int"))))
     posted = cut_lineage(
-        prefix.join(classes.select("rep", "sig"), "rep")
-        .select("rep", "sig", F.explode("held").alias("x"))
+        prefix.withColumn("mask", coords_posted).join(classes.select("rep", "sig"), "rep")
+        .select("rep", "sig", "mask", F.explode("held").alias("x"))
         .select(F.col("x.item").alias("item"), chunks.alias("chunks"),
-                F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"), "rep", "sig"))
+                F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"), "rep", "mask", "sig"))
 
     first = posted.select("item", "chunk", "rep", "sig")
     first = first.repartition("item", "chunk").sortWithinPartitions("item", "chunk", "rep")
@@ -251,9 +333,13 @@ def near_duplicates(documents: DataFrame, k: int = 4, num: int = 80, den: int =
         "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     side = F.when(F.col("chunk") == F.col("other"), 2).otherwise((F.col("chunk") > F.col("other")).cast("int"))
     second = second.select("item", F.least("chunk", "other").alias("c"), F.greatest("chunk", "other").alias("d"), "rep",
-                           "comp", side.alias("side"), "sig")
-    second = second.repartition("item", "c", "d").sortWithinPartitions("item", "c", "d", "rep")
-    more = _confirmed(second.mapInArrow(_across(matches), "a long, b long"), docs, k, num, den)
+                           "comp", side.alias("side"), "mask", "sig")
+    by_list = lambda df: df.repartition("item", "c", "d").sortWithinPartitions("item", "c", "d", "rep")
+    meeting = "item long, c int, d int, rep long, comp long, side int, mask long"
+    met = cut_lineage(by_list(second).mapInArrow(_meeting(matches), meeting + ", sig array<int>"))
+    sets = _sets_of(met.select(F.col("rep").alias("doc_id")), docs, k).withColumnRenamed("doc_id", "rep")
+    met = met.join(sets, "rep").select("item", "c", "d", "rep", "comp", "side", "mask", "shingles", "sig")
+    more = cut_lineage(by_list(met).mapInArrow(_across(matches, num, den), "a long, b long"))
     merged = connected_components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     of_class = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left")

@@ -173,7 +173,7 @@ def brute_ctw(train, texts, order):
     children = collections.defaultdict(set)
 
     def steps(text):
-        data = bytes(order) + (text or "").translate(LOWER).encode() + b"\0"
+        data = bytes(order) + " ".join(tokens(text)).encode() + b"\0"
         for i in range(order, len(data)):
             for bit in range(8):
                 prefix = (1 << bit) | (data[i] >> (8 - bit))

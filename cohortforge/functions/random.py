@@ -1,6 +1,6 @@
 """Portable pseudo-random draws.
 
-Every random choice in the library is a pure function of (tag, row key): the first 32 bits of
+Every random choice in the library is a pure function of (tag, row key): the first 52 bits of
 md5("tag|key") scaled to [0, 1). Results therefore do not depend on partitioning, task retries or
 executor loss, and an independent SQL engine can recompute every draw.  ``fast=True`` switches to
 xxhash64 (cheaper, JVM-native) for runs that do not need an external oracle.
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_POW_32 = 4294967296.0
+# 52 bits fill a double's mantissa, so floor(u * N) can reach every row of any table below 2^52 rows
+TWO_POW_52 = 4503599627370496.0
 
 
 def _as_col(x) -> Column:
@@ -24,14 +25,14 @@ def uniform(tag, key, fast: bool = False) -> Column:
     key_col = _as_col(key).cast("string")
     if fast:
         h = F.xxhash64(tag_col, key_col)
-        return F.pmod(h, F.lit(1 << 32).cast("bigint")).cast("double") / F.lit(TWO_POW_32)
+        return F.pmod(h, F.lit(1 << 52).cast("bigint")).cast("double") / F.lit(TWO_POW_52)
     digest = F.md5(F.concat(tag_col, F.lit("|"), key_col))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint").cast("double") / F.lit(TWO_POW_32)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(TWO_POW_52)
 
 
 def duck_uniform(tag_sql: str, key_sql: str) -> str:
     """The same draw as DuckDB SQL text (tag_sql is a SQL string literal or expression)."""
-    return f"(('0x'||substr(md5({tag_sql}||'|'||cast({key_sql} as varchar)),1,8))::bigint/4294967296.0::double)"
+    return f"(('0x'||substr(md5({tag_sql}||'|'||cast({key_sql} as varchar)),1,13))::bigint/4503599627370496.0::double)"
 
 
 def inverse_cdf(cats: Column, cum: Column, u: Column) -> Column:
@@ -57,4 +58,4 @@ def uniform_int(u: Column, lo: Column | int, hi: Column | int) -> Column:
 def py_uniform(tag, key) -> float:
     """The same draw computed in Python (for scalar parameters such as a systematic offset)."""
     import hashlib
-    return int(hashlib.md5(f"{tag}|{key}".encode()).hexdigest()[:8], 16) / TWO_POW_32
+    return int(hashlib.md5(f"{tag}|{key}".encode()).hexdigest()[:13], 16) / TWO_POW_52

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.divergence import r6
+from ..session import bounded_broadcast
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -42,20 +43,22 @@ def nunique(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .groupBy("COLUMN").agg(F.count("*").alias("NUNIQUE")))
 
 
-def crosstab_long(df: DataFrame, row: str, col: str, col_values: Sequence | None = None) -> DataFrame:
-    """Complete (row, col) grid of counts with zeros, long form, via pivot + unpivot (no cross join).
-    `col_values` is the column domain; when omitted it is read (bounded, as Spark's own pivot does)."""
-    if col_values is None:
-        col_values = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).collect()]
-    names = [f"_v{i}" for i in range(len(col_values))]
-    wide = df.where(F.col(row).isNotNull()).groupBy(row).pivot(col, list(col_values)).agg(F.count(F.lit(1)))
-    wide = wide.toDF(row, *names).na.fill(0, subset=names)
-    pairs = [F.struct(F.lit(v).alias(col), F.col(n).alias("n")) for v, n in zip(col_values, names)]
-    return wide.select(row, F.explode(F.array(*pairs)).alias("_p")).select(row, "_p.*")
+def crosstab_long(df: DataFrame, row: str, col: str) -> DataFrame:
+    """Complete (row, col) grid of counts with zeros, long form; the column domain is what the data holds. Everything after
+    the grouped count runs on the count table: each row's counts become a map that is read at every column of the domain."""
+    counts = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
+    domain = F.collect_set(col).over(Window.partitionBy())
+    per_row = counts.withColumn("_all", domain).groupBy(row).agg(
+        F.first("_all").alias("_all"), F.map_from_entries(F.collect_list(F.struct(col, "n"))).alias("_n"))
+    rows = df.where(F.col(row).isNotNull()).select(row).distinct()  # rows whose column is always null still show zeros
+    per_row = rows.join(per_row, row, "left").withColumn("_all", F.coalesce("_all", F.first("_all", ignorenulls=True).over(
+        Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    return per_row.select(row, F.explode("_all").alias(col), "_n").select(
+        row, col, F.coalesce(F.try_element_at("_n", F.col(col)), F.lit(0)).alias("n"))
 
 
-def crosstab_rownorm(df: DataFrame, row: str, col: str, col_values: Sequence | None = None, digits: int | None = 6) -> DataFrame:
-    g = crosstab_long(df, row, col, col_values)
+def crosstab_rownorm(df: DataFrame, row: str, col: str, digits: int | None = 6) -> DataFrame:
+    g = crosstab_long(df, row, col)
     tot = F.sum("n").over(Window.partitionBy(row))
     share = F.when(tot > 0, F.col("n") / tot)
     return g.select(row, col, "n", (F.round(share, digits) if digits is not None else share).alias("share"))
@@ -69,19 +72,29 @@ def crosstab_truncate(ct: DataFrame, row: str, col: str, keep_rows: int = 2, kee
         .drop("_r", "_c")
 
 
-def pivot_matrix(long: DataFrame, row: str, col: str, value: str, col_values: Sequence, names: Sequence[str]) -> DataFrame:
-    wide = long.groupBy(row).pivot(col, list(col_values)).agg(F.first(value))
-    return wide.toDF(row, *names)
+def pivot_matrix(long: DataFrame, row: str, col: str, value: str, name) -> DataFrame:
+    """Wide form with one column per value that the data holds (Spark's pivot reads the domain); `name` maps a value, as a
+    string, to its column's name."""
+    wide = long.where(F.col(col).isNotNull()).groupBy(row).pivot(col).agg(F.first(value))
+    return wide.toDF(row, *[name(c) for c in wide.columns[1:]])
 
 
 def mean_percentile(df: DataFrame, keys: Sequence[str], value: str, flag: str, q: float = 0.05) -> DataFrame:
-    """Mean, q-th percentile (linear interpolation; exact: Spark keeps per-distinct-value counts) and
-    mean of a boolean flag."""
-    return df.groupBy(*keys).agg(
-        r6(F.avg(value)).alias("MEAN"),
-        r6(F.percentile(F.col(value), F.lit(q))).alias("P05"),
-        r6(F.avg(F.col(flag).cast("double"))).alias("FLAG_RATE"),
-    )
+    """Mean, q-th percentile (linear interpolation, exact) and mean of a boolean flag.
+
+    The percentile is read from the (keys, value) count table: its running count per key tells which values hold the two
+    ranks around q * (n - 1), so no aggregation buffer gathers a group's values."""
+    stats = df.groupBy(*keys).agg(
+        r6(F.avg(value)).alias("MEAN"), r6(F.avg(F.col(flag).cast("double"))).alias("FLAG_RATE"),
+        (F.lit(q) * (F.count(value) - 1)).alias("_at"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    cum = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    j = counts.withColumn("_cum", cum).join(bounded_broadcast(stats.select(*keys, "_at")), list(keys))
+    low, high = F.floor("_at"), F.ceil("_at")
+    p = j.groupBy(*keys).agg(F.min(F.when(F.col("_cum") > low, F.col("_v"))).alias("_a"),
+                             F.min(F.when(F.col("_cum") > high, F.col("_v"))).alias("_b"), F.first("_at").alias("_at"))
+    p = p.select(*keys, r6(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias("P05"))
+    return stats.join(p, list(keys), "left").select(*keys, "MEAN", "P05", "FLAG_RATE")
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:

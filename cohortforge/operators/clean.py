@@ -150,19 +150,21 @@ def rename_relabel(df: DataFrame, renames: Mapping[str, str] | None = None,
     return out
 
 
-def high_risk_cohort(df: DataFrame, age: str, score: str, prob: str, policy: str = "high_risk") -> DataFrame:
-    """Policy adjustment of a probability: high-risk flag age>65 or score>=3; the high-risk policy
-    raises by .3 (cap .95) for flagged rows and lowers by .1 (floor .01) otherwise; the early policy
-    raises by .2 (cap .9) for flagged rows."""
-    flag = (F.col(age) > 65) | (F.col(score) >= 3)
-    p = F.col(prob)
+def high_risk_cohort(df: DataFrame, age: str, score: str, outpatient: str, inpatient: str, policy: str = "high_risk") -> DataFrame:
+    """Policy adjustment of a row's outpatient and inpatient probabilities, with the high-risk flag (age > 65 or score >= 3).
+
+    early: every row's outpatient probability rises by .2 (cap .9). high_risk: of flagged rows, the outpatient probability rises
+    by .3 (cap .95) and the inpatient probability falls by .1 (floor .01); other rows stay as they are."""
+    flag = F.coalesce((F.col(age) > 65) | (F.col(score) >= 3), F.lit(False))
+    out, inp = F.col(outpatient), F.col(inpatient)
     if policy == "high_risk":
-        adj = F.when(flag, F.least(p + 0.3, F.lit(0.95))).otherwise(F.greatest(p - 0.1, F.lit(0.01)))
+        new_out = F.when(flag, F.least(out + 0.3, F.lit(0.95))).otherwise(out)
+        new_in = F.when(flag, F.greatest(inp - 0.1, F.lit(0.01))).otherwise(inp)
     elif policy == "early":
-        adj = F.when(flag, F.least(p + 0.2, F.lit(0.9))).otherwise(p)
+        new_out, new_in = F.least(out + 0.2, F.lit(0.9)), inp
     else:
         raise ValueError(policy)
-    return df.withColumn("HIGH_RISK", flag).withColumn(f"{prob}_ADJ", adj)
+    return df.withColumn("HIGH_RISK", flag).withColumn(f"{outpatient}_ADJ", new_out).withColumn(f"{inpatient}_ADJ", new_in)
 
 
 # Re-exports of scalar expressions for callers of this module.

@@ -1,11 +1,10 @@
 """Density clustering: DBSCAN on distinct vectors with multiplicities.
 
-eps-neighbourhoods come from the blocked exact search (edges between distinct vectors only);
+eps-neighbourhoods come from the blocked exact search (edges between distinct vectors only, stored once);
 core vectors have at least `min_samples` rows within eps (itself included); clusters are the
-connected components of core vectors, found by iterative min-label propagation over the core
-edge list (a join + grouped min per round, lineage cut by a checkpoint each round); border vectors
-join the smallest-labelled adjacent cluster; labels are the smallest row id of the cluster's core
-rows; noise is -1.
+connected components of core vectors (star contraction until nothing changes, so a chain of any length is one
+cluster); border vectors join the smallest-labelled adjacent cluster; labels are the smallest row id of the
+cluster's core rows; noise, and rows with a null feature, are -1.
 """
 
 from __future__ import annotations
@@ -16,35 +15,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .components import connected_components
 from .neighbors import radius_edges
 
 
-def dbscan(df: DataFrame, feats: Sequence[str], id_col: str, eps: float, min_samples: int, max_rounds: int = 200) -> DataFrame:
+def dbscan(df: DataFrame, feats: Sequence[str], id_col: str, eps: float, min_samples: int) -> DataFrame:
     feats = list(feats)
     x = df.select(id_col, *[F.col(f).cast("double").alias(f) for f in feats])
-    vid = x.groupBy(*feats).agg(F.min(id_col).alias("_v"))  # vector id = smallest row id
+    vid = cut_lineage(x.groupBy(*feats).agg(F.min(id_col).alias("_v")))  # vector id = smallest row id
     e = radius_edges(x, feats, id_col, eps).join(vid, feats, "inner").select("_v", F.col("_pid").alias("_u"), "_pmult")
-    dens = e.groupBy("_v").agg(F.sum("_pmult").alias("_dens"))
-    core = dens.where(F.col("_dens") >= min_samples).select("_v")
-    ce = e.join(core, "_v", "left_semi").join(core.withColumnRenamed("_v", "_u"), "_u", "left_semi").select("_v", "_u")
-    ce = cut_lineage(ce)
-    labels = cut_lineage(core.withColumn("_lab", F.col("_v")))
-    # labels only decrease, so "nothing changed" is "the label sum did not drop": one aggregate over
-    # the checkpointed labels per round instead of a join against the previous round
-    total = labels.agg(F.sum("_lab")).first()[0]
-    for _ in range(max_rounds):
-        prop = ce.join(labels.withColumnRenamed("_v", "_u").withColumnRenamed("_lab", "_nl"), "_u", "inner") \
-            .groupBy("_v").agg(F.min("_nl").alias("_nl"))
-        new = labels.join(prop, "_v", "left").select("_v", F.least(F.col("_lab"), F.coalesce(F.col("_nl"), F.col("_lab"))).alias("_lab"))
-        new = cut_lineage(new)
-        new_total = new.agg(F.sum("_lab")).first()[0]
-        labels = new
-        if new_total == total:
-            break
-        total = new_total
+    e = cut_lineage(e)
+    core = cut_lineage(e.groupBy("_v").agg(F.sum("_pmult").alias("_dens")).where(F.col("_dens") >= min_samples).select("_v"))
+    ce = e.join(core, "_v", "left_semi").join(core.withColumnRenamed("_v", "_u"), "_u", "left_semi")
+    merged = connected_components(ce.select(F.col("_v").alias("a"), F.col("_u").alias("b")))
+    labels = core.join(merged.select(F.col("node").alias("_v"), "component"), "_v", "left") \
+        .select("_v", F.coalesce("component", "_v").alias("_lab"))
+    labels = cut_lineage(labels)
     # border vectors: non-core with a core neighbour -> smallest adjacent cluster label
     border = (e.join(core, "_v", "left_anti").join(labels.withColumnRenamed("_v", "_u"), "_u", "inner")
               .groupBy("_v").agg(F.min("_lab").alias("_lab")))
     all_lab = labels.unionByName(border)
-    return (x.join(vid, feats, "inner").join(all_lab, "_v", "left")
+    return (x.join(vid, feats, "left").join(all_lab, "_v", "left")
             .select(id_col, F.coalesce(F.col("_lab"), F.lit(-1)).cast("bigint").alias("CLUSTER")))

@@ -1,18 +1,19 @@
 """Encoders and feature preparation.
 
-A vocabulary is a long DataFrame (COLUMN, CATEGORY, CODE) built with one unpivot + distinct + a
-window per column over the distinct values only. Applying it is one left join per column against
-that column's slice (broadcast when its estimated size is small, else a shuffle join).
+A vocabulary is a long DataFrame (COLUMN, CATEGORY, CODE): one unpivot + distinct, then positions over range
+partitions of the distinct values (no task holds all values of a column), stored once. Applying it is one
+left join per column against that column's slice (broadcast when its estimated size is small, else a shuffle join).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, cut_lineage
+from .rowindex import with_row_index
 
 NULL_TOKEN = "nan"
 
@@ -41,15 +42,20 @@ def fit_vocabulary(frames: DataFrame | Sequence[DataFrame], cols: Sequence[str],
         arr = F.array(*[F.struct(F.lit(c).alias("COLUMN"), F.col(c).alias("CATEGORY")) for c in cols])
         long = u.select(F.explode(arr).alias("_s"), "_key").select("_s.*", "_key").where(F.col("CATEGORY").isNotNull())
         d = long.groupBy("COLUMN", "CATEGORY").agg(F.min("_key").alias("_first"))
-        return d.select("COLUMN", "CATEGORY",
-                        (F.row_number().over(Window.partitionBy("COLUMN").orderBy("_first", "CATEGORY")) - 1).alias("CODE"))
+        return _numbered(d, "_first", "CATEGORY")
     u = None
     for f in frames:
         s = _stack(f, cols, null_token)
         u = s if u is None else u.unionByName(s)
-    d = u.distinct()
-    return d.select("COLUMN", "CATEGORY", (F.dense_rank().over(Window.partitionBy("COLUMN").orderBy("CATEGORY")) - 1)
-                    .cast("int").alias("CODE"))
+    return _numbered(u.distinct(), "CATEGORY")
+
+
+def _numbered(values: DataFrame, *order: str) -> DataFrame:
+    """CODE = position within COLUMN by ``order``: the position over all columns less that of the column's first value."""
+    placed = cut_lineage(with_row_index(values, "COLUMN", *order))
+    first = placed.groupBy("COLUMN").agg(F.min("_idx").alias("_start"))  # one row per column
+    coded = placed.join(bounded_broadcast(first), "COLUMN")
+    return cut_lineage(coded.select("COLUMN", "CATEGORY", (F.col("_idx") - F.col("_start")).cast("int").alias("CODE")))
 
 
 def apply_vocabulary(df: DataFrame, vocab: DataFrame, cols: Sequence[str], unseen: int | None = -1,

@@ -29,38 +29,51 @@ def cells(df: DataFrame, features: Sequence[str], count: str = "N") -> DataFrame
 
 
 def ipf_fit(cell_df: DataFrame, features: Sequence[str], targets: DataFrame, count: str = "N",
-            max_iter: int = 100, tol: float | None = 1e-5, checkpoint_every: int = 5) -> tuple[DataFrame, int]:
+            max_iter: int = 100, tol: float = 1e-5) -> tuple[DataFrame, int, bool]:
     """Raking on a cell table: per iteration and feature f, w *= target[f=c] / sum(count*w over f=c).
 
-    `targets` is long: (FEATURE, CATEGORY string, TARGET double); they are attached to the cells
-    once (one join per feature against its domain-bounded target slice). A category without a
-    target gets a null weight. Each half-step is then a single window over the cell table
-    partitioned by that feature, so the plan grows linearly and is cut by a reliable checkpoint
-    every few iterations. Stops when all |w - w_old| <= tol + tol*|w_old| (numpy allclose) or after
-    max_iter; tol=None runs exactly max_iter iterations. Returns (cells with W, iterations run).
+    A cell's weight is the product of one factor per feature, so only the factor tables (one row per category) change:
+    a half-step joins the stored cells with the factors, sums by f and scales f's factors, which are stored; the plan has
+    the same size at every step and no task gathers the cells of a category. `targets` is long: (FEATURE, CATEGORY
+    string, TARGET double); a category without a target gets a null weight, one whose cells sum to zero a null factor.
+    Stops when all |w - w_old| <= tol + tol*|w_old| (numpy allclose) or after max_iter. Returns (cells with W,
+    iterations run, converged).
     """
-    w = cell_df.withColumn("W", F.lit(1.0))
-    for i, f in enumerate(features):
-        tgt = targets.where(F.col("FEATURE") == f).select(F.col("CATEGORY").alias("_cat"), F.col("TARGET").alias(f"_T{i}"))
-        w = w.withColumn("_cat", F.col(f).cast("string")).join(bounded_broadcast(tgt), "_cat", "left").drop("_cat")
-    w = cut_lineage(w)
-    it = 0
-    for it in range(1, max_iter + 1):
-        cur = w.withColumn("_W0", F.col("W"))
-        for i, f in enumerate(features):
-            current = F.sum(F.col(count) * F.col("W")).over(Window.partitionBy(f))
-            cur = cur.withColumn("W", F.col("W") * F.col(f"_T{i}") / current)
-        if checkpoint_every and it % checkpoint_every == 0:
-            cur = cut_lineage(cur)
-        if tol is not None:
-            bad = cur.agg(F.count_if(~(F.abs(F.col("W") - F.col("_W0")) <= F.lit(tol) + F.lit(tol) * F.abs(F.col("_W0")))
-                                     & (F.col("W").isNotNull() | F.col("_W0").isNotNull())).alias("b")).first()["b"]
-            w = cur.drop("_W0")
-            if bad == 0:
-                break
-        else:
-            w = cur.drop("_W0")
-    return w.drop(*[f"_T{i}" for i in range(len(features))]), it
+    features = list(features)
+    keys = [f"_k{i}" for i in range(len(features))]
+    cells_ = cut_lineage(cell_df.select("*", *[F.col(f).cast("string").alias(k) for f, k in zip(features, keys)]))
+    goal = {f: targets.where(F.col("FEATURE") == f).select(F.col("CATEGORY").alias("_c"), F.col("TARGET").alias("_t"))
+            for f in features}
+    factor = [cut_lineage(cells_.select(k).distinct().withColumn("_f", F.lit(1.0))) for k in keys]
+
+    def weighted(tables, name):
+        out, parts = cells_, []
+        for i, (k, t) in enumerate(zip(keys, tables)):
+            out = out.join(bounded_broadcast(t.select(F.col(k).alias(f"_j{i}"), F.col("_f").alias(f"_f{i}"))),
+                           F.col(k).eqNullSafe(F.col(f"_j{i}")), "left").drop(f"_j{i}")
+            parts.append(F.col(f"_f{i}"))
+        product = parts[0]
+        for p in parts[1:]:
+            product = product * p
+        return out.withColumn(name, product).drop(*[f"_f{i}" for i in range(len(keys))])
+
+    it, converged = 0, False
+    while it < max_iter and not converged:
+        it += 1
+        old = list(factor)
+        for i, (f, k) in enumerate(zip(features, keys)):
+            now = weighted(factor, "W").groupBy(k).agg(F.sum(F.col(count) * F.col("W")).alias("_s"))
+            now = now.join(bounded_broadcast(goal[f]), F.col(k) == F.col("_c"), "left")
+            scale = now.select(F.col(k).alias("_j"), F.try_divide(F.col("_t"), F.col("_s")).alias("_x"))
+            factor[i] = cut_lineage(factor[i].join(bounded_broadcast(scale), F.col(k).eqNullSafe(F.col("_j")), "left")
+                                    .select(k, (F.col("_f") * F.col("_x")).alias("_f")))
+        both = weighted(factor, "W").select(*keys, "W")
+        both = both.join(weighted(old, "_W0").select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], "_W0"),
+                         [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)])
+        near = F.abs(F.col("W") - F.col("_W0")) <= F.lit(tol) + F.lit(tol) * F.abs(F.col("_W0"))
+        moved = both.where(~F.coalesce(near, F.col("W").isNull() & F.col("_W0").isNull()))
+        converged = moved.isEmpty()
+    return weighted(factor, "W").drop(*keys), it, converged
 
 
 def marginal_targets(df: DataFrame, features: Sequence[str], scale: float = 1.0) -> DataFrame:
@@ -73,12 +86,37 @@ def marginal_targets(df: DataFrame, features: Sequence[str], scale: float = 1.0)
     return parts.select("FEATURE", "CATEGORY", "TARGET")
 
 
-def ipf_seed(cell_df: DataFrame, key_cols: Sequence[str], count: str = "N", tag: str = "seed") -> DataFrame:
-    """Random integer seed per cell in [0.5*avg, 1.5*avg) where avg is the mean cell count."""
-    avg = cell_df.agg(F.avg(count)).first()[0]
-    lo, hi = 0.5 * avg, 1.5 * avg
+def ipf_seed(cell_df: DataFrame, key_cols: Sequence[str], targets: DataFrame, tag: str = "seed") -> DataFrame:
+    """Random integer seed in [floor(0.5*avg), floor(1.5*avg)) for every cell of the two features' grid, observed or not; avg is the
+    mean over all categories' targets of both features."""
+    from .aggregates import crosstab_long
+    avg = targets.agg(F.avg("TARGET")).first()[0] or 0.0
+    lo, hi = int(0.5 * avg), max(int(1.5 * avg), int(0.5 * avg) + 1)
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
-    return cell_df.withColumn("SEED", F.floor(F.lit(lo) + uniform(tag, key) * F.lit(hi - lo)).cast("bigint"))
+    grid = crosstab_long(cell_df, *key_cols).select(*key_cols)
+    return grid.withColumn("SEED", F.floor(F.lit(lo) + uniform(tag, key) * F.lit(hi - lo)).cast("bigint"))
+
+
+def ipf_matrix(seed: DataFrame, row: str, col: str, targets: DataFrame, value: str = "SEED", max_iter: int = 1000,
+               tol: float = 1e-6) -> tuple[DataFrame, int, bool]:
+    """Fit the seed matrix to its row and column targets: rows, then columns, until the Frobenius norm of the change is below tol.
+    The matrix has one row per pair of categories; each half-step is a grouped sum joined back and the result is stored."""
+    m = cut_lineage(seed.select(row, col, F.col(value).cast("double").alias("W")))
+    it, converged = 0, False
+    while it < max_iter and not converged:
+        it += 1
+        new = m.withColumn("_W0", F.col("W"))
+        for f in (row, col):
+            goal = targets.where(F.col("FEATURE") == f).select(F.col("CATEGORY").alias("_c"), F.col("TARGET").alias("_t"))
+            s = new.groupBy(F.col(f).alias("_g")).agg(F.sum("W").alias("_s"))
+            s = s.join(bounded_broadcast(goal), F.col("_g").cast("string") == F.col("_c"), "left")
+            s = s.select("_g", F.coalesce(F.try_divide("_t", "_s"), F.lit(0.0)).alias("_x"))
+            new = cut_lineage(new.join(bounded_broadcast(s), F.col(f) == F.col("_g")).withColumn("W", F.col("W") * F.col("_x"))
+                              .drop("_g", "_x"))
+        change = new.agg(F.sqrt(F.sum((F.col("W") - F.col("_W0")) ** 2))).first()[0]
+        converged = change is None or change < tol
+        m = new.drop("_W0")
+    return m, it, converged
 
 
 def weight_units(w: F.Column, scale: float = 1e6) -> F.Column:
@@ -241,10 +279,11 @@ def label_by_group_pool(df: DataFrame, lists: DataFrame, group: str, sample_col:
 
 
 def label_by_probability(pred: DataFrame, prob_col: str, labels: Sequence, out: str, id_col: str, tag: str = "lbp") -> DataFrame:
-    """Draw a label from a per-row class-probability array (running sum + inverse CDF)."""
-    p = F.col(prob_col)
-    cum = F.transform(p, lambda _x, i: F.aggregate(F.slice(p, 1, i + 1), F.lit(0.0), lambda a, b: a + b))
-    u = uniform(tag, id_col) * F.element_at(cum, -1)
-    idx = F.size(F.filter(cum, lambda c: c <= u)) + 1
-    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.least(idx, F.size(p)).cast("int"))
-    return pred.withColumn(out, lab)
+    """Draw a label from a per-row class-probability array: the running sums (one pass), then an inverse-CDF draw."""
+    cum = F.aggregate(F.col(prob_col), F.array().cast("array<double>"),
+                      lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
+    p = pred.withColumn("_cum", cum)
+    u = uniform(tag, id_col) * F.element_at("_cum", -1)
+    idx = F.size(F.filter("_cum", lambda c: c <= u)) + 1
+    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.least(idx, F.size("_cum")).cast("int"))
+    return p.withColumn(out, lab).drop("_cum")

@@ -131,10 +131,11 @@ def map_join(df: DataFrame, mapping: DataFrame, key: str, value: str, out: str |
 
 
 def positional_zip(a: DataFrame, b: DataFrame, a_key: str, b_key: str, b_cols: Sequence[str]) -> DataFrame:
-    """Column-bind b's columns to a by row position (a ordered by a_key, b by b_key)."""
-    ai = with_row_index(a, a_key, "_pos")
-    bi = with_row_index(b.select(b_key, *b_cols), b_key, "_pos").drop(b_key)
-    return ai.join(bi, "_pos", "inner").drop("_pos")
+    """Column-bind b's columns to a by row position (a ordered by a_key, b by b_key). The shorter side is filled
+    with nulls, so no row of either is lost."""
+    ai = with_row_index(a, a_key, out="_pos")
+    bi = with_row_index(b.select(b_key, *b_cols), b_key, out="_pos").drop(b_key)
+    return ai.join(bi, "_pos", "full").drop("_pos")
 
 
 def outer_align(a: DataFrame, b: DataFrame, cat: str) -> DataFrame:

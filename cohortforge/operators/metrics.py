@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.divergence import r6
 from ..session import bounded_broadcast
+from .rowindex import in_key_order, part_offsets
 
 
 def frequency_classifier_fit(train: DataFrame, context: Sequence[str], label: str) -> tuple[DataFrame, DataFrame]:
@@ -56,8 +57,8 @@ def frequency_classifier_label(model, df: DataFrame, context: Sequence[str], lab
     """Assign the arg-max label of the row's context (ties -> smallest; unseen -> global mode)."""
     per, glob = model
     key = list(context)
-    best = per.groupBy(*key).agg(F.max(F.struct(F.col("_n"), (-F.col(label)).alias("_neg"))).alias("_b"))
-    best = best.select(*key, (-F.col("_b._neg")).alias("_mode"))
+    best = per.groupBy(*key).agg(F.min(F.struct((-F.col("_n")).alias("_neg"), F.col(label).alias("_mode"))).alias("_b"))
+    best = best.select(*key, F.col("_b._mode").alias("_mode"))
     g = glob.orderBy(F.col("_n").desc(), F.col(label).asc()).limit(1).collect()
     gmode = g[0][label] if g else None
     return df.join(best, key, "left").withColumn(out, F.coalesce(F.col("_mode"), F.lit(gmode))).drop("_mode")
@@ -68,16 +69,19 @@ def confusion_counts(pred: DataFrame, y: str = "y", p: str = "pred") -> DataFram
 
 
 def accuracy(pred: DataFrame, y: str = "y", p: str = "pred") -> DataFrame:
-    return pred.agg(r6(F.avg((F.col(y) == F.col(p)).cast("double"))).alias("ACCURACY"))
+    """Share of rows predicted right; a row without a prediction is a miss."""
+    return pred.agg(r6(F.avg(F.coalesce(F.col(y) == F.col(p), F.lit(False)).cast("double"))).alias("ACCURACY"))
 
 
 def per_class(pred: DataFrame, y: str = "y", p: str = "pred") -> DataFrame:
-    """Per label of y ∪ pred: TP, FP, FN, support, precision, recall, F1 (zero division -> 0)."""
+    """Per label of y ∪ pred: TP, FP, FN, support, precision, recall, F1 (zero division -> 0).
+    A row without a prediction is a miss of its class."""
     cc = confusion_counts(pred, y, p)
-    a = cc.select(F.col("y").alias("CLASS"), F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"),
-                  F.lit(0).cast("bigint").alias("fp"), F.when(F.col("y") != F.col("pred"), F.col("n")).otherwise(0).alias("fn"),
+    right = F.col("y").eqNullSafe(F.col("pred"))
+    a = cc.select(F.col("y").alias("CLASS"), F.when(right, F.col("n")).otherwise(0).alias("tp"),
+                  F.lit(0).cast("bigint").alias("fp"), F.when(~right, F.col("n")).otherwise(0).alias("fn"),
                   F.col("n").alias("support"))
-    b = cc.where(F.col("y") != F.col("pred")).select(F.col("pred").alias("CLASS"), F.lit(0).cast("bigint").alias("tp"),
+    b = cc.where(~right).select(F.col("pred").alias("CLASS"), F.lit(0).cast("bigint").alias("tp"),
                                                       F.col("n").alias("fp"), F.lit(0).cast("bigint").alias("fn"),
                                                       F.lit(0).cast("bigint").alias("support"))
     s = a.unionByName(b).where(F.col("CLASS").isNotNull()).groupBy("CLASS").agg(
@@ -118,25 +122,20 @@ def log_loss(pred: DataFrame, p_true: str = "p_true", eps: float = 1e-15) -> Dat
     return pred.agg(r6(-F.avg(F.log(F.least(F.greatest(F.col(p_true), F.lit(eps)), F.lit(1 - eps))))).alias("LOG_LOSS"))
 
 
-def roc_auc(scored: DataFrame, score: str, label: str, buckets: int = 256) -> DataFrame:
+def roc_auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """Exact binary AUC by the rank-sum statistic with average ranks for tied scores.
 
-    Per distinct score: positives and total (partial/final aggregate). Ranks need a global order
-    of distinct scores: they are split into value-range buckets from approximate quantiles (only
-    for load balance; results stay exact), bucket totals give offsets (window over <= buckets rows),
-    and a window partitioned by bucket gives the rank inside it. One row: AUC, N_POS, N_NEG.
+    Per distinct score: positives and total (partial/final aggregate), stored once in score order by range
+    partitions; partition totals give offsets and a window inside each partition gives the rank. The input is read
+    once. With one class only the AUC is null. One row: AUC, N_POS, N_NEG.
     """
     d = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("_s")).agg(
         F.count("*").alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_p"))
-    qs = sorted(set(d.approxQuantile("_s", [i / buckets for i in range(1, buckets)], 0.001)))
-    bounds = F.array(*[F.lit(float(x)) for x in qs]) if qs else F.array().cast("array<double>")
-    db = d.withColumn("_b", F.size(F.filter(bounds, lambda x: x < F.col("_s"))))
-    tot = db.groupBy("_b").agg(F.sum("_n").alias("_bn"))
-    off = tot.select("_b", (F.sum("_bn").over(Window.orderBy("_b")) - F.col("_bn")).alias("_off"))
-    w = Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    # the offset table has at most `buckets` rows
-    r = db.join(F.broadcast(off), "_b").withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    ordered = in_key_order(d, "_s")
+    w = Window.partitionBy("_part").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    r = ordered.join(bounded_broadcast(part_offsets(ordered, F.sum("_n"))), "_part").withColumn(
+        "_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     avg_rank = F.col("_off") + F.col("_before") + (F.col("_n") + 1) / 2.0
     agg = r.agg(F.sum(F.col("_p") * avg_rank).alias("_rs"), F.sum("_p").alias("N_POS"), (F.sum("_n") - F.sum("_p")).alias("N_NEG"))
-    auc = (F.col("_rs") - F.col("N_POS") * (F.col("N_POS") + 1) / 2.0) / (F.col("N_POS") * F.col("N_NEG"))
+    auc = F.try_divide(F.col("_rs") - F.col("N_POS") * (F.col("N_POS") + 1) / 2.0, F.col("N_POS") * F.col("N_NEG"))
     return agg.select(r6(auc).alias("AUC"), "N_POS", "N_NEG")

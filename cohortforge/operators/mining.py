@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.divergence import js_term, r6
+from ..session import bounded_broadcast, cut_lineage
 
 
 def baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
@@ -57,14 +58,30 @@ def markov_transitions(events: DataFrame, entity: str, state: str, ts: str, tie:
     return t.withColumn("P", r6(F.col("N") / F.sum("N").over(Window.partitionBy("FROM_STATE"))))
 
 
-def comorbidity_compare(real_itemsets: DataFrame, real_n: int, synth_itemsets: DataFrame, synth_n: int, size: int = 2):
-    """Support of co-occurring item sets of the given size on both sides (frequent on either side),
-    their difference, and the JS similarity of the two normalized pair-support profiles."""
-    a = real_itemsets.where(F.size("items") == size).select(_itemset_str(F.col("items")).alias("ITEMS"),
-                                                           (F.col("freq") / F.lit(float(real_n))).alias("S_REAL"))
-    b = synth_itemsets.where(F.size("items") == size).select(_itemset_str(F.col("items")).alias("ITEMS"),
-                                                            (F.col("freq") / F.lit(float(synth_n))).alias("S_SYNTH"))
-    j = a.join(b, "ITEMS", "full").na.fill(0.0, subset=["S_REAL", "S_SYNTH"])
+def pair_support(bk: DataFrame, pairs: DataFrame, basket: str, out: str) -> DataFrame:
+    """Share of the baskets that hold both items of each of ``pairs`` (x, y): baskets with x meet their other items."""
+    n = bk.count()
+    held = bk.select(basket, F.explode("items").alias("item"))
+    both = (
+        held.join(bounded_broadcast(pairs), F.col("item") == F.col("x")).drop("item")
+        .join(held.withColumnRenamed("item", "other"), basket).where(F.col("other") == F.col("y"))
+    )
+    return both.groupBy("x", "y").agg((F.count("*") / F.lit(float(n or 1))).alias(out))
+
+
+def comorbidity_compare(real: DataFrame, synth: DataFrame, basket: str, min_support: float):
+    """Support on both sides of the item pairs that are frequent on either side (counted, so a pair that is rare on one side
+    shows its true support there), their difference, and the JS similarity of the two normalized profiles."""
+    frequent = None
+    for bk in (real, synth):
+        items, _ = freq_itemsets(bk, min_support)
+        s = F.array_sort("items")
+        found = items.where(F.size("items") == 2).select(s[0].alias("x"), s[1].alias("y"))
+        frequent = found if frequent is None else frequent.union(found)
+    frequent = cut_lineage(frequent.distinct())
+    j = frequent.join(pair_support(real, frequent, basket, "S_REAL"), ["x", "y"], "left").join(
+        pair_support(synth, frequent, basket, "S_SYNTH"), ["x", "y"], "left").na.fill(0.0, subset=["S_REAL", "S_SYNTH"])
+    j = j.select(F.concat_ws("|", "x", "y").alias("ITEMS"), "S_REAL", "S_SYNTH")
     pairs = j.select("ITEMS", r6(F.col("S_REAL")).alias("S_REAL"), r6(F.col("S_SYNTH")).alias("S_SYNTH"),
                      r6(F.col("S_SYNTH") - F.col("S_REAL")).alias("DIFF"))
     all_ = Window.partitionBy()

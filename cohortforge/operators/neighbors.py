@@ -7,6 +7,8 @@ are computed with numpy (Arrow batches in, a k-row summary per query out). Candi
 KP pool blocks are merged with a window over at most KP*k rows per query. Every task sees a
 bounded block pair, so neither side is broadcast whole and no group grows with the data; total
 work is the inherent Q x P distance count of exact search. Ties are broken by the smaller pool id.
+A row with a null feature has no distance to anything: as a query it keeps one row with null results,
+in the pool it is nobody's neighbour.
 """
 
 from __future__ import annotations
@@ -104,7 +106,7 @@ def _candidates(qv: DataFrame, pv: DataFrame, feats: Sequence[str], k: int | Non
 
 
 def _vectors(df: DataFrame, feats: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(f).cast("double").alias(f) for f in feats]).distinct()
+    return df.select(*[F.col(f).cast("double").alias(f) for f in feats]).dropna(subset=list(feats)).distinct()
 
 
 def pool_entries(pool: DataFrame, feats: Sequence[str], id_col: str, label: str | None, per_vector: int) -> DataFrame:
@@ -112,6 +114,7 @@ def pool_entries(pool: DataFrame, feats: Sequence[str], id_col: str, label: str
     (skew-safe k-smallest), with the vector's multiplicity."""
     x = pool.select(*[F.col(f).cast("double").alias(f) for f in feats], F.col(id_col).cast("bigint").alias("_pid"),
                     (F.col(label).cast("string") if label else F.lit(None).cast("string")).alias("_plab"))
+    x = x.dropna(subset=list(feats))
     mult = x.groupBy(*feats).agg(F.count("*").alias("_pmult"))
     firsts = k_smallest_per_group(x, list(feats), ["_pid"], per_vector, "_pid").drop("_rank")
     return firsts.join(mult, list(feats), "inner")
@@ -126,7 +129,7 @@ def nearest(queries: DataFrame, pool: DataFrame, feats: Sequence[str], q_id: str
     cand = _candidates(qv, pv, feats, k, None, block_rows)
     best = k_smallest_per_group(cand, feats, ["_d2", "_pid"], k, "_pid", salts=1, out="RANK")
     qrows = queries.select(F.col(q_id), *[F.col(f).cast("double").alias(f) for f in feats])
-    return qrows.join(best, feats, "inner").select(
+    return qrows.join(best, feats, "left").select(
         q_id, "RANK", F.col("_pid").alias("NN_ID"), F.sqrt("_d2").alias("NN_DIST"), F.col("_plab").alias("NN_LABEL"))
 
 
@@ -157,7 +160,7 @@ def k_distance(df: DataFrame, feats: Sequence[str], id_col: str, k: int, block_r
     cum = F.sum("_pmult").over(Window.partitionBy(*feats).orderBy("_d2", "_pid").rowsBetween(Window.unboundedPreceding, 0))
     kd = best.withColumn("_cum", cum).where(F.col("_cum") >= k).groupBy(*feats).agg(F.min("_d2").alias("_kd2"))
     rows = df.select(id_col, *[F.col(f).cast("double").alias(f) for f in feats])
-    return rows.join(kd, feats, "inner").select(id_col, F.sqrt("_kd2").alias("KDIST"))
+    return rows.join(kd, feats, "left").select(id_col, F.sqrt("_kd2").alias("KDIST"))
 
 
 def radius_edges(df: DataFrame, feats: Sequence[str], id_col: str, eps: float, block_rows: int = DEFAULT_BLOCK) -> DataFrame:
@@ -182,4 +185,4 @@ def gower_nearest(queries: DataFrame, pool: DataFrame, num_feats: Sequence[str],
     cand = _candidates(qv, pv, feats, 1, None, block_rows, gower=(ranges, is_cat))
     best = k_smallest_per_group(cand, feats, ["_d2", "_pid"], 1, "_pid", salts=1, out="_r")
     qrows = queries.select(F.col(q_id), *[F.col(f).cast("double").alias(f) for f in feats])
-    return qrows.join(best, feats, "inner").select(q_id, F.col("_pid").alias("NN_ID"), F.col("_d2").alias("GOWER_DIST"))
+    return qrows.join(best, feats, "left").select(q_id, F.col("_pid").alias("NN_ID"), F.col("_d2").alias("GOWER_DIST"))

@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import class_counts
+from .rowindex import with_row_index
 
 
 def dense_label_codes(df: DataFrame, label: str, code: str = "CODE") -> DataFrame:
-    """Sorted distinct labels -> 0..N-1 (window over the distinct-label table only)."""
+    """Sorted distinct labels -> 0..N-1 (positions over range partitions of the distinct labels)."""
     d = df.where(F.col(label).isNotNull()).select(label).distinct()
-    return d.select(label, (F.dense_rank().over(Window.orderBy(label)) - 1).alias(code))
+    return with_row_index(d, label).select(label, F.col("_idx").cast("int").alias(code))
 
 
 def first_seen_codes(df: DataFrame, label: str, order_key: str, code: str = "CODE") -> DataFrame:
     """Codes by first appearance (pandas factorize): order distinct labels by their first row key."""
     first = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(order_key).alias("_first"))
-    return first.select(label, (F.row_number().over(Window.orderBy("_first", label)) - 1).alias(code))
+    return with_row_index(first, "_first", label).select(label, F.col("_idx").cast("int").alias(code))
 
 
 def head_classes(df: DataFrame, label: str, n: int) -> DataFrame:

@@ -1,9 +1,9 @@
 """Dense, deterministic row index (0..N-1 in key order) without a single-partition window.
 
-Two-level prefix sum: rows are put in order-preserving key buckets (key div width, the width chosen
-so that there are at most MAX_BUCKETS buckets), bucket sizes come from one partial/final aggregate,
-bucket offsets from a window over at most MAX_BUCKETS rows (bounded by construction, so the offset
-table is safely broadcast), and the in-bucket rank from a window partitioned by bucket.
+Two-level prefix sum: rows are range partitioned by the key (bounds from the data itself, so neither outlying nor
+clustered keys fill one partition) and stored once with their partition number; partition sizes come from one
+partial/final aggregate, their offsets from a window over one row per partition, and the rank inside a partition
+from a window partitioned by that number.
 """
 
 from __future__ import annotations
@@ -11,40 +11,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 1 << 16
-
-
-def with_row_index(df: DataFrame, key: str, out: str = "_idx", max_buckets: int = MAX_BUCKETS) -> DataFrame:
-    """Add `out` = 0-based position of each row when ordered by the (unique, integral) `key`."""
-    lo_hi = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if lo_hi is None or lo_hi["lo"] is None:
-        return df.withColumn(out, F.lit(None).cast("bigint"))
-    lo, hi = int(lo_hi["lo"]), int(lo_hi["hi"])
-    width = max(1, (hi - lo) // max_buckets + 1)
-    b = F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("bigint")
-    keyed = df.withColumn("_bkt", b)
-    sizes = keyed.groupBy("_bkt").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_bkt", (F.sum("_n").over(Window.orderBy("_bkt")) - F.col("_n")).alias("_off"))
-    ranked = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_bkt").orderBy(key)))
-    # the offset table has at most max_buckets rows
-    return (ranked.join(F.broadcast(offsets), "_bkt")
+from ..session import bounded_broadcast, cut_lineage
+
+#: Rows that one in-bucket window should see on average.
+BUCKET_ROWS = 1 << 16
+
+
+def in_key_order(df: DataFrame, *keys: str, part: str = "_part") -> DataFrame:
+    """``df`` stored in range partitions of ``keys``, with the partition's number (ascending with the keys)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(n, *keys).withColumn(part, F.spark_partition_id()))
+
+
+def part_offsets(ordered: DataFrame, amount, part: str = "_part", out: str = "_off") -> DataFrame:
+    """Per partition number, the sum of ``amount`` over all partitions before it (one row per partition)."""
+    sums = ordered.groupBy(part).agg(amount.alias("_s"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(part, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias(out))
+
+
+def with_row_index(df: DataFrame, *keys: str, out: str = "_idx") -> DataFrame:
+    """Add `out` = 0-based position of each row when ordered by `keys`, unique together (nulls first)."""
+    ordered = in_key_order(df, *keys)
+    ranked = ordered.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
+    return (ranked.join(bounded_broadcast(part_offsets(ordered, F.count(F.lit(1)))), "_part")
             .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
-            .drop("_bkt", "_off", "_rn"))
+            .drop("_part", "_off", "_rn"))
 
 
-def group_rank(df: DataFrame, keys, u_col: str, tie: str, out: str = "_rank", buckets: int = 1024,
+def group_rank(df: DataFrame, keys, u_col: str, tie: str, out: str = "_rank", buckets: int | None = None,
                max_rank=None) -> DataFrame:
     """1-based rank of each row within `keys` ordered by (u_col, tie), where u_col is in [0, 1).
 
     Equivalent to row_number() over (partition by keys order by u, tie) but skew-safe: rows are
     split into `buckets` order-preserving sub-groups floor(u*buckets); sub-group sizes come from a
     partial/final aggregate, their offsets from a window over at most `buckets` rows per key, and the
-    in-bucket position from a window partitioned by (keys, bucket). A key holding a third of all
-    rows is thus ranked by `buckets` tasks. With `max_rank`, buckets that start beyond it are pruned
+    in-bucket position from a window partitioned by (keys, bucket). By default there is a bucket per
+    BUCKET_ROWS rows (one count), so a key holding a third of all rows is ranked by many tasks at any
+    size. Null keys form a group. With `max_rank`, buckets that start beyond it are pruned
     before the row-level window (cheap top-k / sample-n). `max_rank` may be a column of the offset
     table's keys (e.g. a per-key quota) or an int.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    if buckets is None:
+        buckets = -(-df.count() // BUCKET_ROWS) or 1
     b = F.least(F.floor(F.col(u_col) * buckets), F.lit(buckets - 1)).cast("int")
     keyed = df.withColumn("_b", b)
     sizes = keyed.groupBy(*keys, "_b").agg(F.count("*").alias("_bn"))
@@ -54,7 +64,9 @@ def group_rank(df: DataFrame, keys, u_col: str, tie: str, out: str = "_rank", bu
         limit = max_rank if not isinstance(max_rank, int) else F.lit(max_rank)
         if isinstance(max_rank, int):
             offsets = offsets.where(F.col("_off") < limit)
-    joined = keyed.join(offsets, [*keys, "_b"], "inner")
+    names = {k: f"_o{i}" for i, k in enumerate([*keys, "_b"])}
+    offsets = offsets.select(*[F.col(k).alias(n) for k, n in names.items()], "_off")
+    joined = keyed.join(offsets, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], "inner").drop(*names.values())
     rn = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(u_col, tie))
     return joined.withColumn(out, (F.col("_off") + rn).cast("bigint")).drop("_b", "_off")
 
@@ -65,12 +77,15 @@ def top_k_per_group(df: DataFrame, keys, order_col: str, tie: str, k: int, out:
     return r.where(F.col(out) <= k)
 
 
-def k_smallest_per_group(df: DataFrame, keys, order_cols, k: int, salt_of: str, salts: int = 64, out: str = "_rank") -> DataFrame:
+def k_smallest_per_group(df: DataFrame, keys, order_cols, k: int, salt_of: str, salts: int | None = None,
+                         out: str = "_rank") -> DataFrame:
     """The k rows with the smallest `order_cols` per group, for arbitrary (non-uniform) order values.
 
     Two stages: rank within (keys, salt) sub-groups (salt = hash of `salt_of` mod `salts`) and keep
     k, then rank the at most k*salts survivors per group. A hot group is ranked by `salts` tasks
-    and only k*salts of its rows ever meet in one task."""
+    and only k*salts of its rows ever meet in one task. By default there is a salt per BUCKET_ROWS rows."""
+    if salts is None:
+        salts = -(-df.count() // BUCKET_ROWS) or 1
     keys = [keys] if isinstance(keys, str) else list(keys)
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_of)), F.lit(salts)))

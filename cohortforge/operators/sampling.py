@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import py_uniform, uniform
-from .rowindex import group_rank, with_row_index
+from ..session import bounded_broadcast
+from .rowindex import BUCKET_ROWS, group_rank, in_key_order, part_offsets, with_row_index
 
 
 def split_random(df: DataFrame, frac: float = 0.8, tag: str = "split", id_col: str = "RECORD_ID"):
@@ -18,12 +19,13 @@ def split_random(df: DataFrame, frac: float = 0.8, tag: str = "split", id_col: s
 
 
 def split_stratified(df: DataFrame, label: str, test_frac: float = 0.25, tag: str = "strat", id_col: str = "RECORD_ID"):
-    """Per class, the round(test_frac * n_y) rows with the smallest u go to test; the rest to train."""
+    """Per class, the round(test_frac * n_y) rows with the smallest u go to test; the rest to train.
+    Rows without a label are a class of their own."""
     x = df.withColumn("_u", uniform(tag, id_col))
     ranked = group_rank(x, [label], "_u", id_col, out="_rank")
-    sizes = x.groupBy(label).agg(F.count("*").alias("_ny"))
+    sizes = x.groupBy(F.col(label).alias("_y")).agg(F.count("*").alias("_ny"))
     quota = F.round(F.col("_ny") * F.lit(test_frac))
-    r = ranked.join(sizes, label, "inner").withColumn("_test", F.col("_rank") <= quota)
+    r = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_y")), "inner").withColumn("_test", F.col("_rank") <= quota)
     cols = df.columns
     return r.where(~F.col("_test")).select(*cols), r.where(F.col("_test")).select(*cols)
 
@@ -36,27 +38,35 @@ def largest_remainder(sizes: DataFrame, label: str, n: int) -> DataFrame:
     base = sizes.withColumn("_exact", exact).withColumn("_floor", F.floor("_exact").cast("bigint")) \
         .withColumn("_rem", F.col("_exact") - F.col("_floor"))
     left = F.lit(n) - F.sum("_floor").over(Window.partitionBy())
-    order = F.row_number().over(Window.orderBy(F.col("_rem").desc(), F.col(label)))
+    order = F.row_number().over(Window.orderBy(F.col("_rem").desc(), F.col(label).asc_nulls_last()))
     return base.withColumn("_quota", F.col("_floor") + F.when(order <= left, 1).otherwise(0)).select(label, "_ny", "_quota")
 
 
 def sample_stratified_n(df: DataFrame, label: str, n: int, tag: str = "stratn", id_col: str = "RECORD_ID") -> DataFrame:
-    """Stratified subsample to at most n rows (unchanged when already small enough)."""
-    x = df.where(F.col(label).isNotNull()).withColumn("_u", uniform(tag, id_col))
+    """Stratified subsample to at most n rows (unchanged when already small enough). Rows without a label
+    are a class of their own."""
+    x = df.withColumn("_u", uniform(tag, id_col))
     sizes = x.groupBy(label).agg(F.count("*").alias("_ny"))
     total = sizes.agg(F.sum("_ny")).first()[0] or 0
     if total <= n:
-        return x.drop("_u")
-    quotas = largest_remainder(sizes, label, n)
+        return df
+    quotas = largest_remainder(sizes, label, n).withColumnRenamed(label, "_y")
     ranked = group_rank(x, [label], "_u", id_col, out="_rank")
-    return ranked.join(quotas, label, "inner").where(F.col("_rank") <= F.col("_quota")).select(*df.columns)
+    return (ranked.join(quotas, F.col(label).eqNullSafe(F.col("_y")), "inner").where(F.col("_rank") <= F.col("_quota"))
+            .select(*df.columns))
 
 
 def sample_n(df: DataFrame, n: int, tag: str = "sample", id_col: str = "RECORD_ID") -> DataFrame:
-    """min(n, len) rows without replacement: the n smallest u. Buckets beyond rank n are pruned
-    before any row-level ordering (see group_rank)."""
+    """min(n, len) rows without replacement: the n smallest u. Only rows below a bound on u that leaves a little
+    more than n of them are ranked; should they be fewer than n, all rows are."""
     x = df.withColumn("_u", uniform(tag, id_col))
-    r = group_rank(x, [], "_u", id_col, out="_rank", max_rank=n)
+    total = x.count()
+    if total <= n:
+        return df
+    near = x.where(F.col("_u") < (n + 8 * n ** 0.5 + 64) / total)
+    found = near.count()
+    near, found = (near, found) if found >= n else (x, total)
+    r = group_rank(near, [], "_u", id_col, out="_rank", buckets=-(-found // BUCKET_ROWS) or 1, max_rank=n)
     return r.where(F.col("_rank") <= n).select(*df.columns)
 
 
@@ -64,18 +74,12 @@ def sample_frac(df: DataFrame, frac: float = 0.5, tag: str = "frac", id_col: str
     return df.where(uniform(tag, id_col) < frac)
 
 
-def prefix_sum(df: DataFrame, key: str, value: str, out: str = "_cum", max_buckets: int = 1 << 16) -> DataFrame:
-    """Inclusive running sum of `value` in `key` order, two-level (bucket offsets + in-bucket window)."""
-    lo_hi = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    lo, hi = int(lo_hi["lo"]), int(lo_hi["hi"])
-    width = max(1, (hi - lo) // max_buckets + 1)
-    keyed = df.withColumn("_bkt", F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("bigint"))
-    sums = keyed.groupBy("_bkt").agg(F.sum(value).alias("_bs"))
-    offs = sums.select("_bkt", (F.sum("_bs").over(Window.orderBy("_bkt")) - F.col("_bs")).alias("_boff"))
-    w = Window.partitionBy("_bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    # the offset table has at most max_buckets rows
-    return (keyed.join(F.broadcast(offs), "_bkt").withColumn(out, F.col("_boff") + F.sum(value).over(w))
-            .drop("_bkt", "_boff"))
+def prefix_sum(df: DataFrame, key: str, value: str, out: str = "_cum") -> DataFrame:
+    """Inclusive running sum of `value` in `key` order, two-level (offsets of range partitions + a window inside each)."""
+    ordered = in_key_order(df, key)
+    w = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    return (ordered.join(bounded_broadcast(part_offsets(ordered, F.sum(value))), "_part")
+            .withColumn(out, F.col("_off") + F.sum(value).over(w)).drop("_part", "_off"))
 
 
 def sample_weighted_replace(df: DataFrame, weight: str, n: int | None = None, id_col: str = "RECORD_ID",
@@ -102,7 +106,7 @@ def sample_weighted_replace(df: DataFrame, weight: str, n: int | None = None, id
 
 def sample_replace(df: DataFrame, n: int, id_col: str = "RECORD_ID", tag: str = "replace") -> DataFrame:
     """n uniform draws with replacement: draw i picks the row at position floor(u(tag, i) * N)."""
-    idx = with_row_index(df, id_col, "_pos")
+    idx = with_row_index(df, id_col, out="_pos")
     total = idx.count()
     draws = df.sparkSession.range(n).select(F.col("id").alias("DRAW"),
                                             F.floor(uniform(tag, "id") * F.lit(total)).cast("bigint").alias("_pos"))

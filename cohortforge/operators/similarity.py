@@ -95,15 +95,15 @@ def js_similarity(real: DataFrame, synth: DataFrame, col: str) -> DataFrame:
     return js_report(real, synth, [col])
 
 
-def js_cell_matrix(real: DataFrame, synth: DataFrame, row: str, col: str, col_values) -> DataFrame:
-    """Per crosstab cell: row-normalized share p (real) and q (synth); JS of (p, 1-p) vs (q, 1-q)."""
+def js_cell_matrix(real: DataFrame, synth: DataFrame, row: str, col: str) -> DataFrame:
+    """Per crosstab cell: row-normalized share p (real) and q (synth); JS similarity (1 - JS) * 100 of (p, 1-p) and (q, 1-q)."""
     from .aggregates import crosstab_rownorm
-    a = crosstab_rownorm(real, row, col, col_values, None).select(row, col, F.col("share").alias("P"))
-    b = crosstab_rownorm(synth, row, col, col_values, None).select(row, col, F.col("share").alias("Q"))
+    a = crosstab_rownorm(real, row, col, None).select(row, col, F.col("share").alias("P"))
+    b = crosstab_rownorm(synth, row, col, None).select(row, col, F.col("share").alias("Q"))
     j = a.join(b, [row, col], "full").na.fill(0.0, subset=["P", "Q"])
     p, q = F.col("P"), F.col("Q")
     js = F.sqrt(js_term(p, q) + js_term(F.lit(1.0) - p, F.lit(1.0) - q))
-    return j.select(row, col, r6(p).alias("P"), r6(q).alias("Q"), r6(js).alias("JS"))
+    return j.select(row, col, r6(p).alias("P"), r6(q).alias("Q"), r6(similarity_from_distance(js)).alias("JS_SIMILARITY"))
 
 
 def js_smoothed(real: DataFrame, synth: DataFrame, col: str, eps: float = 1e-9) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
 from ..functions.divergence import kl_term, r6
+from ..session import bounded_broadcast, cut_lineage
 
 
 def shares(df: DataFrame, col: str, name: str) -> DataFrame:
@@ -30,21 +31,24 @@ def kl_divergence(target: DataFrame, observed: DataFrame, col: str) -> DataFrame
 
 def chi_square_gof(expected_from: DataFrame, observed: DataFrame, col: str) -> DataFrame:
     """Goodness of fit of observed counts against expected counts = reference shares x observed total.
-    Categories with zero expected count are left out. One row (STATISTIC, DOF)."""
+    A category that only the observed side has makes the statistic infinite. One row (STATISTIC, DOF)."""
     obs = observed.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("O"))
     ref = shares(expected_from, col, "P").withColumnRenamed("CATEGORY", col)
     o = obs.withColumn(col, F.col(col).cast("string"))
-    j = ref.join(o, col, "left").na.fill(0, subset=["O"])
+    j = ref.join(o, col, "full").na.fill(0, subset=["O"]).na.fill(0.0, subset=["P"])
     tot = F.sum("O").over(Window.partitionBy())
     j = j.withColumn("E", F.col("P") * tot)
-    return j.where(F.col("E") > 0).agg(F.sum((F.col("O") - F.col("E")) ** 2 / F.col("E")).alias("STATISTIC"),
-                                       (F.count("*") - 1).alias("DOF"))
+    term = F.when(F.col("E") > 0, F.try_divide((F.col("O") - F.col("E")) ** 2, F.col("E"))).when(
+        F.col("O") > 0, F.lit(float("inf"))).otherwise(0.0)
+    return j.agg(F.sum(term).alias("STATISTIC"), (F.count("*") - 1).alias("DOF"))
 
 
 def chi2_sf(x: float, dof: int) -> float:
     """Survival function of the chi-square distribution (regularized upper incomplete gamma)."""
     if x is None or dof <= 0:
         return float("nan")
+    if math.isinf(x):
+        return 0.0
     a, z = dof / 2.0, x / 2.0
     if z <= 0:
         return 1.0
@@ -57,6 +61,8 @@ def chi2_sf(x: float, dof: int) -> float:
             total += term
             if abs(term) < abs(total) * 1e-15:
                 break
+        else:
+            raise ArithmeticError(f"the chi-square series did not settle for x={x}, dof={dof}")
         return max(0.0, 1.0 - total * math.exp(-z + a * math.log(z) - math.lgamma(a)))
     # continued fraction for the upper gamma (Lentz)
     tiny = 1e-300
@@ -76,6 +82,8 @@ def chi2_sf(x: float, dof: int) -> float:
         h *= delta
         if abs(delta - 1) < 1e-15:
             break
+    else:
+        raise ArithmeticError(f"the chi-square fraction did not settle for x={x}, dof={dof}")
     return math.exp(-z + a * math.log(z) - math.lgamma(a)) * h
 
 
@@ -84,12 +92,20 @@ def contingency_chi2(df: DataFrame, a: str, b: str) -> DataFrame:
     Computed on observed cells only: sum over observed cells of (O-E)^2/E plus, for the empty cells,
     the remaining expected mass N - sum(E). One row (STATISTIC, DOF)."""
     c = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("O"))
-    j = c.withColumn("RA", F.sum("O").over(Window.partitionBy(a))).withColumn("CB", F.sum("O").over(Window.partitionBy(b)))
-    n = F.sum("O").over(Window.partitionBy())  # over the (a, b) cell table only
-    j = j.withColumn("N", n).withColumn("E", F.col("RA") * F.col("CB") / F.col("N"))
-    return j.agg(
-        r6(F.sum((F.col("O") - F.col("E")) ** 2 / F.col("E")) + F.max("N") - F.sum("E")).alias("STATISTIC"),
-        ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).cast("int").alias("DOF"))
+    j, n, ka, kb = _with_margins(c, a, b, "O")
+    e = F.col("_ra") * F.col("_cb") / F.lit(float(n or 1))
+    return j.agg(r6(F.sum((F.col("O") - e) ** 2 / e) + F.lit(float(n)) - F.sum(e)).alias("STATISTIC"),
+                 F.lit((ka - 1) * (kb - 1)).alias("DOF"))
+
+
+def _with_margins(cells: DataFrame, a: str, b: str, n: str) -> tuple[DataFrame, int, int, int]:
+    """Cells with their row and column totals (_ra, _cb), the grand total and the number of rows and columns.
+    Grouped sums joined back: no window gathers all cells of a category."""
+    cells = cut_lineage(cells)
+    ra, cb = cells.groupBy(a).agg(F.sum(n).alias("_ra")), cells.groupBy(b).agg(F.sum(n).alias("_cb"))
+    total, ka = ra.agg(F.sum("_ra"), F.count("*")).first()
+    j = cells.join(bounded_broadcast(ra), a).join(bounded_broadcast(cb), b)
+    return j, int(total or 0), int(ka), cb.count()
 
 
 def _chi2_sf_batch(x, k):
@@ -108,10 +124,7 @@ def with_chi2_pvalue(stat_df: DataFrame, alpha: float = 0.05) -> DataFrame:
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """I(A;B) = sum p_ab ln(p_ab / (p_a p_b)) in nats, one row."""
     c = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
-    na = F.sum("n").over(Window.partitionBy(a))
-    nb = F.sum("n").over(Window.partitionBy(b))
-    j = c.withColumn("na", na).withColumn("nb", nb)
-    tot = j.agg(F.sum("n")).first()[0]
-    pab = F.col("n") / F.lit(float(tot))
-    term = pab * F.log(F.col("n") * F.lit(float(tot)) / (F.col("na") * F.col("nb")))
+    j, tot, _, _ = _with_margins(c, a, b, "n")
+    pab = F.col("n") / F.lit(float(tot or 1))
+    term = pab * F.log(F.col("n") * F.lit(float(tot)) / (F.col("_ra") * F.col("_cb")))
     return j.agg(r6(F.sum(term)).alias("MI"))

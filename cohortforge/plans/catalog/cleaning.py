@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.divergence import r6
 from ...functions.random import duck_uniform, uniform
 from ...operators import clean
+from ...session import bounded_broadcast
 from .. import fixtures as fx
 from ..registry import register
 
@@ -209,21 +210,28 @@ def q_rename_relabel(spark, d):
 
 
 def _risk_duck(policy: str) -> str:
-    flag = "(AGE > 65 or ILLNESS_SEVERITY >= 3)"
+    """Baseline probabilities: the shares of outpatient and inpatient rows (emergency flag Y / N) of the row's county."""
+    flag = "coalesce(AGE > 65 or ILLNESS_SEVERITY >= 3, false)"
     if policy == "high_risk":
-        adj = f"case when {flag} then least(p + 0.3, 0.95) else greatest(p - 0.1, 0.01) end"
+        out = f"case when {flag} then least(po + 0.3, 0.95) else po end"
+        inp = f"case when {flag} then greatest(pi - 0.1, 0.01) else pi end"
     else:
-        adj = f"case when {flag} then least(p + 0.2, 0.9) else p end"
-    return (P("encounters") + f"select RECORD_ID, cast({flag} as int) HIGH_RISK, round({adj}, 6) P_ADJ from "
-            f"(select RECORD_ID, ILLNESS_SEVERITY, cast(PAT_AGE as int) * 4 AGE, {duck_uniform(chr(39) + 'risk' + chr(39), 'RECORD_ID')} p "
-            f"from encounters)")
+        out, inp = "least(po + 0.2, 0.9)", "pi"
+    return (P("encounters") + f"select RECORD_ID, cast({flag} as int) HIGH_RISK, round({out}, 6) P_OUT_ADJ, round({inp}, 6) P_IN_ADJ from "
+            f"(select RECORD_ID, ILLNESS_SEVERITY, cast(PAT_AGE as int) * 4 AGE, "
+            f"avg(cast(EMERGENCY_DEPT_FLAG = 'Y' as double)) over (partition by PAT_COUNTY) po, "
+            f"avg(cast(EMERGENCY_DEPT_FLAG = 'N' as double)) over (partition by PAT_COUNTY) pi from encounters)")
 
 
 def _risk_spark(spark, d, policy):
     e = fx.encounters(spark, d).select("RECORD_ID", "ILLNESS_SEVERITY", (F.col("PAT_AGE").cast("int") * 4).alias("AGE"),
-                                       uniform("risk", "RECORD_ID").alias("P"))
-    out = clean.high_risk_cohort(e, "AGE", "ILLNESS_SEVERITY", "P", policy)
-    return out.select("RECORD_ID", F.col("HIGH_RISK").cast("int").alias("HIGH_RISK"), r6(F.col("P_ADJ")).alias("P_ADJ"))
+                                       "PAT_COUNTY", "EMERGENCY_DEPT_FLAG")
+    base = e.groupBy("PAT_COUNTY").agg(*[F.avg((F.col("EMERGENCY_DEPT_FLAG") == f).cast("double")).alias(p)
+                                         for f, p in (("Y", "P_OUT"), ("N", "P_IN"))])
+    e = e.join(bounded_broadcast(base), "PAT_COUNTY")
+    out = clean.high_risk_cohort(e, "AGE", "ILLNESS_SEVERITY", "P_OUT", "P_IN", policy)
+    return out.select("RECORD_ID", F.col("HIGH_RISK").cast("int").alias("HIGH_RISK"), r6(F.col("P_OUT_ADJ")).alias("P_OUT_ADJ"),
+                      r6(F.col("P_IN_ADJ")).alias("P_IN_ADJ"))
 
 
 @register("high_risk_cohort", _risk_duck("high_risk"))

@@ -103,10 +103,10 @@ def q_standardize(spark, d):
 _AS = ["PAT_COUNTY", "LENGTH_OF_STAY", "APR_MDC"]
 
 
-@register("assemble", P("real_test") + "select RECORD_ID, " +
-          ", ".join(f"coalesce(cast({c} as double), -1.0) F{i}" for i, c in enumerate(_AS)) + " from real_test")
+@register("assemble", P("encounters") + "select RECORD_ID, " +
+          ", ".join(f"coalesce(cast({c} as double), -1.0) F{i}" for i, c in enumerate(_AS)) + " from encounters")
 def q_assemble(spark, d):
-    a = encode.assemble(fx.real_test(spark, d).select("RECORD_ID", *_AS), _AS, "features")
+    a = encode.assemble(fx.encounters(spark, d).select("RECORD_ID", *_AS), _AS, "features")
     arr = vector_to_array("features")
     return a.select("RECORD_ID", *[arr[i].alias(f"F{i}") for i in range(len(_AS))])
 
@@ -120,3 +120,11 @@ def q_pca_project(spark, d):
     e = fx.encounters(spark, d).withColumn("AGE", F.col("PAT_AGE").cast("int")).na.drop(subset=_PCA)
     proj, _ratios = encode.pca_project(e.select("RECORD_ID", *[F.col(c).cast("double").alias(c) for c in _PCA]), _PCA, k=7)
     return proj
+
+
+@register("pca_explained_variance")
+def q_pca_explained_variance(spark, d):
+    """Share of the variance per component (model state: k numbers)."""
+    e = fx.encounters(spark, d).withColumn("AGE", F.col("PAT_AGE").cast("int")).na.drop(subset=_PCA)
+    _, ratios = encode.pca_project(e.select("RECORD_ID", *[F.col(c).cast("double").alias(c) for c in _PCA]), _PCA, k=7)
+    return spark.createDataFrame([(i + 1, float(r)) for i, r in enumerate(ratios)], "COMPONENT int, RATIO double")

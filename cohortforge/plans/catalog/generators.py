@@ -14,8 +14,8 @@ from ..registry import register
 P = fx.duck_prefix
 IPF_FEATURES = ["SEX_CODE", "RACE", "PAT_AGE"]
 GEN_FEATURES = ["SEX_CODE", "RACE", "PAT_AGE"]
-IPF_ITERS = 5
-MATRIX_ITERS = 20
+# The oracle unrolls this many steps and keeps the weights once the stop rule holds; the Spark side stops by the rule itself.
+IPF_UNROLLED = 12
 
 
 def U(tag, key):
@@ -47,40 +47,51 @@ def duck_draw(name: str, prev: str, train: str, keys: list[str], label: str, out
 
 # --- IPF ----------------------------------------------------------------------------------------
 
-def _ipf_spark(spark, d, iters=IPF_ITERS):
+def _ipf_spark(spark, d):
     tr, sy = fx.real_train(spark, d), fx.synth(spark, d)
     scale = tr.count() / sy.count()
     c = gen.cells(tr, IPF_FEATURES)
-    t = gen.marginal_targets(sy, IPF_FEATURES, scale)
-    w, _ = gen.ipf_fit(c, IPF_FEATURES, t, max_iter=iters, tol=None)
-    return w
+    return gen.ipf_fit(c, IPF_FEATURES, gen.marginal_targets(sy, IPF_FEATURES, scale))
 
 
-def duck_ipf(features: list[str], cells_sql: str, target_view: str, iters: int, scale_sql: str) -> str:
+def duck_ipf(features: list[str], cells_sql: str, target_view: str, scale_sql: str) -> str:
+    """Raking with numpy's allclose rule (tol 1e-5): once a step changes nothing by more, later steps keep the weights."""
     tsel = ", ".join(f"t{i}.TARGET _T{i}" for i in range(len(features)))
     tjoin = " ".join(
         f"left join (select cast({f} as varchar) c, count(*) * ({scale_sql}) TARGET from {target_view} where {f} is not null group by 1) "
         f"t{i} on t{i}.c = cast(x.{f} as varchar)" for i, f in enumerate(features))
-    parts = [f"ipf_c as ({cells_sql})", f"ipf_s0 as (select x.*, 1.0::double W, {tsel} from ipf_c x {tjoin})"]
-    step = 0
-    for _ in range(iters):
+    parts = [f"ipf_c as ({cells_sql})",
+             f"ipf_s0 as materialized (select x.*, 1.0::double W, false done, {tsel} from ipf_c x {tjoin})"]
+    for it in range(IPF_UNROLLED):
+        prev = f"ipf_s{it}"
         for i, f in enumerate(features):
-            prev, step = f"ipf_s{step}", step + 1
-            parts.append(f"ipf_s{step} as (select * replace (W * _T{i} / sum(N * W) over (partition by {f}) as W) from {prev})")
-    return ",\n".join(parts) + f",\nipf_w as (select * from ipf_s{step})\n"
+            name = f"ipf_s{it}_{i}"
+            raked = f"W * _T{i} / sum(N * W) over (partition by {f})"
+            parts.append(f"{name} as (select * replace ({raked} as W){', W _W0' if i == 0 else ''} from {prev})")
+            prev = name
+        near = "coalesce(abs(W - _W0) <= 1e-5 + 1e-5 * abs(_W0), W is null and _W0 is null)"
+        parts.append(f"ipf_s{it + 1} as materialized (select * exclude (W, _W0, done), case when done then _W0 else W end W, "
+                     f"done or bool_and({near}) over () done from {prev})")
+    return ",\n".join(parts) + f",\nipf_w as (select * from ipf_s{IPF_UNROLLED})\n"
 
 
 _IPF_DUCK = duck_ipf(IPF_FEATURES, f"select {', '.join(IPF_FEATURES)}, count(*) N from real_train group by all", "synth",
-                     IPF_ITERS, "(select count(*) from real_train)::double / (select count(*) from synth)")
+                     "(select count(*) from real_train)::double / (select count(*) from synth)")
 
 
 @register("ipf_weights", P("real_train", "synth") + ", " + _IPF_DUCK +
           f"select {', '.join(IPF_FEATURES)}, N, round(W, 6) W from ipf_w")
 def q_ipf_weights(spark, d):
-    w = _ipf_spark(spark, d)
+    w, _, _ = _ipf_spark(spark, d)
     return w.select(*IPF_FEATURES, "N", F.round("W", 6).alias("W"))
 
 
+@register("ipf_convergence", P("real_train", "synth") + ", " + _IPF_DUCK + "select bool_and(done) CONVERGED from ipf_w")
+def q_ipf_convergence(spark, d):
+    """Whether the raking met its stop rule."""
+    return spark.range(1).select(F.lit(_ipf_spark(spark, d)[2]).alias("CONVERGED"))
+
+
 def _age_group_spark(df):
     a = F.col("PAT_AGE")
     return df.withColumn("AGE_GROUP", F.when(a < "05", "0-17").when(a < "17", "18-64").otherwise("65+"))
@@ -88,30 +99,52 @@ def _age_group_spark(df):
 
 _AGE_GROUP_DUCK = "case when PAT_AGE < '05' then '0-17' when PAT_AGE < '17' then '18-64' else '65+' end"
 MAT = ["AGE_GROUP", "SEX_CODE"]
-_MAT_DUCK = duck_ipf(MAT, f"select {_AGE_GROUP_DUCK} AGE_GROUP, SEX_CODE, count(*) N from real_train group by all",
-                     f"(select {_AGE_GROUP_DUCK} AGE_GROUP, SEX_CODE from synth)", MATRIX_ITERS,
-                     "(select count(*) from real_train)::double / (select count(*) from synth)")
+MATRIX_UNROLLED = 40
+_MAT_TARGETS = f"""ag as (select AGE_GROUP, SEX_CODE from (select {_AGE_GROUP_DUCK} AGE_GROUP, SEX_CODE from synth)),
+mt as (select 'AGE_GROUP' f, AGE_GROUP c, count(*) * any_value(sc) T from ag, ms group by AGE_GROUP union all
+       select 'SEX_CODE', SEX_CODE, count(*) * any_value(sc) from ag, ms where SEX_CODE is not null group by SEX_CODE)"""
+
+
+def _duck_matrix() -> str:
+    """The seed grid, then rows and columns in turn until the Frobenius norm of the change is below 1e-6."""
+    parts = ["ms as (select (select count(*) from real_train)::double / (select count(*) from synth) sc)", _MAT_TARGETS,
+             "mb as (select floor(0.5 * avg(T)) lo, greatest(floor(1.5 * avg(T)), floor(0.5 * avg(T)) + 1) hi from mt)",
+             f"""grid as (select distinct a.AGE_GROUP, s.SEX_CODE from (select distinct {_AGE_GROUP_DUCK} AGE_GROUP from real_train) a,
+  (select distinct SEX_CODE from real_train where SEX_CODE is not null) s)""",
+             f"""seed as materialized (select AGE_GROUP, SEX_CODE, cast(floor(lo + {U('seed', "AGE_GROUP || '|' || SEX_CODE")} * (hi - lo)) as bigint) SEED
+  from grid, mb)""",
+             """m0 as materialized (select AGE_GROUP, SEX_CODE, SEED::double W, false done, ra.T Ta, rs.T Ts from seed
+  left join mt ra on ra.f = 'AGE_GROUP' and ra.c = AGE_GROUP left join mt rs on rs.f = 'SEX_CODE' and rs.c = SEX_CODE)"""]
+    for i in range(MATRIX_UNROLLED):
+        parts.append(f"m{i}a as (select * replace (coalesce(W * Ta / nullif(sum(W) over (partition by AGE_GROUP), 0), 0) as W), W _W0 from m{i})")
+        parts.append(f"m{i}b as (select * replace (coalesce(W * Ts / nullif(sum(W) over (partition by SEX_CODE), 0), 0) as W) from m{i}a)")
+        parts.append(f"m{i + 1} as materialized (select * exclude (W, _W0, done), case when done then _W0 else W end W, "
+                     f"done or sqrt(sum((W - _W0) * (W - _W0)) over ()) < 1e-6 done from m{i}b)")
+    return ",\n".join(parts) + f",\nipf_m as (select AGE_GROUP, SEX_CODE, W, done from m{MATRIX_UNROLLED})\n"
+
+
+_MAT_DUCK = _duck_matrix()
+
+
+def _matrix_targets(spark, d):
+    tr, sy = _age_group_spark(fx.real_train(spark, d)), _age_group_spark(fx.synth(spark, d))
+    return gen.cells(tr, MAT), gen.marginal_targets(sy, MAT, tr.count() / sy.count())
 
 
 def _matrix_spark(spark, d):
-    tr, sy = _age_group_spark(fx.real_train(spark, d)), _age_group_spark(fx.synth(spark, d))
-    scale = tr.count() / sy.count()
-    w, _ = gen.ipf_fit(gen.cells(tr, MAT), MAT, gen.marginal_targets(sy, MAT, scale), max_iter=MATRIX_ITERS, tol=None)
-    return w
+    c, targets = _matrix_targets(spark, d)
+    return gen.ipf_matrix(gen.ipf_seed(c, MAT, targets), *MAT, targets)[0]
 
 
-@register("ipf_matrix", P("real_train", "synth") + ", " + _MAT_DUCK + "select AGE_GROUP, SEX_CODE, N, round(W * N, 6) W from ipf_w")
+@register("ipf_matrix", P("real_train", "synth") + ", " + _MAT_DUCK + "select AGE_GROUP, SEX_CODE, round(W, 6) W from ipf_m")
 def q_ipf_matrix(spark, d):
-    w = _matrix_spark(spark, d)
-    return w.select(*MAT, "N", F.round(F.col("W") * F.col("N"), 6).alias("W"))
+    return _matrix_spark(spark, d).select(*MAT, F.round("W", 6).alias("W"))
 
 
-@register("ipf_seed", P("real_train") + f""", c as (select {_AGE_GROUP_DUCK} AGE_GROUP, SEX_CODE, count(*) N from real_train group by all),
-a as (select avg(N) m from c)
-select AGE_GROUP, SEX_CODE, N, cast(floor(0.5 * m + {U('seed', "AGE_GROUP || '|' || SEX_CODE")} * (1.5 * m - 0.5 * m)) as bigint) SEED from c, a""")
+@register("ipf_seed", P("real_train", "synth") + ", " + _MAT_DUCK + "select AGE_GROUP, SEX_CODE, SEED from seed")
 def q_ipf_seed(spark, d):
-    c = gen.cells(_age_group_spark(fx.real_train(spark, d)), MAT)
-    return gen.ipf_seed(c, MAT)
+    c, targets = _matrix_targets(spark, d)
+    return gen.ipf_seed(c, MAT, targets)
 
 
 def _duck_systematic(rows_sql: str, tag: str = "systematic") -> str:
@@ -125,7 +158,7 @@ select RECORD_ID, cast(unnest(generate_series(1, k)) as int) DRAW from sk where
 @register("ipf_population", P("real_train", "synth") + ", " + _IPF_DUCK + _duck_systematic(
     f"select r.RECORD_ID, cast(round(w.W * 1e6) as bigint) wu from real_train r left join ipf_w w using ({', '.join(IPF_FEATURES)})"))
 def q_ipf_population(spark, d):
-    w = _ipf_spark(spark, d)
+    w, _, _ = _ipf_spark(spark, d)
     rows = fx.real_train(spark, d).select("RECORD_ID", *IPF_FEATURES)
     return gen.ipf_population(rows, w, IPF_FEATURES).select("RECORD_ID", "DRAW")
 
@@ -147,9 +180,9 @@ select DRAW_ID, split_part(lab, '|', 1) AGE_GROUP, split_part(lab, '|', 2) SEX_C
 
 
 @register("ipf_table_sample", P("real_train", "synth", "real_test") + ", " + _MAT_DUCK +
-          _duck_cells_draw("select AGE_GROUP, SEX_CODE, cast(round(W * N * 1e6) as bigint) wt from ipf_w", "ipft"))
+          _duck_cells_draw("select AGE_GROUP, SEX_CODE, cast(round(W * 1e6) as bigint) wt from ipf_m", "ipft"))
 def q_ipf_table_sample(spark, d):
-    w = _matrix_spark(spark, d).withColumn("_wu", gen.weight_units(F.col("W") * F.col("N")))
+    w = _matrix_spark(spark, d).withColumn("_wu", gen.weight_units(F.col("W")))
     return _cells_draw_spark(spark, d, w, "_wu", "ipft")
 
 
@@ -266,10 +299,11 @@ def q_gen_chain(spark, d):
     """Demographics (IPF population) -> APR_MDC -> APR_DRG -> ICD3, each stage a contextual draw."""
     from ...operators.clean import icd3_extract
     tr = icd3_extract(fx.real_train(spark, d), drop_source=False)
-    w = _ipf_spark(spark, d)
+    w, _, _ = _ipf_spark(spark, d)
     demo_rows = fx.real_train(spark, d).select("RECORD_ID", *fx.DEMOGRAPHICS)
     pop = gen.ipf_population(demo_rows, w, IPF_FEATURES)
-    pop = pop.withColumn("SYN_ID", F.col("RECORD_ID") * 1000 + F.col("DRAW")).drop("RECORD_ID", "DRAW")
+    # the drawn row and the number of its draw name a synthetic row without collisions
+    pop = pop.withColumn("SYN_ID", F.concat_ws("-", "RECORD_ID", "DRAW")).drop("RECORD_ID", "DRAW")
     s1 = gen.contextual_draw(pop, tr, ["SEX_CODE", "PAT_AGE", "RACE"], "APR_MDC", "APR_MDC", "chain_mdc", "SYN_ID")
     s2 = gen.contextual_draw(s1, tr, ["APR_MDC"], "APR_DRG", "APR_DRG", "chain_drg", "SYN_ID")
     return gen.contextual_draw(s2, tr, ["APR_DRG"], "ICD3", "ICD3", "chain_icd3", "SYN_ID")

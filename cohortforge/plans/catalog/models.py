@@ -78,22 +78,42 @@ def q_feature_importance(spark, d):
     return models.feature_importance(model, prep.features, spark, 15)
 
 
-@register("save_bundle")
-def q_save_bundle(spark, d):
-    model, pred, prep = models.fit_predict("random_forest", fx.real_train(spark, d), fx.real_test(spark, d), FEATS, "APR_MDC", **RF)
+def _bundle(spark, d) -> str:
+    model, _, prep = models.fit_predict("random_forest", fx.real_train(spark, d), fx.real_test(spark, d), FEATS, "APR_MDC", **RF)
     path = scratch_path(spark, "bundle")
     models.save_bundle(model, prep, path)
-    return spark.read.parquet(f"{path}/features")
+    return path
+
+
+@register("save_bundle")
+def q_save_bundle(spark, d):
+    return spark.read.parquet(f"{_bundle(spark, d)}/manifest")
 
 
 @register("load_bundle")
 def q_load_bundle(spark, d):
-    model, _, prep = models.fit_predict("random_forest", fx.real_train(spark, d), fx.real_test(spark, d), FEATS, "APR_MDC", **RF)
-    path = scratch_path(spark, "bundle")
-    models.save_bundle(model, prep, path)
-    pm, vocab, codes, features, label = models.load_bundle(spark, path)
-    prep2 = models.prepare(fx.real_train(spark, d), [fx.real_test(spark, d)], features, label)
-    return models.predict_frame(pm, prep2, prep2.tests[0]).drop("prob")
+    """The test rows scored by a stored bundle, from the bundle alone."""
+    return models.score_bundle(spark, _bundle(spark, d), fx.real_test(spark, d)).drop("prob")
+
+
+@register("label_by_model_probability")
+def q_label_by_model_probability(spark, d):
+    """APR_MDC of the synthetic rows drawn from a fitted forest's class probabilities."""
+    from ...operators.generators import label_by_probability
+    tr, sy = fx.real_train(spark, d), fx.synth(spark, d)
+    _, pred, prep = models.fit_predict("random_forest", tr, sy, FEATS, "APR_MDC", **RF)
+    labels = [r["APR_MDC"] for r in prep.codes.orderBy("_y").collect()]  # the classes, as the model holds them
+    return label_by_probability(pred, "prob", labels, "DRAWN", "id").select("id", "DRAWN")
+
+
+@register("label_by_model_argmax")
+def q_label_by_model_argmax(spark, d):
+    """ICD3 (a string label) of the synthetic rows as a fitted model's most likely class."""
+    from ...operators.clean import icd3_extract
+    tr = icd3_extract(fx.real_train(spark, d), drop_source=False)
+    sy = icd3_extract(fx.synth(spark, d), drop_source=False)
+    _, pred, _ = models.fit_predict("random_forest", tr, sy, FEATS + ["APR_MDC"], "ICD3", numTrees=10, maxDepth=8)
+    return pred.select("id", F.col("pred").alias("ICD3_PRED"))
 
 
 @register("mia_auc_model")

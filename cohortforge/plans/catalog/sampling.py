@@ -26,21 +26,21 @@ def q_split_random(spark, d):
 @register("split_stratified", P("encounters") +
           f"""select RECORD_ID, APR_MDC, case when rn <= round(0.25 * n) then 'test' else 'train' end SPLIT from (
           select RECORD_ID, APR_MDC, row_number() over (partition by APR_MDC order by {U('strat')}, RECORD_ID) rn,
-                 count(*) over (partition by APR_MDC) n from encounters where APR_MDC is not null)""")
+                 count(*) over (partition by APR_MDC) n from encounters)""")
 def q_split_stratified(spark, d):
-    e = fx.encounters(spark, d).select("RECORD_ID", "APR_MDC").where(F.col("APR_MDC").isNotNull())
+    e = fx.encounters(spark, d).select("RECORD_ID", "APR_MDC")
     tr, te = smp.split_stratified(e, "APR_MDC", 0.25)
     return tr.withColumn("SPLIT", F.lit("train")).unionByName(te.withColumn("SPLIT", F.lit("test")))
 
 
 @register("sample_stratified_n", P("encounters") +
-          f""", x as (select RECORD_ID, APR_MDC, {U('stratn')} u from encounters where APR_MDC is not null),
+          f""", x as (select RECORD_ID, APR_MDC, {U('stratn')} u from encounters),
           s as (select APR_MDC, count(*) ny from x group by 1),
           e as (select APR_MDC, ny, ny * 1000 / sum(ny) over () ex from s),
           f as (select APR_MDC, ny, floor(ex) fl, ex - floor(ex) rem from e),
-          q as (select APR_MDC, fl + case when row_number() over (order by rem desc, APR_MDC) <= 1000 - sum(fl) over () then 1 else 0 end quota from f)
-          select RECORD_ID, APR_MDC from (select x.*, row_number() over (partition by x.APR_MDC order by u, RECORD_ID) rn from x)
-          join q using (APR_MDC) where rn <= quota""")
+          q as (select APR_MDC, fl + case when row_number() over (order by rem desc, APR_MDC nulls last) <= 1000 - sum(fl) over () then 1 else 0 end quota from f)
+          select RECORD_ID, x.APR_MDC from (select x.*, row_number() over (partition by x.APR_MDC order by u, RECORD_ID) rn from x) x
+          join q on x.APR_MDC is not distinct from q.APR_MDC where rn <= quota""")
 def q_sample_stratified_n(spark, d):
     e = fx.encounters(spark, d).select("RECORD_ID", "APR_MDC")
     return smp.sample_stratified_n(e, "APR_MDC", 1000)

@@ -80,12 +80,9 @@ def q_js_by_two_groups(spark, d):
     return sim.js_by_group(fx.real_train(spark, d), fx.synth(spark, d), ["SEX_CODE", "RACE"], "PAT_AGE")
 
 
-RACES = ["1", "2", "3", "4", "5", "`"]
-
-
 def _duck_rownorm(view: str) -> str:
     return f"""select r.SEX_CODE, c.RACE, coalesce(n, 0)::double / sum(coalesce(n, 0)) over (partition by r.SEX_CODE) share
-    from (select distinct SEX_CODE from {view}) r cross join (select unnest({RACES!r}) RACE) c
+    from (select distinct SEX_CODE from {view}) r cross join (select distinct RACE from {view} where RACE is not null) c
     left join (select SEX_CODE, RACE, count(*) n from {view} group by all) x on x.SEX_CODE = r.SEX_CODE and x.RACE = c.RACE"""
 
 
@@ -94,9 +91,9 @@ b as ({_duck_rownorm('synth')}),
 j as (select coalesce(a.SEX_CODE, b.SEX_CODE) SEX_CODE, coalesce(a.RACE, b.RACE) RACE, coalesce(round(a.share, 6), 0) p0,
              coalesce(round(b.share, 6), 0) q0, coalesce(a.share, 0) p, coalesce(b.share, 0) q
       from a full join b on a.SEX_CODE = b.SEX_CODE and a.RACE = b.RACE)
-select SEX_CODE, RACE, p0 P, q0 Q, round(sqrt({duck_js_term('p', 'q')} + {duck_js_term('1 - p', '1 - q')}), 6) JS from j""")
+select SEX_CODE, RACE, p0 P, q0 Q, round((1 - sqrt({duck_js_term('p', 'q')} + {duck_js_term('1 - p', '1 - q')})) * 100, 6) JS_SIMILARITY from j""")
 def q_js_cell_matrix(spark, d):
-    return sim.js_cell_matrix(fx.real_train(spark, d), fx.synth(spark, d), "SEX_CODE", "RACE", RACES)
+    return sim.js_cell_matrix(fx.real_train(spark, d), fx.synth(spark, d), "SEX_CODE", "RACE")
 
 
 @register("js_smoothed", fx.duck_prefix("real_test", "synth") + f""",
@@ -157,8 +154,9 @@ def q_kl_divergence(spark, d):
 @register("chi_square_gof", fx.duck_prefix("real_train", "synth") + """,
 ref as (select cast(PAT_AGE as varchar) PAT_AGE, count(*)::double / sum(count(*)) over () P from real_train where PAT_AGE is not null group by 1),
 obs as (select cast(PAT_AGE as varchar) PAT_AGE, count(*) O from synth where PAT_AGE is not null group by 1),
-j as (select ref.PAT_AGE, P, coalesce(O, 0) O, P * sum(coalesce(O, 0)) over () E from ref left join obs using (PAT_AGE))
-select round(sum((O - E) * (O - E) / E), 6) STATISTIC, cast(count(*) - 1 as int) DOF from j where E > 0""")
+j as (select coalesce(P, 0) P, coalesce(O, 0) O, coalesce(P, 0) * sum(coalesce(O, 0)) over () E from ref full join obs using (PAT_AGE))
+select round(sum(case when E > 0 then (O - E) * (O - E) / E when O > 0 then 'inf'::double else 0 end), 6) STATISTIC,
+  cast(count(*) - 1 as int) DOF from j""")
 def q_chi_square_gof(spark, d):
     r = stats.chi_square_gof(fx.real_train(spark, d), fx.synth(spark, d), "PAT_AGE")
     return r.select(F.round("STATISTIC", 6).alias("STATISTIC"), F.col("DOF").cast("int").alias("DOF"))
@@ -245,15 +243,15 @@ def q_markov_transitions(spark, d):
 def _duck_side_pairs(name: str, cond: str) -> str:
     return f"""{name}_bi as (select distinct l_orderkey o, p_brand i from lineitem join part on l_partkey = p_partkey where {cond}),
 {name}_n as (select count(distinct o) n from {name}_bi),
-{name}_s1 as (select i a from {name}_bi group by 1 having count(*) >= (select n from {name}_n) * {MIN_SUPPORT}),
-{name}_s2 as (select x.i || '|' || y.i ITEMS, count(*)::double / (select n from {name}_n) s from {name}_bi x join {name}_bi y on x.o = y.o and x.i < y.i
-   where x.i in (select a from {name}_s1) and y.i in (select a from {name}_s1) group by 1 having count(*) >= (select n from {name}_n) * {MIN_SUPPORT})"""
+{name}_s2 as (select x.i || '|' || y.i ITEMS, count(*) f, count(*)::double / (select n from {name}_n) s from {name}_bi x
+   join {name}_bi y on x.o = y.o and x.i < y.i group by 1)"""
 
 
 _COMORB = ("with " + _duck_side_pairs("r", duck_uniform("'split'", "l_orderkey") + " < 0.8") + ",\n" +
            _duck_side_pairs("s", duck_uniform("'synth'", "l_orderkey") + " < 0.5") + """,
 j as (select coalesce(r_s2.ITEMS, s_s2.ITEMS) ITEMS, coalesce(r_s2.s, 0) S_REAL, coalesce(s_s2.s, 0) S_SYNTH
-      from r_s2 full join s_s2 on r_s2.ITEMS = s_s2.ITEMS)
+      from r_s2 full join s_s2 on r_s2.ITEMS = s_s2.ITEMS
+      where r_s2.f >= (select n from r_n) * """ + str(MIN_SUPPORT) + " or s_s2.f >= (select n from s_n) * " + str(MIN_SUPPORT) + """)
 """)
 
 
@@ -261,9 +259,7 @@ def _comorb(spark, d):
     rows = _basket_rows(spark, d)
     real = mining.baskets(rows.where(uniform("split", "l_orderkey") < 0.8), "l_orderkey", "p_brand")
     syn = mining.baskets(rows.where(uniform("synth", "l_orderkey") < 0.5), "l_orderkey", "p_brand")
-    ri, _ = mining.freq_itemsets(real, MIN_SUPPORT)
-    si, _ = mining.freq_itemsets(syn, MIN_SUPPORT)
-    return mining.comorbidity_compare(ri, real.count(), si, syn.count(), 2)
+    return mining.comorbidity_compare(real, syn, "l_orderkey", MIN_SUPPORT)
 
 
 @register("comorbidity_compare", _COMORB + "select ITEMS, round(S_REAL, 6) S_REAL, round(S_SYNTH, 6) S_SYNTH, "

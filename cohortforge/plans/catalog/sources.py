@@ -29,10 +29,17 @@ def _move_parts(spark, src: str, dst_dir: str, prefix: str) -> None:
         fs.rename(jvm.org.apache.hadoop.fs.Path(p), jvm.org.apache.hadoop.fs.Path(f"{dst_dir}/{prefix}_{i}.txt"))
 
 
+_RAW: dict[tuple, str] = {}
+
+
 def raw_layout(spark, d) -> str:
-    """Write base and grouper rows as tab-separated extracts: inpatient files named IP_ED_BASE_DATA_1_*
-    / IP_ED_GROUPER_*, outpatient files OUTPATIENT_BASE_* / OUTPATIENT_GROUPER_*, plus a file that the
+    """Base and grouper rows as tab-separated extracts, written once per application and input version: inpatient files named
+    IP_ED_BASE_DATA_1_* / IP_ED_GROUPER_*, outpatient files OUTPATIENT_BASE_* / OUTPATIENT_GROUPER_* with their columns in
+    another order and one more of them, a base file whose lines are all one (empty) field too long, and a file that the
     name rules must ignore."""
+    key = (spark.sparkContext.applicationId, fx._input_signature(spark, d))
+    if key in _RAW:
+        return _RAW[key]
     root = scratch_path(spark, "raw")
     b, g = fx.base(spark, d), fx.grouper(spark, d)
     for ds, flag in [("inpatient", "N"), ("outpatient", "Y")]:
@@ -40,11 +47,20 @@ def raw_layout(spark, d) -> str:
         grp = g.join(part.select("RECORD_ID"), "RECORD_ID", "left_semi")
         names = ("IP_ED_BASE_DATA_1", "IP_ED_GROUPER") if ds == "inpatient" else ("OUTPATIENT_BASE", "OUTPATIENT_GROUPER")
         for frame, prefix in [(part, names[0]), (grp, names[1])]:
+            if ds == "outpatient":
+                frame = frame.select(*reversed(frame.columns)).withColumn("EXTRA", F.lit("x"))
             tmp = f"{root}/_tmp/{ds}/{prefix}"
             sinks.write_csv(frame, tmp, sep="\t")
             _move_parts(spark, tmp, f"{root}/{ds}", prefix)
     spark.createDataFrame([("ignore me",)], "x string").coalesce(1).write.mode("overwrite").text(f"{root}/_tmp/notes")
     _move_parts(spark, f"{root}/_tmp/notes", f"{root}/inpatient", "README")
+    head = spark.range(1).select(F.lit("\t".join(fx.BASE_COLUMNS)).alias("value"))
+    long_lines = fx.read_table(spark, d, "nation").select(
+        F.concat(F.col("n_name"), F.lit("\t" * len(fx.BASE_COLUMNS))).alias("value"))
+    lines = head.union(long_lines).coalesce(1)  # 26 lines
+    lines.write.mode("overwrite").text(f"{root}/_tmp/long")
+    _move_parts(spark, f"{root}/_tmp/long", f"{root}/inpatient", "IP_ED_BASE_DATA_1_LONG")
+    _RAW[key] = root
     return root
 
 
@@ -70,6 +86,13 @@ def q_tag_dataset(spark, d):
     return _scan_base(spark, d)[0].groupBy("DATASET_TYPE").agg(F.count("*").alias("N"))
 
 
+@register("bad_lines", "select 'IP_ED_BASE_DATA_1_LONG_0.txt' FILE_NAME, count(*) N_BAD from nation")
+def q_bad_lines(spark, d):
+    found = files.discover_files(spark, raw_layout(spark, d), DATASETS)
+    bad = files.bad_lines(spark, [p for ds in found.values() for p in ds["BASE"]])
+    return bad.select(F.regexp_extract("_file_path", "[^/]+$", 0).alias("FILE_NAME"), "N_BAD")
+
+
 @register("discover_files")
 def q_discover_files(spark, d):
     _, found = _scan_base(spark, d)
@@ -99,17 +122,17 @@ _RT_SCHEMA = ", ".join(f"{c} {t}" for c, t in [
     ("APR_MDC", "int"), ("APR_DRG", "int"), ("ILLNESS_SEVERITY", "int")])
 
 
-@register("scan_csv", P("real_test") + "select * from real_test")
+@register("scan_csv", P("encounters") + "select * from encounters")
 def q_scan_csv(spark, d):
     path = scratch_path(spark, "csv")
-    sinks.write_csv(fx.real_test(spark, d), path)
+    sinks.write_csv(fx.encounters(spark, d), path)
     return files.scan_csv(spark, path, _RT_SCHEMA)
 
 
-@register("write_csv", P("synth") + "select * from synth")
+@register("write_csv", P("encounters") + "select * from encounters")
 def q_write_csv(spark, d):
     path = scratch_path(spark, "csv")
-    sinks.write_csv(fx.synth(spark, d), path)
+    sinks.write_csv(fx.encounters(spark, d), path)
     return files.scan_csv(spark, path, _RT_SCHEMA)
 
 
@@ -169,10 +192,10 @@ def q_audit_top_removed(spark, d):
     return head_classes(removed, "APR_DRG", 15)
 
 
-@register("normalize_headers", P("real_test") + "select cast(RECORD_ID as varchar) RECORD_ID, SEX_CODE, PAT_AGE from real_test")
+@register("normalize_headers", P("encounters") + "select cast(RECORD_ID as varchar) RECORD_ID, SEX_CODE, PAT_AGE from encounters")
 def q_normalize_headers(spark, d):
     path = scratch_path(spark, "messy")
-    t = fx.real_test(spark, d).select(F.col("RECORD_ID").alias(" record_id "), F.col("SEX_CODE").alias("Sex_Code "),
+    t = fx.encounters(spark, d).select(F.col("RECORD_ID").alias(" record_id "), F.col("SEX_CODE").alias("Sex_Code "),
                                       F.col("PAT_AGE").alias("  pat_age"))
     sinks.write_csv(t, path)
     raw = spark.read.option("header", True).csv(path)  # no inference: every column a string

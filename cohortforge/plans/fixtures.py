@@ -22,7 +22,7 @@ BASE_COLUMNS = [
 GROUPER_COLUMNS = ["RECORD_ID", "APR_MDC", "APR_DRG", "ILLNESS_SEVERITY"]
 ENCOUNTER_COLUMNS = BASE_COLUMNS + GROUPER_COLUMNS[1:]
 DEMOGRAPHICS = ["SEX_CODE", "PAT_AGE", "RACE", "ETHNICITY", "PAT_ZIP", "PAT_COUNTY", "PUBLIC_HEALTH_REGION"]
-SYNTH_OFFSET = 10_000_000
+SYNTH_OFFSET = 10_000_000_000_000  # above the ids of any input this side of 10^13 rows
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,15 +34,17 @@ GOLD_INPUTS = ("lineitem", "part", "orders", "customer", "nation")
 
 
 def _input_signature(spark: SparkSession, sf_dir: str) -> tuple:
-    """(path, length, modification time) of each input table, via the Hadoop FileSystem API."""
+    """(path, length, modification time) of every file of the input tables, via the Hadoop FileSystem API."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     sig = []
     for name in GOLD_INPUTS:
         p = jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
-        st = p.getFileSystem(conf).getFileStatus(p)
-        sig.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
-    return tuple(sig)
+        it = p.getFileSystem(conf).listFiles(p, True)
+        while it.hasNext():
+            st = it.next()
+            sig.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return tuple(sorted(sig))
 
 
 def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ platform and these helpers only read it; `get_session` is for tests, the bench a
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Broadcast hints are placed only when the optimizer's size estimate of the side is below this.
-# Estimates of scans and aggregates are upper bounds (aggregates are not assumed to shrink), so a
-# side that passes is small; anything else is left to sort-merge join and AQE's runtime switch.
+# The estimate counts a file scan by its stored size and does not see rows multiplied by explode, so it is no
+# proof: callers pass aggregates or stored tables; anything larger is left to sort-merge join and AQE's runtime switch.
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -46,8 +47,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset (local tests) a fresh
-    folder under the system temp dir is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``; only a local master without that setting (tests)
+    gets a fresh folder under the system temp dir. Elsewhere executors could not see such a folder: an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="cohortforge-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

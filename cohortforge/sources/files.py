@@ -6,39 +6,111 @@ extra pass over the data is spent on sampling types. File discovery lists metada
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 CORRUPT = "_corrupt_record"
+ENCODING = "ISO-8859-1"
 
 
-def all_string_schema(columns: Sequence[str], corrupt: bool = True) -> StructType:
-    fields = [StructField(c, StringType(), True) for c in columns]
-    if corrupt:
-        fields.append(StructField(CORRUPT, StringType(), True))
-    return StructType(fields)
+def _files(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    """The data files under paths, folders or globs (metadata only); names that start with _ or . are no data."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        for found in fs.globStatus(p) or []:
+            it = fs.listFiles(found.getPath(), True)
+            while it.hasNext():
+                f = it.next()
+                if f.getLen() and f.getPath().getName()[0] not in "_.":
+                    out.append(f.getPath().toString())
+    return sorted(out)
+
+
+def read_header(spark: SparkSession, path: str, encoding: str = ENCODING) -> str:
+    """First line of a file."""
+    io = spark.sparkContext._jvm.java.io
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = io.BufferedReader(io.InputStreamReader(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p), encoding))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
+def files_by_header(spark: SparkSession, paths: str | Sequence[str], encoding: str = ENCODING) -> dict[str, list[str]]:
+    """Files grouped by their header line, so that columns are found by name in each."""
+    groups: dict[str, list[str]] = {}
+    for f in _files(spark, paths):
+        groups.setdefault(read_header(spark, f, encoding), []).append(f)
+    return groups
+
+
+def header_names(header: str, sep: str = "\t") -> list[str]:
+    return [x.strip() for x in next(csv.reader([header], delimiter=sep))]
+
+
+def positional_schema(names: Sequence[str]) -> StructType:
+    """A string column per header field plus the whole line where the number of fields differs."""
+    return StructType([StructField(f"_c{i}", StringType(), True) for i in range(len(names))]
+                      + [StructField(CORRUPT, StringType(), True)])
+
+
+def by_name(names: Sequence[str], columns: Sequence[str]) -> list[Column]:
+    """The asked columns, found by header name; a column the file lacks is null."""
+    return [(F.col(f"_c{names.index(c)}") if c in names else F.lit(None).cast("string")).alias(c) for c in columns]
+
+
+def too_long(n_fields: int, sep: str = "\t") -> Column:
+    """Lines with more fields than the header, empty ones included (short lines are filled with nulls and kept)."""
+    line = F.col(CORRUPT)
+    tabs = F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit("")))
+    # the reader refuses queries on the corrupt-record column alone (a bare count), so a field is always read with it
+    return line.isNotNull() & (tabs >= n_fields) & (F.coalesce(F.length("_c0"), F.lit(0)) >= 0)
+
+
+def _tsv_groups(spark: SparkSession, paths: str | Sequence[str], encoding: str):
+    for header, files in files_by_header(spark, paths, encoding).items():
+        names = header_names(header)
+        reader = (spark.read.schema(positional_schema(names)).option("sep", "\t").option("header", True)
+                  .option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+                  .option("columnPruning", False))  # a pruned parser does not see how many fields a line has
+        yield names, reader.csv(files)
 
 
-def scan_tsv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], encoding: str = "ISO-8859-1",
-             max_partition_bytes: str | None = None, with_path: bool = False) -> DataFrame:
+def scan_tsv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], encoding: str = ENCODING,
+             with_path: bool = False) -> DataFrame:
     """Tab-separated files with a header, every column a string, Latin-1.
 
-    The schema carries one extra trailing column: a line with more fields than the header fills
-    it and is dropped (a "bad line"), while short lines are null-padded and kept (PERMISSIVE).
+    Columns are found by the name in each file's own header: files may order them differently, hold others besides or lack some
+    (null). A line with more fields than its header is a bad line and dropped (see bad_lines), a short one is filled with nulls.
     """
-    if max_partition_bytes:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", max_partition_bytes)
-    schema = all_string_schema([*columns, "_extra_field"], corrupt=False)
-    reader = (spark.read.schema(schema).option("sep", "\t").option("header", True)
-              .option("encoding", encoding).option("mode", "PERMISSIVE"))
-    df = reader.csv(list(paths) if not isinstance(paths, str) else paths)
-    cols = [F.col(c) for c in columns]
-    if with_path:
-        cols.append(F.col("_metadata.file_path").alias("_file_path"))
-    return df.where(F.col("_extra_field").isNull()).select(*cols)
+    out = None
+    for names, df in _tsv_groups(spark, paths, encoding):
+        cols = by_name(names, columns)
+        if with_path:
+            cols.append(F.col("_metadata.file_path").alias("_file_path"))
+        part = df.where(~too_long(len(names))).select(*cols)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*columns, *["_file_path"] * with_path]))
+    return out
+
+
+def bad_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str = ENCODING) -> DataFrame:
+    """(_file_path, N_BAD): how many lines scan_tsv drops per file that has some."""
+    out = spark.createDataFrame([], "_file_path string, N_BAD bigint")
+    for names, df in _tsv_groups(spark, paths, encoding):
+        bad = df.where(too_long(len(names))).select(F.col("_metadata.file_path").alias("_file_path"))
+        out = out.union(bad.groupBy("_file_path").agg(F.count(F.lit(1)).alias("N_BAD")))
+    return out
 
 
 def list_files(spark: SparkSession, root: str, suffix: str = ".txt") -> list[str]:
@@ -67,7 +139,7 @@ def discover_files(spark: SparkSession, root: str, datasets: Sequence[str]) -> d
         files = list_files(spark, f"{root.rstrip('/')}/{ds}")
         if not files:
             continue
-        names = [(f, f.rsplit("/", 1)[-1].upper()) for f in files]
+        names = [(f, f.rsplit("/", 1)[-1]) for f in files]
         if "OUTPATIENT" in ds.upper():
             base = [f for f, n in names if "BASE" in n]
             grouper = [f for f, n in names if "GROUPER" in n]

@@ -51,17 +51,18 @@ def jdbc_writer(df: DataFrame, url: str, table: str, user_env: str = "DB_USER",
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """Metric frames are small (one row per class or feature): one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A metric frame (one row per class or feature) as CSV with a header, in as many files as it has partitions."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def render_report(df: DataFrame, max_rows: int = 1000) -> str:
-    """Fixed-width text of a small report frame (read on the driver, bounded by max_rows)."""
-    rows = df.limit(max_rows).collect()
+def render_report(df: DataFrame, path: str) -> None:
+    """A report frame as fixed-width text under ``path``: widths come from one aggregate, every row is rendered by Spark."""
     cols = df.columns
-    cells = [[str(c) for c in cols]] + [["" if r[c] is None else str(r[c]) for c in cols] for r in rows]
-    widths = [max(len(row[i]) for row in cells) for i in range(len(cols))]
-    return "\n".join("  ".join(v.rjust(w) for v, w in zip(row, widths)) for row in cells)
+    text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols])
+    w = text.agg(*[F.coalesce(F.max(F.length(c)), F.lit(0)).alias(c) for c in cols]).first()
+    line = lambda cells: F.concat_ws("  ", *[F.lpad(x, max(w[c], len(c)), " ") for c, x in zip(cols, cells)])
+    head = df.sparkSession.range(1).select(line([F.lit(c) for c in cols]).alias("value"))
+    head.union(text.select(line([F.col(c) for c in cols]))).write.mode("overwrite").text(path)
 
 
 def audit_removed(df: DataFrame, kept_labels: DataFrame, label: str, reason: str) -> DataFrame:

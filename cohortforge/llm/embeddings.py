@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, written
-from .components import connected_components
+from ..operators.components import connected_components
 from .textcore import U64, fmix
 
 THRESHOLD = 0.95

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, fresh, written
-from .components import connected_components
+from ..operators.components import connected_components
 from .textcore import LOWER, U64, fmix, text_slices, word_hashes, word_spans
 
 COORDS = 32

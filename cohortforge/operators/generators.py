@@ -223,20 +223,17 @@ def autoregressive_generate(train: DataFrame, requests: DataFrame, output: str,
 
 
 def chow_liu_order(train: DataFrame, features: Sequence[str]) -> list[tuple[str, str | None]]:
-    """Maximum spanning tree over pairwise mutual information (Chow-Liu). Pair counts are one
-    aggregation per pair on Spark; the k x k MI matrix (k features) is solved on the driver.
-    Returns [(feature, parent or None)] in a root-first order."""
-    from .stats import mutual_information
+    """Maximum spanning tree over pairwise mutual information (Chow-Liu). All pairs come from one table of counts;
+    the k x k MI matrix (k features) is solved on the driver. Returns [(feature, parent or None)] in a root-first order."""
+    from .stats import pairwise_information
     feats = list(features)
     mi = {}
-    for i in range(len(feats)):
-        for j in range(i + 1, len(feats)):
-            v = mutual_information(train, feats[i], feats[j]).first()["MI"] or 0.0
-            mi[(feats[i], feats[j])] = mi[(feats[j], feats[i])] = v
+    for r in pairwise_information(train, feats).collect():  # one row per pair of features
+        mi[(r.A, r.B)] = mi[(r.B, r.A)] = r.MI or 0.0
     in_tree = [feats[0]]
     order: list[tuple[str, str | None]] = [(feats[0], None)]
     while len(in_tree) < len(feats):
-        best = max(((a, b) for a in in_tree for b in feats if b not in in_tree), key=lambda ab: (mi[ab], ab[1]))
+        best = max(((a, b) for a in in_tree for b in feats if b not in in_tree), key=lambda ab: (mi.get(ab, 0.0), ab[1]))
         in_tree.append(best[1])
         order.append((best[1], best[0]))
     return order

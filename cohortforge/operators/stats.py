@@ -128,3 +128,18 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     pab = F.col("n") / F.lit(float(tot or 1))
     term = pab * F.log(F.col("n") * F.lit(float(tot)) / (F.col("_ra") * F.col("_cb")))
     return j.agg(r6(F.sum(term)).alias("MI"))
+
+
+def pairwise_information(df: DataFrame, features) -> DataFrame:
+    """(A, B, MI) for every pair of features: one unpivot to pairs, one grouped count, margins as grouped sums joined back."""
+    feats = list(features)
+    pairs = [F.struct(F.lit(a).alias("A"), F.lit(b).alias("B"), F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y"))
+             for i, a in enumerate(feats) for b in feats[i + 1:]]
+    cells = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").dropna(subset=["x", "y"])
+    cells = cut_lineage(cells.groupBy("A", "B", "x", "y").agg(F.count("*").alias("n")))
+    total = cells.groupBy("A", "B").agg(F.sum("n").cast("double").alias("N"))
+    j = (cells.join(cells.groupBy("A", "B", "x").agg(F.sum("n").alias("nx")), ["A", "B", "x"])
+         .join(cells.groupBy("A", "B", "y").agg(F.sum("n").alias("ny")), ["A", "B", "y"])
+         .join(bounded_broadcast(total), ["A", "B"]))
+    return j.groupBy("A", "B").agg(r6(F.sum(F.col("n") / F.col("N") * F.log(F.col("n") * F.col("N") / (F.col("nx") * F.col("ny")))))
+                                   .alias("MI"))

@@ -53,6 +53,13 @@ def test_contingency_and_information(spark):
     assert math.isclose(stats.mutual_information(df, "a", "b").first()["MI"], want, abs_tol=1e-6)
 
 
+def test_information_of_all_pairs_equals_each_pair(spark):
+    df = spark.createDataFrame([("x", 1, "p"), ("x", 2, "q"), ("y", 1, "q"), ("y", 1, None), ("x", 2, "p")], "a string, b int, c string")
+    got = {(r.A, r.B): r.MI for r in stats.pairwise_information(df, ["a", "b", "c"]).collect()}
+    for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
+        assert math.isclose(got[a, b], stats.mutual_information(df, a, b).first()["MI"], abs_tol=2e-6)
+
+
 def test_rare_pairs_show_their_true_support(spark):
     real = spark.createDataFrame([(i, ["a", "b"]) for i in range(50)] + [(i, ["a", "c"]) for i in range(50, 100)], "o long, items array<string>")
     syn = spark.createDataFrame([(0, ["a", "b"])] + [(i, ["a", "c"]) for i in range(1, 100)], "o long, items array<string>")

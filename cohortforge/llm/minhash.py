@@ -64,7 +64,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def distinct_sets(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    return [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    out = []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        s = np.sort(h[a:b])
+        keep = np.ones(len(s), bool)
+        np.not_equal(s[1:], s[:-1], out=keep[1:])
+        out.append(s[keep])
+    return out
 
 
 def signatures(h: np.ndarray, bounds: np.ndarray, coords: int) -> np.ndarray:

@@ -6,8 +6,8 @@ add up to it, so that nothing needs padding. Whole sequences are cut off documen
 descending size, to the sequence of lowest cost that has room for it; a document that fits nowhere is cut to fill the
 sequence of lowest cost with any room left, and what remains of it goes on. A block's tokens never leave their task.
 
-Tokens: white space always separates the tokenizer's words, so a task tokenises the distinct chunks between white space once and
-gathers the documents' ids from those.
+Tokens: white space always separates the tokenizer's words, and in plain chunks (see plain_parts) so does a change between letters and
+other characters, so a task tokenises the distinct parts once and gathers the documents' ids from those.
 
 Defined results: a null or empty text is its end token alone; rows that share a doc_id are packed separately, each as its own
 document; an empty table gives an empty result; texts of any length are tokenised whole.
@@ -16,6 +16,7 @@ document; an empty table gives an empty result; texts of any length are tokenise
 from __future__ import annotations
 
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .textcore import Lookup, text_slices, word_hashes, word_spans
+from .textcore import LOWER, SPACE, Lookup, text_slices, word_hashes, word_spans
 
 CAPACITY = 2048
 END = 1
@@ -43,8 +44,37 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True
+
+
+def plain_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, starts, ends and number before each document of parts that the tokenizer treats alone.
+
+    A chunk between white space is plain if it consists of ASCII and of the letters U+00C0 to U+00FF and holds neither an apostrophe
+    (contractions) nor '<' (special tokens). There nothing combines with its neighbours: A-Z can be lowered beforehand, and the
+    pre-tokenizer always splits between letters and other characters. Other chunks stay whole and as they are.
+    """
+    starts, ends, first = word_spans(data, offsets)
+    after = np.zeros(len(data), bool)  # second byte of a letter U+00C0 to U+00FF
+    after[1:] = data[:-1] == 0xC3
+    odd = (data >= 0x80) & (data != 0xC3) & ~after | (data == 0x27) | (data == 0x3C) | after & ((data == 0x97) | (data == 0xB7))
+    n_odd = np.concatenate([[0], np.cumsum(odd)])
+    plain = np.repeat(n_odd[ends] == n_odd[starts], ends - starts)
+    at = np.flatnonzero(~SPACE[data])  # the bytes of all chunks
+    letter = _LETTER[data] | after
+    here = letter[at]
+    turn = np.zeros(len(at), bool)
+    turn[1:] = (here[1:] != here[:-1]) & plain[1:] & (at[1:] == at[:-1] + 1)
+    new = at[turn]
+    out = data.copy()
+    out[at[plain]] = LOWER[data[at[plain]]]
+    starts, ends = np.sort(np.concatenate([starts, new])), np.sort(np.concatenate([ends, new]))
+    return out, starts, ends, np.searchsorted(starts, offsets)
+
+
 class ChunkTokenizer:
-    """Token ids of whole texts, with the ids of every chunk between white space looked up by its hash.
+    """Token ids of whole texts, with the ids of every part (see plain_parts) looked up by its hash.
 
     Known chunks are kept while they have at most ``keep`` ids in all; then the table starts anew.
     """
@@ -57,26 +87,30 @@ class ChunkTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.bounds = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-        self.table = Lookup(self.keys)
+        self.bounds = np.zeros(1 << 16, np.int64)  # ids of chunk i: bounds[i] to bounds[i + 1]
+        self.ids = np.zeros(1 << 18, np.uint32)
+        self.table = Lookup()
 
     def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         lists = [x.ids for x in found]
         n = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(n.sum()))
-        self.keys = np.concatenate([self.keys, keys])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(n)])
-        self.ids = np.concatenate([self.ids, flat])
-        self.table = Lookup(self.keys)
+        first = self.table.size
+        start = self.bounds[first]
+        end = start + int(n.sum())
+        while first + len(n) + 1 > len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        while end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.bounds[first + 1:first + 1 + len(n)] = start + np.cumsum(n)
+        self.ids[start:end] = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, end - start)
+        self.table.add(keys)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice of documents, and the number of ids before each document."""
-        starts, ends, first = word_spans(data, offsets)
+        data, starts, ends, first = plain_parts(data, offsets)
         h = word_hashes(data, starts, ends)
-        if len(self.ids) > self.keep:
+        if self.bounds[self.table.size] > self.keep:
             self._clear()
         row = self.table.find(h)
         missing = np.flatnonzero(row < 0)

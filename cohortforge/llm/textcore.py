@@ -97,22 +97,37 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
 
 
 class Lookup:
-    """Read-only open-addressing table from 64-bit keys to row numbers, probed for whole arrays at once."""
-
-    def __init__(self, keys: np.ndarray):
+    """Open-addressing table from 64-bit keys to row numbers in order of arrival, probed for whole arrays at once.
+    It holds twice as many slots as keys at least."""
+
+    def __init__(self, keys: np.ndarray | None = None):
+        self.size = 0
+        self._empty(4)
+        if keys is not None:
+            self.add(keys)
+
+    def _empty(self, bits: int) -> None:
+        self.bits, self.mask = bits, (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, dtype=U64)
+        self.rows = np.full(1 << bits, -1, dtype=np.int32)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Take in new distinct keys; they get the next row numbers."""
         keys = keys.astype(U64)
-        self.bits = max(4, int(len(keys) * 2).bit_length())
-        self.mask = (1 << self.bits) - 1
-        self.keys = np.zeros(1 << self.bits, dtype=U64)
-        self.rows = np.full(1 << self.bits, -1, dtype=np.int32)
-        todo, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
-        while len(todo):
+        rows = np.arange(self.size, self.size + len(keys), dtype=np.int32)
+        self.size += len(keys)
+        if self.size * 2 > self.mask:
+            held = self.rows >= 0
+            keys, rows = np.concatenate([self.keys[held], keys]), np.concatenate([self.rows[held], rows])
+            self._empty(int(self.size * 2).bit_length())
+        slot = self._slot(keys)
+        while len(rows):
             free = self.rows[slot] < 0
             # of the keys that want one free slot, the last written one gets it
-            self.rows[slot[free]] = todo[free]
-            won = self.rows[slot] == todo
-            self.keys[slot[won]] = keys[todo[won]]
-            todo, slot = todo[~won], (slot[~won] + 1) & self.mask
+            self.rows[slot[free]] = rows[free]
+            won = self.rows[slot] == rows
+            self.keys[slot[won]] = keys[won]
+            keys, rows, slot = keys[~won], rows[~won], (slot[~won] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)

@@ -355,7 +355,8 @@ def check_pack(data, got, capacity=2048):
 
 def test_packing(spark, docs, rows, odd, empty):
     check_pack([(r.doc_id, r.text) for r in rows], packing.pack(docs, with_ids=True).collect())
-    special = spark.createDataFrame([(1, "A<|endoftext|>b it's 12 é ＡＢ c d İ\tZ's"), (2, "n" * 5000), (2, "m o " * 9000)],
+    special = spark.createDataFrame([(1, "A<|endoftext|>b it's 12 é ＡＢ c d İ\tZ's"), (2, "n" * 5000), (2, "m o " * 9000),
+                                     (3, "J\u030Cab, \u00c9\u00d7\u00c9. don't A\u030A, <|ENDOFTEXT|> \u00d7\u00f7 \u00df1a2,B \u00c3b\u2014, 'S <B>")],
                                     "doc_id long, text string")
     check_pack([tuple(r) for r in special.collect()], packing.pack(special, with_ids=True, block_tokens=2000).collect())
     check_pack([(r[0], r[1]) for r in ODD], packing.pack(odd.selectExpr("*", "1 as ids", "2 as start"), with_ids=True).collect())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import bounded_broadcast, cut_lineage, ensure_checkpoint_dir, scratch_path, table_path
 
-__all__ = ["bounded_broadcast", "cut_lineage", "ensure_checkpoint_dir", "scratch_path", "read", "written",
+__all__ = ["bounded_broadcast", "counted_broadcast", "cut_lineage", "ensure_checkpoint_dir", "scratch_path", "read", "written",
            "fold_of", "fresh", "WORD", "parts"]
 
 #: The words of the contracts, as a Java regular expression.
@@ -45,3 +45,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def counted_broadcast(stored: DataFrame, most_rows: int = 1 << 20) -> DataFrame:
+    """A broadcast hint for a stored table of a few short columns if it has ``most_rows`` at most, else the table as it is
+    (a checkpoint keeps the size estimate of the plan above it, so its rows are counted)."""
+    return F.broadcast(stored) if stored.count() <= most_rows else stored

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut_lineage, fold_of, fresh
+from .common import bounded_broadcast, counted_broadcast, cut_lineage, fold_of, fresh
 from .textcore import U64, Lookup, grams, sums_between, text_slices
 
 ORDER = 4
@@ -133,7 +133,7 @@ def train(documents: DataFrame, train_bytes: int = TRAIN_BYTES, order: int = ORD
     chosen = likely.withColumn("at", F.coalesce(F.sum("bytes").over(before), F.lit(0))).where(F.col("at") < each)
     chosen = cut_lineage(chosen.select("doc_id", "lang").distinct())
     counts = (
-        docs.join(bounded_broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+        docs.join(counted_broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
         .mapInArrow(_count(order), "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # no more rows than sampled bytes
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut_lineage, fold_of
+from .common import counted_broadcast, cut_lineage, fold_of
 from .textcore import LOWER, U64, fmix, text_slices, word_hashes, word_spans
 
 SAMPLE_ROWS = 40_000
@@ -170,7 +170,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     n = known.count()
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = cut_lineage(known.where(u * n < sample_rows))  # about sample_rows rows
-    rows = documents.select("doc_id", "text").join(bounded_broadcast(sample), "doc_id").select("quality", "text")
+    rows = documents.select("doc_id", "text").join(counted_broadcast(sample), "doc_id").select("quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

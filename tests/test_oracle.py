@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-FAST = ["js_by_group", "js_report", "value_counts", "join_pool_left", "fallback_fill", "label_encode", "split_stratified",
+FAST = ["js_by_group", "ipf_matrix", "ipf_seed", "bad_lines", "js_cell_matrix", "comorbidity_compare", "high_risk_cohort", "js_report", "value_counts", "join_pool_left", "fallback_fill", "label_encode", "split_stratified",
         "sample_weighted_replace", "ipf_weights", "autoregressive_generate", "classification_report", "roc_auc", "tstr",
         "nn_join_1", "markov_transitions", "freq_itemsets", "dbscan", "privacy_report", "scan_tsv", "positional_zip"]
 

@@ -31,6 +31,6 @@ def register(key: str, oracle: str | None = None):
 
 def load_all() -> None:
     from .catalog import (  # noqa: F401
-        aggregates, cleaning, encoders, evaluation, generators, joins, mining, models, ordering, privacy,
+        aggregates, cleaning, encoders, evaluation, generators, joins, models, ordering, privacy,
         sampling, similarity, sources,
     )

@@ -36,7 +36,7 @@ def _ipf_2d(spark, seed_val=1.0):
 
 
 def test_ipf_uniform_seed_matrix(spark):
-    w, _ = _ipf_2d(spark)
+    w, _, _ = _ipf_2d(spark)
     got = {(r["AGE"], r["SEX"]): r["N"] * r["W"] for r in w.collect()}
     expect = {("0-17", "Male"): 24, ("0-17", "Female"): 36, ("18-64", "Male"): 12, ("18-64", "Female"): 18,
               ("65+", "Male"): 4, ("65+", "Female"): 6}
@@ -47,7 +47,7 @@ def test_ipf_uniform_seed_matrix(spark):
 def test_ipf_self_marginals_keep_unit_weights(spark):
     from cohortforge.operators.generators import cells, ipf_fit, marginal_targets
     df = spark.createDataFrame([("F", "1"), ("F", "2"), ("M", "1"), ("M", "1"), ("M", "2")], "S string, R string")
-    w, _ = ipf_fit(cells(df, ["S", "R"]), ["S", "R"], marginal_targets(df, ["S", "R"]), max_iter=10)
+    w, _, _ = ipf_fit(cells(df, ["S", "R"]), ["S", "R"], marginal_targets(df, ["S", "R"]), max_iter=10)
     assert all(r["W"] == pytest.approx(1.0) for r in w.collect())
 
 

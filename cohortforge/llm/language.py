@@ -6,11 +6,14 @@ shorter context; below order 0 every byte has 1/256 (T: bytes seen in the contex
 A text's code length under a language is the exact sum over all its bytes; the language with the shortest code is predicted, and the
 score is its posterior under equal priors. ASCII letters count as lower case.
 
-Training reads a bounded sample: per language, whole documents in hash order until TRAIN_BYTES / languages bytes (the last
-one goes over). That bounds the trees, which are collected and broadcast. Everything else covers all documents.
+Training reads a bounded sample: TRAIN_BYTES are shared among the languages by water filling (what small languages leave unused goes to the
+larger ones, LEAST_BYTES each at least), and a language's share is filled by its documents in hash order, each with a FEW-th of it
+first and, where that leaves room, with more of the longer ones. So every language with a non-empty training document has a tree.
+That bounds the trees, which are collected and broadcast; with many languages they are held as lists of the languages that saw a context,
+with the same code lengths. Everything else covers all documents.
 
 Defined results: a null or letterless text is ``und`` with score 0; without any training text every text is ``und``; ties go to the smaller
-language name; rows are predicted one by one, so repeated rows agree.
+language name; rows are predicted one by one, so repeated rows agree. Rows equal in doc_id, text and lang train once; a null doc_id is no obstacle.
 """
 
 from __future__ import annotations
@@ -22,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, counted_broadcast, cut_lineage, fold_of, fresh
+from .common import counted_broadcast, cut_lineage, fold_of, fresh
 from .textcore import U64, Lookup, grams, sums_between, text_slices
 
 ORDER = 4
 TRAIN_BYTES = 16 << 20
+LEAST_BYTES = 1 << 10
+FEW = 8
+#: Up to this many languages, the costs of known strings are held as a table of strings by languages.
+DENSE = 64
 UNKNOWN = "und"
 
 
@@ -95,53 +102,143 @@ class ContextTrees:
                 names += [UNKNOWN] * (len(offsets) - 1)
                 scores.append(np.zeros(len(offsets) - 1))
                 continue
-            bits = self.bits(data, offsets)
-            best = bits.argmin(axis=1)  # the languages are sorted, the first of equal ones wins
-            with np.errstate(over="ignore"):
-                score = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
-            known = texts.slice(row, len(best)).is_valid().to_numpy(zero_copy_only=False)
-            names += [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
-            scores.append(np.where(known, score, 0.0))
+            step = max(1, (1 << 22) // len(self.languages))
+            for at in range(0, len(offsets) - 1, step):
+                cut = offsets[at:at + step + 1]
+                bits = self.bits(data[cut[0]:cut[-1]], cut - cut[0])
+                best = bits.argmin(axis=1)  # the languages are sorted, the first of equal ones wins
+                with np.errstate(over="ignore"):
+                    score = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
+                known = texts.slice(row + at, len(best)).is_valid().to_numpy(zero_copy_only=False)
+                names += [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
+                scores.append(np.where(known, score, 0.0))
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
+class SparseTrees(ContextTrees):
+    """The same trees for many languages: an order adds to a byte's cost only for the languages that saw its context, so only they are held."""
+
+    def __init__(self, languages: list[str], order: int, lang: np.ndarray, gram: np.ndarray, count: np.ndarray):
+        self.languages, self.order = languages, order
+        low, bits = U64((1 << 24) - 1), U64(24)
+        self.base, self.levels = np.zeros((256, len(languages)), np.float32), []
+        for k in range(order + 1):
+            pair, where = np.unique((gram & U64((1 << 8 * (k + 1)) - 1)) << bits | lang.astype(U64), return_inverse=True)
+            n = np.bincount(where, count)
+            symbol, of = pair >> bits, (pair & low).astype(np.int32)
+            context, where = np.unique(symbol >> U64(8) << bits | pair & low, return_inverse=True)
+            total, distinct = np.bincount(where, n), np.bincount(where)
+            cost, escape = np.log2((total + distinct)[where] / n), np.log2((total + distinct) / distinct)
+            if k == 0:
+                self.base[:] = 8 + escape  # every language has one context of no bytes
+                self.base[symbol.astype(np.int64), of] = cost
+            else:
+                # a seen string was seen without its first byte too, where its cost is known
+                shorter = cost_before[np.searchsorted(pair_before, (symbol & U64((1 << 8 * k) - 1)) << bits | pair & low)]
+                self.levels.append((self._lists(context >> bits, (context & low).astype(np.int32), escape),
+                                    self._lists(symbol, of, cost - shorter - escape[where])))
+            pair_before, cost_before = pair, cost
+
+    @staticmethod
+    def _lists(keys: np.ndarray, lang: np.ndarray, bits: np.ndarray):
+        known, start = np.unique(keys, return_index=True)
+        return Lookup(known), np.append(start, len(keys)), lang, bits.astype(np.float32)
+
+    def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        gram = grams(data, offsets, self.order)
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
+        flat, owner = out.reshape(-1), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        if not len(gram):
+            return out
+        byte, times = np.unique(owner << 8 | (gram & U64(255)).astype(np.int64), return_counts=True)
+        first = np.flatnonzero(np.diff(byte >> 8, prepend=-1))
+        for a, b in zip(first, np.append(first[1:], len(byte))):
+            out[byte[a] >> 8] = times[a:b] @ self.base[byte[a:b] & 255].astype(np.float64)
+        for k, (escapes, resets) in enumerate(self.levels, 1):
+            symbol = gram & U64((1 << 8 * (k + 1)) - 1)
+            for keys, (table, start, lang, bits) in ((symbol >> U64(8), escapes), (symbol, resets)):
+                row = table.find(keys)
+                seen = np.flatnonzero(row >= 0)
+                found, times = np.unique(owner[seen] * table.size + row[seen], return_counts=True)
+                doc, row = np.divmod(found, max(table.size, 1))
+                size = start[row + 1] - start[row]
+                ends = np.cumsum(size)
+                at = 0
+                while at < len(row):  # some 4M list entries at a time
+                    end = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + (1 << 22), side="right")))
+                    part = size[at:end]
+                    entry = np.arange(part.sum()) + np.repeat(start[row[at:end]] - (np.cumsum(part) - part), part)
+                    np.add.at(flat, np.repeat(doc[at:end] * len(self.languages), part) + lang[entry],
+                              np.repeat(times[at:end], part) * bits[entry].astype(np.float64))
+                    at = end
+        return out
+
+
 def _count(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            named = batch.column(0).dictionary_encode()
+            langs = named.indices.to_numpy()
             for row, data, offsets in text_slices(batch.column(1)):
-                gram = grams(data, offsets, order)
                 of = np.repeat(langs[row:row + len(offsets) - 1], np.diff(offsets))
-                for lang in set(of):
-                    key, n = np.unique(gram[of == lang], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(key)), pa.array(key.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                place = np.lexsort((gram := grams(data, offsets, order), of))
+                of, gram = of[place], gram[place]
+                first = np.flatnonzero((np.diff(of, prepend=-1) != 0) | np.concatenate([[True], gram[1:] != gram[:-1]])[:len(gram)])
+                yield pa.RecordBatch.from_arrays(
+                    [named.dictionary.take(pa.array(of[first])), pa.array(gram[first].view(np.int64)),
+                     pa.array(np.diff(np.append(first, len(gram))))], ["lang", "gram", "n"])
     return run
 
 
+def level(sizes: np.ndarray, budget: int) -> int:
+    """The most that each of ``sizes`` may use so that all together use ``budget`` at most."""
+    sizes = np.sort(sizes)
+    left = budget - np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    each = left // np.arange(len(sizes), 0, -1)
+    short = np.flatnonzero(each < sizes)
+    return int(each[short[0]] if len(short) else max(sizes, default=0))
+
+
 def train(documents: DataFrame, train_bytes: int = TRAIN_BYTES, order: int = ORDER, folds: int = 4, held_out: int = 2) -> ContextTrees:
     """Context trees from ``documents`` (doc_id, text, lang), without the rows of the held-out fold."""
     docs = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(
         (fold_of("doc_id", folds) != held_out) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    sizes = docs.select("doc_id", "lang", F.octet_length("text").cast("long").alias("bytes"))
-    totals = cut_lineage(sizes.groupBy("lang").agg(F.sum("bytes").alias("all")))
-    each = train_bytes // max(1, totals.count())
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # twice the share by hash first, so that the window below sees a bounded number of rows
-    likely = sizes.withColumn("u", u).join(bounded_broadcast(totals), "lang").where(F.col("u") * F.col("all") < 2.0 * each)
-    before = Window.partitionBy("lang").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = likely.withColumn("at", F.coalesce(F.sum("bytes").over(before), F.lit(0))).where(F.col("at") < each)
-    chosen = cut_lineage(chosen.select("doc_id", "lang").distinct())
+    size, key = F.octet_length("text").cast("long"), F.xxhash64("doc_id", "lang", "text").alias("key")
+    sizes = docs.select("lang", key, size.alias("bytes"))
+    # by language and power of two of the size: enough to see how far documents reach that give no more than a part each
+    totals = cut_lineage(sizes.groupBy("lang", F.floor(F.log2("bytes")).alias("power")).agg(
+        F.sum("bytes").alias("all"), F.count("*").alias("docs"), F.min("key").alias("lowest")))
+    by_lang = totals.groupBy("lang").agg(F.sum("all").alias("all")).select("all").toArrow()["all"].to_numpy()  # one number a language
+    each = max(level(by_lang, train_bytes), LEAST_BYTES)
+    part = max(1, each // FEW)
+    likely = cut_lineage(totals.groupBy("lang").agg(
+        F.sum(F.least("all", F.col("docs") * part)).alias("all"), F.sum("docs").alias("docs"), F.min("lowest").alias("lowest")))
+    u = F.col("key") / F.lit(float(1 << 64)) + 0.5
+    # by hash first, so that the windows below see a bounded number of rows: three times the share, 64 documents in expectation and one for certain
+    likely = sizes.join(counted_broadcast(likely), "lang").where(
+        (u * F.col("all") < 3.0 * each) | (u * F.col("docs") < 64) | (F.col("key") == F.col("lowest")))
+    likely = likely.groupBy("lang", "key").agg(F.min("bytes").alias("bytes"))
+    before = Window.partitionBy("lang").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.greatest(F.lit(0), F.least("bytes", F.lit(part), each - F.coalesce(F.sum(F.least("bytes", F.lit(part))).over(before), F.lit(0))))
+    chosen = likely.withColumn("first", first).where(F.col("first") > 0)
+    left = each - F.sum("first").over(Window.partitionBy("lang"))
+    longer = F.col("bytes") - F.col("first")
+    more = F.greatest(F.lit(0), F.least(longer, left - F.coalesce(F.sum(longer).over(before), F.lit(0))))
+    chosen = cut_lineage(chosen.select("lang", "key", (F.col("first") + more).cast("int").alias("take")))
+    sample = docs.select("lang", key, "text").join(counted_broadcast(chosen), ["lang", "key"]).select(
+        "lang", "key", F.substring(F.col("text").cast("binary"), F.lit(1), F.col("take")).alias("text"))
     counts = (
-        docs.join(counted_broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+        sample.dropDuplicates(["lang", "key"]).select("lang", "text")
         .mapInArrow(_count(order), "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # no more rows than sampled bytes
     )
-    lang = np.array(counts["lang"].to_pylist(), dtype=object)
-    names = sorted(set(lang))
+    named = counts["lang"].combine_chunks().dictionary_encode()
+    held = named.dictionary.to_pylist()
+    names = sorted(held)
     number = {x: i for i, x in enumerate(names)}
-    return ContextTrees(names, order, np.array([number[x] for x in lang], np.int64),
-                        counts["gram"].to_numpy().view(U64), counts["n"].to_numpy())
+    lang = np.array([number[x] for x in held], np.int64)[named.indices.to_numpy()]
+    kind = ContextTrees if len(names) <= DENSE else SparseTrees
+    return kind(names, order, lang, counts["gram"].to_numpy().view(U64), counts["n"].to_numpy())
 
 
 def identify(documents: DataFrame, **options) -> DataFrame:

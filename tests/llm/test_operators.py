@@ -528,3 +528,42 @@ def test_languages_of_held_out_rows(spark, odd, empty):
     extra = odd.selectExpr("*", "1 as lettered", "2 as score")
     kept = language.keep_identified(extra)
     assert kept.columns == extra.columns and kept.count() < len(ODD)
+
+
+def test_many_languages_cost_the_same_in_lists():
+    rng = np.random.default_rng(7)
+    gram = language.grams(rng.integers(97, 103, 3000).astype(np.uint8), np.array([0, 1000, 3000]), 3)
+    lang, gram = np.divmod(np.unique(np.arange(3000, dtype=np.uint64) % 5 << np.uint64(32) | gram), np.uint64(1 << 32))
+    count = rng.integers(1, 9, len(gram))
+    args = (list("abcde"), 3, lang.astype(np.int64), gram, count)
+    data = np.frombuffer(b"abcabd fade" + bytes([200, 1]) + b"aq", np.uint8)
+    offsets = np.array([0, 5, 5, len(data)])
+    assert np.allclose(language.ContextTrees(*args).bits(data, offsets), language.SparseTrees(*args).bits(data, offsets), rtol=1e-5)
+
+
+def test_water_level_reshares_what_small_languages_leave():
+    assert language.level(np.array([10, 1000, 1, 1000]), 511) == 250
+    assert language.level(np.array([10, 20]), 511) == 20
+    assert language.level(np.array([], np.int64), 511) == 0
+
+
+def test_a_language_of_few_very_long_documents_has_a_tree(spark):
+    word = {"aa": "lorem ipsum dolor ", "bb": "grumpf zwitsch klang ", "cc": "ukubona abantu ", "dd": "ystod hwyr ddydd "}
+    rows = [(10 * i + j, w * 20_000, x, "s", 0) for i, (x, w) in enumerate(word.items()) for j in range(10)]
+    out = language.identify(spark.createDataFrame(rows, DOCS), train_bytes=1 << 13).collect()
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in out) and len(out) == len(rows)
+
+
+def test_thousands_of_lang_values_leave_no_language_without_a_tree(spark):
+    rng = np.random.default_rng(3)
+    junk = [(i, "".join(map(chr, rng.integers(0x400, 0x450, 30))), f"junk{i}", "s", 0) for i in range(2500)]
+    word = {"aa": "lorem ipsum dolor ", "bb": "grumpf zwitsch klang "}
+    real = [(10_000 + 2 * j + i, w * 400, x, "s", 0) for j in range(40) for i, (x, w) in enumerate(word.items())]
+    nameless = [(None, "keine nummer hier " * 9, "cc", "s", 0)]
+    docs = spark.createDataFrame(junk + real + nameless, DOCS)
+    trees = language.train(docs, train_bytes=1 << 18)
+    trained = {r[2] for r in junk if fold(r[0], 4) != 2} | {"aa", "bb", "cc"}
+    assert set(trees.languages) == trained
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, train_bytes=1 << 18).collect()}
+    assert all(got[r[0]] == r[2] for r in real) and got[None] == "cc"
+    assert all(got[r[0]] == r[2] for r in junk if fold(r[0], 4) != 2)

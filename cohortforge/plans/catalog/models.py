@@ -12,7 +12,10 @@ from .. import fixtures as fx
 from ..registry import register
 
 FEATS = ["SEX_CODE", "PAT_AGE", "RACE", "ETHNICITY", "PAT_ZIP", "PAT_COUNTY", "PUBLIC_HEALTH_REGION"]
-RF = {"numTrees": 30, "maxDepth": 10}
+#: Sizes of the reference: generate_ml_drg.py and train.py; generate_Ml_Icd3.py; train_sep.py (columns drawn per node, not per tree).
+RF = {"numTrees": 200, "maxDepth": 20}
+RF_ICD3 = {"numTrees": 300, "maxDepth": 20}
+BOOSTED = {"maxIter": 300, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 
 
 @register("train_random_forest")
@@ -29,9 +32,7 @@ def q_train_logistic(spark, d):
 
 @register("train_boosted")
 def q_train_boosted(spark, d):
-    # 5 classes of ILLNESS_SEVERITY/LOS-style targets keep one-vs-rest GBT affordable; MDC has 25
-    _, pred, _ = models.fit_predict("boosted", fx.real_train(spark, d), fx.real_test(spark, d), FEATS, "ILLNESS_SEVERITY",
-                                    maxIter=10, maxDepth=4)
+    _, pred, _ = models.fit_predict("boosted", fx.real_train(spark, d), fx.real_test(spark, d), FEATS, "APR_MDC", **BOOSTED)
     return pred.drop("prob")
 
 
@@ -53,22 +54,21 @@ def q_evaluate_models(spark, d):
 
 @register("two_stage_model")
 def q_two_stage_model(spark, d):
-    """Stage 1 predicts APR_MDC; its prediction is a feature of the stage-2 APR_DRG model.
+    """Stage 1 predicts APR_MDC; its prediction is a feature of the stage-2 PRINC_DIAG_CODE model.
     Stage-1 predictions for the training rows are out-of-fold (2 hash folds) to avoid leakage."""
     from ...functions.random import uniform
     tr, te = fx.real_train(spark, d), fx.real_test(spark, d)
     fold = uniform("fold", "RECORD_ID") < 0.5
-    stage1 = {"numTrees": 10, "maxDepth": 8}
     parts = []
     for a, b in [(tr.where(fold), tr.where(~fold)), (tr.where(~fold), tr.where(fold))]:
-        _, p, _ = models.fit_predict("random_forest", a, b, FEATS, "APR_MDC", **stage1)
+        _, p, _ = models.fit_predict("random_forest", a, b, FEATS, "APR_MDC", **RF)
         parts.append(p.select(F.col("id").alias("RECORD_ID"), F.col("pred").alias("MDC_HAT")))
     oof = parts[0].unionByName(parts[1])
-    _, p_te, _ = models.fit_predict("random_forest", tr, te, FEATS, "APR_MDC", **stage1)
+    _, p_te, _ = models.fit_predict("random_forest", tr, te, FEATS, "APR_MDC", **RF)
     tr2 = tr.join(oof, "RECORD_ID", "inner")
     te2 = te.join(p_te.select(F.col("id").alias("RECORD_ID"), F.col("pred").alias("MDC_HAT")), "RECORD_ID", "inner")
-    # stage 2 has ~150 DRG classes: multinomial logistic keeps it linear in the class count
-    _, pred, _ = models.fit_predict("logistic", tr2, te2, FEATS + ["MDC_HAT"], "APR_DRG", regParam=0.01, maxIter=50)
+    # stage 2 has thousands of diagnosis codes: multinomial logistic keeps it linear in the class count
+    _, pred, _ = models.fit_predict("logistic", tr2, te2, FEATS + ["MDC_HAT"], "PRINC_DIAG_CODE", regParam=0.01, maxIter=1000)
     return pred.drop("prob")
 
 
@@ -112,7 +112,7 @@ def q_label_by_model_argmax(spark, d):
     from ...operators.clean import icd3_extract
     tr = icd3_extract(fx.real_train(spark, d), drop_source=False)
     sy = icd3_extract(fx.synth(spark, d), drop_source=False)
-    _, pred, _ = models.fit_predict("random_forest", tr, sy, FEATS + ["APR_MDC"], "ICD3", numTrees=10, maxDepth=8)
+    _, pred, _ = models.fit_predict("random_forest", tr, sy, FEATS + ["APR_MDC"], "ICD3", **RF_ICD3)
     return pred.select("id", F.col("pred").alias("ICD3_PRED"))
 
 

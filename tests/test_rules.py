@@ -199,6 +199,49 @@ def test_bundle_scores_from_disk_and_beats_the_majority(spark):
     assert sorted((r.id, r.pred) for r in back.collect()) == sorted((r.id, r.pred) for r in pred.collect())
 
 
+class Fitted(Exception):
+    pass
+
+
+@pytest.mark.parametrize("key, kind, label, size", [
+    ("train_random_forest", "random_forest", "APR_MDC", {"numTrees": 200, "maxDepth": 20}),
+    ("train_boosted", "boosted", "APR_MDC", {"maxIter": 300, "maxDepth": 8, "stepSize": 0.05}),
+    ("feature_importance", "random_forest", "APR_MDC", {"numTrees": 200, "maxDepth": 20}),
+    ("load_bundle", "random_forest", "APR_MDC", {"numTrees": 200, "maxDepth": 20}),
+    ("label_by_model_probability", "random_forest", "APR_MDC", {"numTrees": 200, "maxDepth": 20}),
+    ("label_by_model_argmax", "random_forest", "ICD3", {"numTrees": 300, "maxDepth": 20}),
+])
+def test_registered_models_have_the_reference_sizes(spark, monkeypatch, key, kind, label, size):
+    from cohortforge.plans.registry import QUERIES, load_all
+    load_all()
+    seen = {}
+
+    def fit(kind, train, test, features, label, **params):
+        seen.update(params, kind=kind, label=label)
+        raise Fitted
+
+    monkeypatch.setattr(models, "fit_predict", fit)
+    with pytest.raises(Fitted):
+        QUERIES[key](spark, "/root/testdata/sf0.001")
+    assert size.items() | {"kind": kind, "label": label}.items() <= seen.items()
+
+
+def test_two_stages_reach_the_diagnosis_code(spark, monkeypatch):
+    from cohortforge.plans.registry import QUERIES, load_all
+    load_all()
+    calls = []
+
+    def fit(kind, train, test, features, label, **params):
+        calls.append((kind, features[-1], label, params))
+        return None, test.select(F.col("RECORD_ID").alias("id"), F.col(label).cast("string").alias("y"),
+                                 F.lit("1").alias("pred"), F.array(F.lit(1.0)).alias("prob")), None
+
+    monkeypatch.setattr(models, "fit_predict", fit)
+    assert QUERIES["two_stage_model"](spark, "/root/testdata/sf0.001").columns == ["id", "y", "pred"]
+    assert all(c[0] == "random_forest" and c[2:] == ("APR_MDC", {"numTrees": 200, "maxDepth": 20}) for c in calls[:3])
+    assert calls[3][:3] == ("logistic", "MDC_HAT", "PRINC_DIAG_CODE") and calls[3][3]["maxIter"] == 1000
+
+
 @pytest.fixture
 def extracts(tmp_path):
     for name, text in {"BASE_1.txt": "A\tB\tC\n1\t2\t3\n4\n5\t6\t7\t\n", "BASE_2.txt": "C\tX\tA\tB\n30\tx\t10\t20\n", "BASE_3.txt": "B\n7\n",

@@ -242,6 +242,20 @@ def test_two_stages_reach_the_diagnosis_code(spark, monkeypatch):
     assert calls[3][:3] == ("logistic", "MDC_HAT", "PRINC_DIAG_CODE") and calls[3][3]["maxIter"] == 1000
 
 
+def test_model_select_has_three_families(spark):
+    grids = models.reference_grids(1000)
+    assert {k: sorted(g) for k, g in grids.items()} == {
+        "boosted": ["maxIter"], "random_forest": ["maxDepth", "numTrees"], "logistic": ["regParam"]}
+    assert grids["boosted"]["maxIter"] == grids["random_forest"]["numTrees"] == [200, 400]
+    assert np.allclose(grids["logistic"]["regParam"], [0.01, 0.001, 0.0001])
+    df = spark.createDataFrame([(i, "abc"[i % 3], "xy"[i % 2], "L" + "abc"[i % 3]) for i in range(90)], "RECORD_ID long, f string, g string, y string")
+    small = {"boosted": {"maxIter": [1, 2]}, "random_forest": {"numTrees": [2]}, "logistic": {"regParam": [0.01]}}
+    res, _ = models.model_select(df, ["f", "g"], "y", grids=small, folds=2)
+    assert {k for k, _, _ in res} == set(grids) and all(0 < m <= 1 for _, m, _ in res)
+    fitted = next(m for k, _, m in res if k == "boosted")
+    assert {x.getNumTrees for x in fitted.models} <= {1, 2}
+
+
 @pytest.fixture
 def extracts(tmp_path):
     for name, text in {"BASE_1.txt": "A\tB\tC\n1\t2\t3\n4\n5\t6\t7\t\n", "BASE_2.txt": "C\tX\tA\tB\n30\tx\t10\t20\n", "BASE_3.txt": "B\n7\n",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import py_uniform, uniform
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, cut_lineage
 from .rowindex import BUCKET_ROWS, group_rank, in_key_order, part_offsets, with_row_index
 
 
@@ -83,18 +83,26 @@ def prefix_sum(df: DataFrame, key: str, value: str, out: str = "_cum") -> DataFr
 
 
 def sample_weighted_replace(df: DataFrame, weight: str, n: int | None = None, id_col: str = "RECORD_ID",
-                            tag: str = "systematic") -> DataFrame:
+                            tag: str = "systematic", mode: str = "systematic") -> DataFrame:
     """n = min(n, len) draws with replacement, probability proportional to weight (null -> 0).
 
     Systematic resampling: one uniform offset u0, positions (i + u0) * W / n; row j is repeated
     floor(n*C_j/W + u0) - floor(n*C_{j-1}/W + u0) times, where C is the running weight sum in key
-    order. Each row's copies are emitted locally with explode(sequence) (no range join)."""
+    order. Each row's copies are emitted locally with explode(sequence) (no range join).
+
+    Multinomial: each draw i on its own picks the row whose range of the running sum holds u(tag, i) * W; DRAW counts
+    the copies of a row from 1 as well. Ranges are cut into blocks of the mean draw distance, so a draw is an equi join
+    on its block and a range test inside."""
+    if mode not in ("systematic", "multinomial"):
+        raise ValueError(mode)
     x = df.withColumn("_w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
     stats = x.agg(F.count("*").alias("N"), F.sum("_w").alias("W")).first()
     size = int(stats["N"]) if n is None else min(int(n), int(stats["N"]))
     total = float(stats["W"] or 0.0)
     if size == 0 or total <= 0:
         return df.limit(0).withColumn("DRAW", F.lit(0))
+    if mode == "multinomial":
+        return _multinomial(df, x, total, size, id_col, tag)
     u0 = py_uniform(tag, 0)
     c = prefix_sum(x, id_col, "_w")
     hi = F.floor(F.lit(size) * F.col("_cum") / F.lit(total) + F.lit(u0))
@@ -104,6 +112,20 @@ def sample_weighted_replace(df: DataFrame, weight: str, n: int | None = None, id
             .select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("DRAW")))
 
 
+def _multinomial(df: DataFrame, x: DataFrame, total: float, size: int, id_col: str, tag: str) -> DataFrame:
+    # whole units of total / 2^52, so that ranges meet without gaps at any partitioning; stored, so that equal ids keep their places
+    units = x.withColumn("_w", F.round(F.col("_w") * F.lit((1 << 52) / total)).cast("long")).where(F.col("_w") > 0)
+    cum = cut_lineage(prefix_sum(units, id_col, "_w").withColumn("_lo", F.col("_cum") - F.col("_w")))
+    end = cum.agg(F.max("_cum")).first()[0]
+    block = F.lit(-(-end // size))
+    ranges = cum.select("_lo", "_cum", F.explode(F.sequence(F.floor(F.col("_lo") / block), F.floor((F.col("_cum") - 1) / block))).alias("_block"))
+    at = F.least(F.floor(uniform(tag, "id") * F.lit(float(end))), F.lit(end - 1))
+    draws = df.sparkSession.range(size).select(at.alias("_at")).withColumn("_block", F.floor(F.col("_at") / block))
+    hit = draws.join(ranges, "_block").where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_cum")))
+    copies = hit.groupBy("_lo").agg(F.count("*").cast("int").alias("_k"))
+    return cum.join(copies, "_lo").select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("DRAW"))
+
+
 def sample_replace(df: DataFrame, n: int, id_col: str = "RECORD_ID", tag: str = "replace") -> DataFrame:
     """n uniform draws with replacement: draw i picks the row at position floor(u(tag, i) * N)."""
     idx = with_row_index(df, id_col, out="_pos")

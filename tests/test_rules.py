@@ -256,6 +256,21 @@ def test_model_select_has_three_families(spark):
     assert {x.getNumTrees for x in fitted.models} <= {1, 2}
 
 
+def test_multinomial_draws_match_brute_force(spark):
+    weights = [None if i % 7 == 0 else float(i % 4) for i in range(600)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(weights)], "RECORD_ID long, w double").repartition(5)
+    got = sampling.sample_weighted_replace(df, "w", 500, mode="multinomial", tag="m").collect()
+    total = sum(w or 0 for w in weights)
+    cum = np.cumsum([round((w or 0) * ((1 << 52) / total)) for w in weights])
+    want = np.bincount(np.searchsorted(cum, [min(math.floor(py_uniform("m", i) * float(cum[-1])), cum[-1] - 1) for i in range(500)], side="right"),
+                       minlength=600)
+    n = np.bincount([r.RECORD_ID for r in got], minlength=600)
+    assert len(got) == 500 and (n == want).all() and n.max() > 3
+    assert sorted(r.DRAW for r in got if r.RECORD_ID == n.argmax()) == list(range(1, n.max() + 1))
+    with pytest.raises(ValueError):
+        sampling.sample_weighted_replace(df, "w", 5, mode="other")
+
+
 @pytest.fixture
 def extracts(tmp_path):
     for name, text in {"BASE_1.txt": "A\tB\tC\n1\t2\t3\n4\n5\t6\t7\t\n", "BASE_2.txt": "C\tX\tA\tB\n30\tx\t10\t20\n", "BASE_3.txt": "B\n7\n",

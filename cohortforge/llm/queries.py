@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, language, lm, minhash, mixing, packing, quality, sharding, topk, warc
+from . import decontam, embeddings, language, lm, minhash, mixing, packing, quality, runs, sharding, topk, warc, whitening
 from .common import read
 
 
@@ -48,9 +48,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.document_runs(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_quality_classifier, op3_warc, op4_lm_scoring, op5_topk_search, op6_mixing, op7_packing,
-    op8_embedding_dedup, op9_minhash_dedup, op10_language_id)}
+    op8_embedding_dedup, op9_minhash_dedup, op10_language_id, op11_decontamination, op12_whitening, op13_periodic_runs)}
 
 #: The words of the contracts, in DuckDB's regular expressions.
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -121,6 +133,22 @@ select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(d.doc_id, coalesce(m
 from documents d left join n using (doc_id) left join m on m.a = d.doc_id
 """
 
+_DECONTAMINATION = r"""
+with w as (select doc_id, row_number() over () r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents),
+b as (select coalesce(item_id::varchar, '') item, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from benchmark),
+g as (select distinct item, least(len(w), 10) l, unnest([array_to_string(w[i:i + least(len(w), 10) - 1], ' ')
+    for i in range(1, greatest(len(w) - 8, 2))]) s from b where len(w) > 0),
+p as (select r, w, l, unnest(range(1, len(w) - l + 2)) i from w, (select distinct l from g) x where len(w) >= l),
+h as (select p.r, p.i, p.l, g.item from p join g on g.l = p.l and g.s = array_to_string(p.w[p.i:p.i + p.l - 1], ' ')),
+n as (select r, count(distinct i)::bigint n_hit from (select r, unnest(range(i, i + l)) i from h) x group by r),
+t as (select r, count(distinct item)::bigint n_items, sha256(string_agg(distinct item, ',' order by item)) s from h group by r)
+select w.doc_id, len(w.w)::bigint n_words, coalesce(n.n_hit, 0) n_hit, coalesce(t.n_items, 0) n_items,
+  coalesce(t.s, sha256('')) items_sha256, coalesce(n.n_hit, 0) > 0 contaminated
+from w left join n using (r) left join t using (r)
+"""
+
 #: Only what SQL can express; the others are tested against brute force, round trips or held-out accuracy.
 ORACLE = {
     "op3_warc": _WARC,
@@ -128,4 +156,5 @@ ORACLE = {
     "op6_mixing": _MIXING,
     "op8_embedding_dedup": _VECTORS,
     "op9_minhash_dedup": _SHINGLES,
+    "op11_decontamination": _DECONTAMINATION,
 }

@@ -137,9 +137,9 @@ def pairwise_information(df: DataFrame, features) -> DataFrame:
              for i, a in enumerate(feats) for b in feats[i + 1:]]
     cells = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").dropna(subset=["x", "y"])
     cells = cut_lineage(cells.groupBy("A", "B", "x", "y").agg(F.count("*").alias("n")))
-    total = cells.groupBy("A", "B").agg(F.sum("n").cast("double").alias("N"))
+    total = cells.groupBy("A", "B").agg(F.sum("n").cast("double").alias("_total"))
     j = (cells.join(cells.groupBy("A", "B", "x").agg(F.sum("n").alias("nx")), ["A", "B", "x"])
          .join(cells.groupBy("A", "B", "y").agg(F.sum("n").alias("ny")), ["A", "B", "y"])
          .join(bounded_broadcast(total), ["A", "B"]))
-    return j.groupBy("A", "B").agg(r6(F.sum(F.col("n") / F.col("N") * F.log(F.col("n") * F.col("N") / (F.col("nx") * F.col("ny")))))
+    return j.groupBy("A", "B").agg(r6(F.sum(F.col("n") / F.col("_total") * F.log(F.col("n") * F.col("_total") / (F.col("nx") * F.col("ny")))))
                                    .alias("MI"))

@@ -70,10 +70,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # pragma: no cover - plan stats unavailable (e.g. Spark Connect)
-        return 1 << 62
+    """The optimizer's size estimate of ``df`` (a BigInt, which arrives as Python's integer)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def bounded_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:

@@ -184,8 +184,11 @@ def test_label_drawn_from_class_probabilities(spark):
     assert set(n) == {"a", "c"} and abs(n["a"] / 4000 - 0.2) < 0.03
 
 
-def test_boosted_stays_boosted():
-    assert type(models.estimator("boosted", 31)).__name__ == type(models.estimator("boosted", 25)).__name__ == "OneVsRest"
+@pytest.mark.parametrize("classes", [2, 31])
+def test_boosted_stays_boosted(spark, classes):
+    df = spark.createDataFrame([(i, str(i % classes), str(i % classes)) for i in range(80)], "RECORD_ID long, f string, y string")
+    model, pred, _ = models.fit_predict("boosted", df, df, ["f"], "y", maxIter=2)
+    assert model.kind == "booster" and model.n_classes == classes and pred.count() == 80
 
 
 def test_bundle_scores_from_disk_and_beats_the_majority(spark):
@@ -239,21 +242,21 @@ def test_two_stages_reach_the_diagnosis_code(spark, monkeypatch):
     monkeypatch.setattr(models, "fit_predict", fit)
     assert QUERIES["two_stage_model"](spark, "/root/testdata/sf0.001").columns == ["id", "y", "pred"]
     assert all(c[0] == "random_forest" and c[2:] == ("APR_MDC", {"numTrees": 200, "maxDepth": 20}) for c in calls[:3])
-    assert calls[3][:3] == ("logistic", "MDC_HAT", "PRINC_DIAG_CODE") and calls[3][3]["maxIter"] == 1000
+    assert calls[3][:3] == ("boosted", "MDC_HAT", "PRINC_DIAG_CODE")
+    assert {"maxIter": 300, "maxDepth": 8, "stepSize": 0.05}.items() <= calls[3][3].items()
 
 
 def test_model_select_has_three_families(spark):
     grids = models.reference_grids(1000)
     assert {k: sorted(g) for k, g in grids.items()} == {
-        "boosted": ["maxIter"], "random_forest": ["maxDepth", "numTrees"], "logistic": ["regParam"]}
+        "boosted": ["maxIter"], "random_forest": ["maxDepth", "minSplit", "numTrees"], "logistic": ["regParam"]}
     assert grids["boosted"]["maxIter"] == grids["random_forest"]["numTrees"] == [200, 400]
     assert np.allclose(grids["logistic"]["regParam"], [0.01, 0.001, 0.0001])
     df = spark.createDataFrame([(i, "abc"[i % 3], "xy"[i % 2], "L" + "abc"[i % 3]) for i in range(90)], "RECORD_ID long, f string, g string, y string")
     small = {"boosted": {"maxIter": [1, 2]}, "random_forest": {"numTrees": [2]}, "logistic": {"regParam": [0.01]}}
-    res, _ = models.model_select(df, ["f", "g"], "y", grids=small, folds=2)
-    assert {k for k, _, _ in res} == set(grids) and all(0 < m <= 1 for _, m, _ in res)
-    fitted = next(m for k, _, m in res if k == "boosted")
-    assert {x.getNumTrees for x in fitted.models} <= {1, 2}
+    res, best, _ = models.model_select(df, ["f", "g"], "y", grids=small, folds=2)
+    assert {k for k, _, _ in res} == set(grids) and len(res) == 4 and all(0 < m <= 1 for _, _, m in res)
+    assert res == sorted(res, key=lambda r: -r[2]) and best is not None
 
 
 def test_multinomial_draws_match_brute_force(spark):

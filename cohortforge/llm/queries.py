@@ -101,10 +101,10 @@ from b
 _VALID = """embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0"""
 
 _TOPK = f"""
-with v as (select vec_id, [floor(256 * x::double) for x in embedding] e from embeddings where {_VALID}),
-s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint score
-  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
+with v as (select vec_id, row_number() over () r, [floor(256 * x::double) for x in embedding] e from embeddings where {_VALID}),
+s as (select q.r q, q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint score
+  from v q join v c on q.vec_id % 50 = 0 and c.r <> q.r),
+r as (select *, row_number() over (partition by q order by score desc, vec_id)::int "rank" from s)
 select query_id, "rank", vec_id, score from r where "rank" <= 5
 """
 

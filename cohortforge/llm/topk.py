@@ -7,11 +7,13 @@ its partial score and the parts of both squared lengths that are used up, so by
 the rest of its score is bounded. The k-th best exact score so far is a threshold: once only few vectors can still
 reach it, those are rescored exactly and nothing else can be a member; processing never stops otherwise.
 
-Query blocks meet candidate blocks in one task each; a pair of blocks sends on k rows per query at most.
+First each query searches one block; its k-th score there is a lower bound of its k-th score of all and the threshold that it brings to
+all other blocks, so a block without near vectors is given up early. Query blocks meet candidate blocks in one task each; a pair of blocks
+sends on k rows per query at most, and only those that reach the query's bound.
 
-Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without id; rows that
-share a vec_id count once (the smallest vector); shorter vectors count as filled with zeros; ties go to the smaller vec_id; fewer than k
-candidates give fewer rows.
+Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without id; rows are vectors, also
+if they share a vec_id: each such row is a query of its own and a candidate of the other; shorter vectors count as filled with zeros; ties go
+to the smaller vec_id; fewer than k candidates give fewer rows.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ BLOCK = 4096
 class ImpactIndex:
     """Postings of one block of integer vectors."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray):
+        self.rows, self.ids, self.x = rows, ids, x
         self.norms = (x.astype(np.float64) ** 2).sum(axis=1)
         size = np.abs(x)
         self.order = np.argsort(-size, axis=0, kind="stable").T.astype(np.int32)  # dimension, posting
@@ -47,10 +49,10 @@ class ImpactIndex:
         self.ends = np.stack([np.searchsorted(-level[d], -np.arange(LEVELS + 2), side="right") for d in range(n_dim)])
         self.largest = np.arange(LEVELS + 2) * float(step)
 
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows of the block, without those whose id is ``own``."""
+    def search(self, q: np.ndarray, own: int, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows of the block with a score of ``least`` or more, without the row ``own``."""
         n, dims = self.x.shape
-        alive = self.ids != own
+        alive = self.rows != own
         weight = np.abs(q).astype(np.float64)
         impact = weight[:, None] * self.largest[None, 1:LEVELS + 1]
         order = np.argsort(-impact, axis=None, kind="stable")
@@ -59,7 +61,7 @@ class ImpactIndex:
         order, sizes = order[live], sizes[live]
         done = np.cumsum(sizes)
         score, used_x, used_q = np.zeros((3, n))
-        query_norm, best, at = float((weight**2).sum()), -np.inf, 0
+        query_norm, best, at = float((weight**2).sum()), least, 0
         next_level = np.full(dims, LEVELS)  # per dimension, the highest level still to come
         for share in (1 / 8, 1 / 4, 3 / 8, 1 / 2, 3 / 4, 1):
             to = int(np.searchsorted(done, share * done[-1])) + 1 if len(done) else 0
@@ -83,31 +85,33 @@ class ImpactIndex:
             if len(likely) >= k:
                 best = max(best, np.partition(self.x[likely] @ q, len(likely) - k)[len(likely) - k])
             member = np.flatnonzero(alive & (score + rest + 0.5 >= best))
-            if len(member) <= max(64, n // 32) or at == len(order):
+            # to rescore a vector costs less than to go on with a few of its postings
+            if len(member) <= max(64, n // 6) or at == len(order):
                 break
         exact = self.x[member] @ q
+        member, exact = member[exact >= best], exact[exact >= best]
         top = np.lexsort((self.ids[member], -exact))[:k]
         return self.ids[member[top]], exact[top]
 
 
-def _table(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    return t.column("vec_id").to_numpy(), [np.asarray(v.values.to_numpy()) for v in t.column("x").combine_chunks()]
+def _vectors(t: pa.Table) -> list[np.ndarray]:
+    return [np.asarray(v.values.to_numpy()) for v in t.column("x").combine_chunks()]
 
 
 def _search(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        (ids, rows), (query_ids, queries) = _table(left), _table(right)
+        rows, queries = _vectors(left), _vectors(right)
         dim = max(map(len, [*rows, *queries]))
         fill = lambda x: np.stack([np.pad(v, (0, dim - len(v))) for v in x])
-        index = ImpactIndex(ids, fill(rows))
+        index = ImpactIndex(left.column("row").to_numpy(), left.column("vec_id").to_numpy(), fill(rows))
         out = []
-        for own, q in zip(query_ids, fill(queries)):
-            got, score = index.search(q, own, k)
-            out.append((np.full(len(got), own), got, score))
+        for row, own, least, q in zip(*(right.column(c).to_pylist() for c in ("row", "vec_id", "least")), fill(queries)):
+            got, score = index.search(q, row, k, -np.inf if least is None else least)
+            out.append((np.full(len(got), row), np.full(len(got), own), got, score))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
 
     return run
@@ -120,15 +124,21 @@ def top_inner_products(vectors: DataFrame, k: int = TOP, every: int = EVERY, blo
     rows = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & usable).select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE)).alias("x"))
-    rows = written(rows.groupBy("vec_id").agg(F.min("x").alias("x")), "integers")
-    queries = rows.where(F.col("vec_id") % every == 0)
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "integers")  # stored, so row numbers are facts
+    queries = rows.where(F.col("vec_id") % every == 0).select(*[F.col(c).alias(c) for c in rows.columns])  # columns of their own
     n_rows, n_queries = -(-rows.count() // block) or 1, -(-queries.count() // block) or 1
-    own, others = F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)), F.sequence(F.lit(0), F.lit(n_queries - 1))
-    left = rows.withColumn("c", own.cast("int")).withColumn("q", F.explode(others))
-    own, others = F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)), F.sequence(F.lit(0), F.lit(n_rows - 1))
-    right = queries.withColumn("q", own.cast("int")).withColumn("c", F.explode(others))
-    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(
-        _search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("row"), F.lit(n_rows)).cast("int"))
+    # a query's first block is dealt by another hash than its place, so that a block's first queries are from all blocks
+    first = F.pmod(F.xxhash64(F.lit("first"), "row"), F.lit(n_rows)).cast("int")
+    queries = queries.withColumn("first", first).withColumn("q", F.pmod(F.xxhash64("row"), F.lit(n_queries)).cast("int"))
+    answer = "query long, query_id long, vec_id long, score long"
+    early = written(rows.groupBy("c").cogroup(queries.withColumn("c", F.col("first")).withColumn("least", F.lit(None).cast("long")).groupBy("c"))
+                    .applyInArrow(_search(k), answer), "first-scores")
+    # fewer than k rows in the first block are no bound
+    least = early.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least")).withColumnRenamed("query", "row")
+    left = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    right = queries.join(least, "row", "left").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))).where("c <> first")
+    late = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(_search(k), answer)
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    return (early.union(late).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -254,16 +254,16 @@ def test_topk_matches_brute_force(spark):
     x[100:140] = x[50]
     data = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
     data += [(950, None), (1000, [1.0, None] + [0.0] * 14), (1050, [float("nan")] * 16), (1100, [float("inf")] * 16), (1150, []),
-             (None, [1.0] * 16), (1200, [0.5, 0.25]), (50, data[50][1])]
+             (None, [1.0] * 16), (1200, [0.5, 0.25]), (50, data[50][1]), (100, data[7][1]), (7, data[300][1])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "2 as x").repartition(4)
-    q = {i: np.pad(np.floor(256 * np.asarray(v, np.float32).astype(float)), (0, 16 - len(v))).astype(int)
-         for i, v in data if i is not None and v and i not in (1000, 1050, 1100)}
+    rows = [(i, np.pad(np.floor(256 * np.asarray(v, np.float32).astype(float)), (0, 16 - len(v))).astype(int))
+            for i, v in data if i is not None and v and i not in (1000, 1050, 1100)]
     want = []
-    for i in q:
+    for own, (i, v) in enumerate(rows):
         if i % 50 == 0:
-            best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:5]
+            best = sorted((-int(v @ x), j) for other, (j, x) in enumerate(rows) if other != own)[:5]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
-    for block in (4096, 128):
+    for block in (4096, 128, 3):
         got = topk.top_inner_products(df, block=block).collect()
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     assert topk.top_inner_products(df.limit(0)).count() == 0

@@ -2,9 +2,9 @@
 
 Components become integers floor(256 * x). The index of a block of vectors has, for each dimension, the vectors in descending order
 of the component's size, cut into segments of equal quantised size (LEVELS). For a query, a segment's impact is the query
-component's size times the segment's largest size; segments are processed in descending impact, a batch at a time. Each vector keeps
-its partial score and the parts of both squared lengths that are used up, so by Cauchy-Schwarz (and by the impacts of the segments still to come)
-the rest of its score is bounded. The k-th best exact score so far is a threshold: once only few vectors can still
+component's size times the segment's largest size; segments are processed in descending impact, a batch at a time, so that of each
+dimension a prefix of its postings is done. By Cauchy-Schwarz and the means' inequality the rest of a vector's score is at most half the sum of
+what is left of both squared lengths (scaled to like size), so each posting lowers its vector's bound by half of (x - q)^2. The k-th best exact score so far is a threshold: once only few vectors can still
 reach it, those are rescored exactly and nothing else can be a member; processing never stops otherwise.
 
 First each query searches one block; its k-th score there is a lower bound of its k-th score of all and the threshold that it brings to
@@ -38,6 +38,8 @@ class ImpactIndex:
     def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray):
         self.rows, self.ids, self.x = rows, ids, x
         self.norms = (x.astype(np.float64) ** 2).sum(axis=1)
+        self.mean_norm = float(self.norms.mean())
+        self.float = x.astype(np.float64)
         size = np.abs(x)
         self.order = np.argsort(-size, axis=0, kind="stable").T.astype(np.int32)  # dimension, posting
         self.values = np.take_along_axis(x.T, self.order, axis=1).astype(np.float64)
@@ -53,43 +55,48 @@ class ImpactIndex:
         """Ids and scores of the k best rows of the block with a score of ``least`` or more, without the row ``own``."""
         n, dims = self.x.shape
         alive = self.rows != own
-        weight = np.abs(q).astype(np.float64)
+        whole, q = q, q.astype(np.float64)
+        weight = np.abs(q)
         impact = weight[:, None] * self.largest[None, 1:LEVELS + 1]
         order = np.argsort(-impact, axis=None, kind="stable")
         sizes = (self.ends[:, 1:LEVELS + 1] - self.ends[:, 2:LEVELS + 2]).ravel()[order]
         live = (sizes > 0) & (impact.ravel()[order] > 0)
         order, sizes = order[live], sizes[live]
         done = np.cumsum(sizes)
-        score, used_x, used_q = np.zeros((3, n))
-        query_norm, best, at = float((weight**2).sum()), least, 0
-        next_level = np.full(dims, LEVELS)  # per dimension, the highest level still to come
-        for share in (1 / 8, 1 / 4, 3 / 8, 1 / 2, 3 / 4, 1):
+        query_norm = float((weight**2).sum())
+        # any positive scale gives a bound; the best one makes both lengths alike
+        scale = max(1e-9, np.sqrt(self.mean_norm / query_norm)) if query_norm and self.mean_norm else 1.0
+        bound = (self.norms / scale + query_norm * scale) / 2
+        best, at = least, 0
+        x_scale, q_scaled = 1 / np.sqrt(scale), q * np.sqrt(scale)
+        ends = np.zeros(dims, np.int64)
+        for share in (1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 1):
             to = int(np.searchsorted(done, share * done[-1])) + 1 if len(done) else 0
             to = min(to, len(order))
             dim, level = np.divmod(order[at:to], LEVELS)
-            level = level + 1
             at = to
             if len(dim):
-                a, b = self.ends[dim, level + 1], self.ends[dim, level]
-                docs = np.concatenate([self.order[d, s:e] for d, s, e in zip(dim, a, b)])
-                part = np.concatenate([self.values[d, s:e] for d, s, e in zip(dim, a, b)])
-                w = np.repeat(q[dim].astype(np.float64), b - a)
-                score += np.bincount(docs, part * w, n)
-                used_x += np.bincount(docs, part * part, n)
-                used_q += np.bincount(docs, w * w, n)
-                np.minimum.at(next_level, dim, level - 1)
-            rest = np.sqrt(np.maximum(self.norms - used_x, 0) * np.maximum(query_norm - used_q, 0))
-            rest = np.minimum(rest, (weight * self.largest[next_level]).sum())
-            likely = np.argpartition(-np.where(alive, score, -np.inf), min(4 * k, n - 1))[:4 * k]
+                reached = ends.copy()
+                np.maximum.at(reached, dim, self.ends[dim, level + 1])
+                dim = np.flatnonzero(reached > ends)
+                docs = np.concatenate([self.order[d, ends[d]:reached[d]] for d in dim])
+                part = np.concatenate([self.values[d, ends[d]:reached[d]] for d in dim])
+                part *= x_scale
+                part -= np.repeat(q_scaled[dim], (reached - ends)[dim])
+                part *= part
+                bound -= np.bincount(docs, part, n) / 2
+                ends = reached
+            likely = np.argpartition(-np.where(alive, bound, -np.inf), min(4 * k, n - 1))[:4 * k]
             likely = likely[alive[likely]]
             if len(likely) >= k:
-                best = max(best, np.partition(self.x[likely] @ q, len(likely) - k)[len(likely) - k])
-            member = np.flatnonzero(alive & (score + rest + 0.5 >= best))
+                best = max(best, np.partition(self.float[likely] @ q, len(likely) - k)[len(likely) - k])
+            # components that are zero on one side are in no segment that counts: what they leave in the bound is only too much
+            member = np.flatnonzero(alive & (bound + 0.5 >= best))
             # to rescore a vector costs less than to go on with a few of its postings
             if len(member) <= max(64, n // 6) or at == len(order):
                 break
-        exact = self.x[member] @ q
-        member, exact = member[exact >= best], exact[exact >= best]
+        exact = self.x[member] @ whole
+        member, exact = member[exact >= least], exact[exact >= least]
         top = np.lexsort((self.ids[member], -exact))[:k]
         return self.ids[member[top]], exact[top]
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,24 +24,30 @@ from .joins import draw_from_counts
 # ------------------------------------------------------------------------------------------------
 
 
+#: Cells that raking holds as arrays on the driver; more are raked by distributed passes.
+HELD_CELLS = 1 << 20
+
+
 def cells(df: DataFrame, features: Sequence[str], count: str = "N") -> DataFrame:
     """Collapse rows to distinct feature combinations with their row counts (weights are per cell)."""
     return df.groupBy(*features).agg(F.count("*").alias(count))
 
 
 def ipf_fit(cell_df: DataFrame, features: Sequence[str], targets: DataFrame, count: str = "N",
-            max_iter: int = 100, tol: float = 1e-5) -> tuple[DataFrame, int, bool]:
+            max_iter: int = 100, tol: float = 1e-5, held: int | None = None) -> tuple[DataFrame, int, bool]:
     """Raking on a cell table: per iteration and feature f, w *= target[f=c] / sum(count*w over f=c).
 
     A cell's weight is the product of one factor per feature, so only the factor tables (one row per category) change:
     a half-step joins the stored cells with the factors, sums by f and scales f's factors, which are stored; the plan has
     the same size at every step and no task gathers the cells of a category. `targets` is long: (FEATURE, CATEGORY
     string, TARGET double); a category without a target gets a null weight, one whose cells sum to zero a null factor.
-    Stops when all |w - w_old| <= tol + tol*|w_old| (numpy allclose) or after max_iter. Returns (cells with W,
+    Up to HELD_CELLS cells (counted first; their number is bounded by the categories, not by the rows) are coded as arrays once and raked as
+    bincounts, without a job per half-step; beyond that every half-step is a distributed pass. Stops when all |w - w_old| <= tol + tol*|w_old| (numpy allclose) or after max_iter. Returns (cells with W,
     iterations run, converged).
     """
     features = list(features)
     keys = [f"_k{i}" for i in range(len(features))]
+    held = HELD_CELLS if held is None else held
     cells_ = cut_lineage(cell_df.select("*", *[F.col(f).cast("string").alias(k) for f, k in zip(features, keys)]))
     goal = {f: targets.where(F.col("FEATURE") == f).select(F.col("CATEGORY").alias("_c"), F.col("TARGET").alias("_t"))
             for f in features}
@@ -58,6 +65,12 @@ def ipf_fit(cell_df: DataFrame, features: Sequence[str], targets: DataFrame, cou
         return out.withColumn(name, product).drop(*[f"_f{i}" for i in range(len(keys))])
 
     it, converged = 0, False
+    if cells_.count() <= held:
+        rows = [r[:] for r in cells_.select(*keys, count).collect()]
+        tables, it, converged = _rake(rows, [{r._c: r._t for r in goal[f].collect()} for f in features], max_iter, tol)
+        spark = cells_.sparkSession
+        factor = [spark.createDataFrame(list(t.items()), f"{k} string, _f double") for k, t in zip(keys, tables)]
+        return weighted(factor, "W").drop(*keys), it, converged
     while it < max_iter and not converged:
         it += 1
         old = list(factor)
@@ -76,6 +89,43 @@ def ipf_fit(cell_df: DataFrame, features: Sequence[str], targets: DataFrame, cou
     return weighted(factor, "W").drop(*keys), it, converged
 
 
+def _coded(values: list) -> tuple[list, np.ndarray]:
+    """The distinct values (a null is one) and each value's place among them."""
+    place: dict = {}
+    codes = np.array([place.setdefault(v, len(place)) for v in values], np.int64)
+    return list(place), codes
+
+
+def _rake(rows: list, targets: list[dict], max_iter: int, tol: float) -> tuple[list[dict], int, bool]:
+    """ipf_fit's rule on cells (categories..., count) held as arrays; a nan stands for a null. Returns a factor per category and feature."""
+    rows = sorted(rows, key=lambda r: [(v is not None, v or "") for v in r[:-1]])  # sums in one order, however the cells arrive
+    n = np.array([r[-1] for r in rows], float)
+    coded = [_coded([r[i] for r in rows]) for i in range(len(targets))]
+    goal = [np.array([np.nan if v is None or t.get(v) is None else t[v] for v in values], float) for (values, _), t in zip(coded, targets)]
+    factor = [np.ones(len(values)) for values, _ in coded]
+
+    def weights() -> np.ndarray:
+        out = factor[0][coded[0][1]]
+        for f, (_, at) in zip(factor[1:], coded[1:]):
+            out = out * f[at]
+        return out
+
+    it, converged, now = 0, False, weights()
+    while it < max_iter and not converged:
+        it, old = it + 1, now
+        for i, (values, at) in enumerate(coded):
+            part = n * weights()
+            known = ~np.isnan(part)
+            total = np.bincount(at[known], part[known], len(values)).astype(float)
+            total[(np.bincount(at[known], minlength=len(values)) == 0) | (total == 0)] = np.nan
+            factor[i] = factor[i] * (goal[i] / total)
+        now = weights()
+        with np.errstate(invalid="ignore"):
+            near = np.abs(now - old) <= tol + tol * np.abs(old)
+        converged = bool((near | (np.isnan(now) & np.isnan(old))).all())
+    return [{v: None if np.isnan(x) else float(x) for v, x in zip(values, f)} for (values, _), f in zip(coded, factor)], it, converged
+
+
 def marginal_targets(df: DataFrame, features: Sequence[str], scale: float = 1.0) -> DataFrame:
     """Long (FEATURE, CATEGORY, TARGET) counts of each feature in df, times `scale`."""
     parts = None
@@ -98,11 +148,22 @@ def ipf_seed(cell_df: DataFrame, key_cols: Sequence[str], targets: DataFrame, ta
 
 
 def ipf_matrix(seed: DataFrame, row: str, col: str, targets: DataFrame, value: str = "SEED", max_iter: int = 1000,
-               tol: float = 1e-6) -> tuple[DataFrame, int, bool]:
+               tol: float = 1e-6, held: int | None = None) -> tuple[DataFrame, int, bool]:
     """Fit the seed matrix to its row and column targets: rows, then columns, until the Frobenius norm of the change is below tol.
-    The matrix has one row per pair of categories; each half-step is a grouped sum joined back and the result is stored."""
+    The matrix has one row per pair of categories; up to HELD_CELLS of them (counted first) are fitted as arrays, beyond that each half-step
+    is a grouped sum joined back and the result is stored. A null category has no row in the result."""
     m = cut_lineage(seed.select(row, col, F.col(value).cast("double").alias("W")))
     it, converged = 0, False
+    if m.count() <= (HELD_CELLS if held is None else held):
+        pairs = m.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+        cells_ = [r[:] for r in pairs.select(F.col(row).cast("string"), F.col(col).cast("string"), "W").collect()]
+        goal = [{r.CATEGORY: r.TARGET for r in targets.where(F.col("FEATURE") == f).collect()} for f in (row, col)]
+        tables, it, converged = _fit_matrix(cells_, goal, max_iter, tol)
+        out = pairs
+        for i, (f, t) in enumerate(zip((row, col), tables)):
+            side = m.sparkSession.createDataFrame(list(t.items()), f"_g{i} string, _x{i} double")
+            out = out.join(bounded_broadcast(side), F.col(f).cast("string") == F.col(f"_g{i}"))
+        return out.select(row, col, (F.col("W") * F.col("_x0") * F.col("_x1")).alias("W")), it, converged
     while it < max_iter and not converged:
         it += 1
         new = m.withColumn("_W0", F.col("W"))
@@ -119,6 +180,25 @@ def ipf_matrix(seed: DataFrame, row: str, col: str, targets: DataFrame, value: s
     return m, it, converged
 
 
+def _fit_matrix(cells_: list, targets: list[dict], max_iter: int, tol: float) -> tuple[list[dict], int, bool]:
+    """ipf_matrix's rule on (row, column, seed) held as arrays: a factor per row category and column category."""
+    cells_ = sorted(cells_)
+    start = np.array([np.nan if c[2] is None else c[2] for c in cells_], float)
+    coded = [_coded([c[i] for c in cells_]) for i in (0, 1)]
+    goal = [np.array([t.get(v) or 0.0 for v in values], float) for (values, _), t in zip(coded, targets)]
+    factor = [np.ones(len(values)) for values, _ in coded]
+    it, converged, now = 0, False, start
+    while it < max_iter and not converged:
+        it, old = it + 1, now
+        for i, (values, at) in enumerate(coded):
+            total = np.bincount(at, np.nan_to_num(now), len(values)).astype(float)
+            scale = np.divide(goal[i], total, out=np.zeros(len(values)), where=total != 0)
+            factor[i], now = factor[i] * scale, now * scale[at]
+        change = float(np.sqrt(np.nansum((now - old) ** 2)))
+        converged = not len(cells_) or change < tol
+    return [dict(zip(values, f.tolist())) for (values, _), f in zip(coded, factor)], it, converged
+
+
 def weight_units(w: F.Column, scale: float = 1e6) -> F.Column:
     """Integer weight units (so running sums are exact and draws reproducible across engines)."""
     return F.round(w * F.lit(scale)).cast("bigint")

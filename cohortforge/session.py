@@ -70,8 +70,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (a BigInt, which arrives as Python's integer)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's size estimate of ``df`` (a BigInt, which arrives as Python's integer). Long chains of joins multiply estimates to
+    thousands of digits, which Python refuses to read; that is more than any limit."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    try:
+        return int(stats.sizeInBytes())
+    except ValueError:
+        return 1 << 62
 
 
 def bounded_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:

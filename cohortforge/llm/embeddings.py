@@ -6,12 +6,12 @@ logarithm of the number of vectors, so that a bucket holds few unrelated vectors
 follows from it, so that a pair exactly at the threshold is missed with probability MISS at most (closer pairs much less).
 
 Equal vectors are one class with a count. Inside a bucket all cosines are computed in double precision by blocks of at most CHUNK vectors (larger
-buckets are dealt out as pairs of blocks); what leaves the block are counts of links and a spanning star of each linked set, never
+buckets are dealt out as pairs of blocks), TILE rows at a time; what leaves the block are counts of links and a spanning star of each linked set, never
 the pairs. A pair that meets in several tables is counted in the first one only.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components link with nothing and are kept; vectors of
-different lengths link with nothing; rows are vectors, also if they share a vec_id (such rows have one component); a row
-without vec_id links with nothing.
+different lengths link with nothing; rows are vectors, also if they share a vec_id: each has its own links and component, and
+a component is named by the smallest vec_id of its rows; a row without vec_id links with nothing.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ THRESHOLD = 0.95
 MISS = 1e-3
 BUCKET = 16
 CHUNK = 1024
+#: Rows of a block whose cosines are held at once, and pairs whose keys are compared at once.
+TILE = 256
+PAIRS = 1 << 14
 
 
 def agreement(ratio: float) -> float:
@@ -97,50 +100,64 @@ def _bucket(width: float, k: int, tables: int, kind):
                                                     pa.array(key.ravel().view(np.int64)))
                     at = pa.array(some)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(at), raw.take(at), batch.column(2).take(at), keys], ["rep", "raw", "n", "keys"])
+                        [batch.column(0).take(at), raw.take(at), batch.column(2).take(at), keys], ["class", "raw", "n", "keys"])
     return run
 
 
-def _links_of_block(rep, n, x, keys, table: int, side, threshold: float):
-    """Links found in one block: (rep, count) and star edges (rep, smallest of its linked set)."""
-    cos = x @ x.T
-    np.fill_diagonal(cos, -1)
-    hit = cos >= threshold
-    if side[0] != 2:  # two blocks of one bucket: pairs within a block are found elsewhere
-        hit &= side[:, None] != side[None, :]
-    i, j = np.nonzero(hit)
-    if not len(i):
+def _tiles(x: np.ndarray, side: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, which of all rows each of the next TILE rows is linked with): the cosines of a tile are all that is held at once."""
+    for a in range(0, len(x), TILE):
+        hit = x[a:a + TILE] @ x.T >= threshold
+        hit[np.arange(len(hit)), a + np.arange(len(hit))] = False
+        if side[0] != 2:  # two blocks of one bucket: pairs within a block are found elsewhere
+            hit &= side[a:a + TILE, None] != side[None, :]
+        yield a, hit
+
+
+def _links_of_block(ids, n, x, keys, table: int, side, threshold: float):
+    """Links found in one block: (id, count) and star edges (id, smallest of its linked set)."""
+    links, bits = np.zeros(len(ids), np.int64), []
+    for first, hit in _tiles(x, side, threshold):
+        bits.append(np.packbits(hit, axis=1) if hit.any() else None)
+        if bits[-1] is None:
+            continue
+        i, j = (v.astype(np.int32) for v in np.nonzero(hit))
+        for a in range(0, len(i), PAIRS):  # links that an earlier table has found are not counted again
+            some, other = i[a:a + PAIRS] + first, j[a:a + PAIRS]
+            if table:
+                new = ~(keys[some, :table] == keys[other, :table]).any(axis=1)
+                some, other = some[new], other[new]
+            links += np.bincount(some, n[other], len(ids)).astype(np.int64) if len(some) else 0
+    if all(b is None for b in bits):
         return None
-    new = np.ones(len(i), bool)
-    if table:
-        for a in range(0, len(i), 1 << 18):
-            b = slice(a, a + (1 << 18))
-            new[b] = ~(keys[i[b], :table] == keys[j[b], :table]).any(axis=1)
-    links = np.bincount(i[new], n[j[new]], len(rep)).astype(np.int64)
-    label = rep.copy()
-    while True:
-        low = np.where(hit, label[None, :], np.iinfo(np.int64).max).min(axis=1)
-        low = np.minimum(low, label)
-        if (low == label).all():
-            return links, label
-        label = low
+    label, moved = ids.copy(), True
+    while moved:
+        moved = False
+        for first, packed in zip(range(0, len(ids), TILE), bits):
+            if packed is not None:
+                rows = slice(first, first + len(packed))
+                hit = np.unpackbits(packed, axis=1, count=len(ids)).view(bool)
+                low = np.minimum(label[rows], np.where(hit, label[None, :], np.iinfo(np.int64).max).min(axis=1))
+                moved |= bool((low < label[rows]).any())
+                label[rows] = low
+    return links, label
 
 
 def _verify(threshold: float, kind):
     def block(t: pa.Table) -> pa.RecordBatch | None:
         table = t.column("t")[0].as_py()
-        rep, n, side = (t.column(c).to_numpy() for c in ("rep", "n", "side"))
-        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        ids, n, side = (t.column(c).to_numpy() for c in ("class", "n", "side"))
+        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         raw = t.column("raw").combine_chunks()
         out = []
         if len({len(x.as_buffer()) for x in raw}) > 1:  # two lengths under one key by accident
             return None
-        found = _links_of_block(rep, n, _unit(_matrix(raw, kind)), keys, table, side, threshold)
+        found = _links_of_block(ids, n, _unit(_matrix(raw, kind)), keys, table, side, threshold)
         if found is None:
             return None
         links, label = found
-        out = np.flatnonzero((links > 0) | (label != rep))
-        return pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(label[out]), pa.array(links[out])], ["a", "b", "links"])
+        out = np.flatnonzero((links > 0) | (label != ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(label[out]), pa.array(links[out])], ["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -168,36 +185,33 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, mis
     kind = np.float32 if "float" in vectors.schema["embedding"].dataType.simpleString() else np.float64
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     packed = written(source.mapInArrow(_pack, "vec_id long, raw binary"), "vectors")
-    classes = cut_lineage(packed.where("raw is not null and vec_id is not null").groupBy("raw")
-                          .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    # a class is a stored row with a number of its own; the ids of its rows are values only, as different vectors may share one
+    classes = packed.where("raw is not null and vec_id is not null").groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = cut_lineage(classes.withColumn("class", F.monotonically_increasing_id()))
     width, k, tables = plan_tables(max(1, classes.count()), threshold, miss)
-    hashed = written(classes.select("rep", "raw", "n").mapInArrow(
-        _bucket(width, k, tables, kind), "rep long, raw binary, n long, keys array<long>"), "hashed")
-    entries = hashed.select("rep", F.posexplode("keys").alias("t", "key"))
+    hashed = written(classes.select("class", "raw", "n").mapInArrow(
+        _bucket(width, k, tables, kind), "class long, raw binary, n long, keys array<long>"), "hashed")
+    entries = hashed.select("class", F.posexplode("keys").alias("t", "key"))
     shared = cut_lineage(entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     spread = (
-        hashed.select("rep", "raw", "n", "keys", F.posexplode("keys").alias("t", "key")).join(shared, ["t", "key"])
-        .withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep", "t"), F.col("chunks")).cast("int"))
+        hashed.select("class", "raw", "n", "keys", F.posexplode("keys").alias("t", "key")).join(shared, ["t", "key"])
+        .withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("class", "t"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     )
     # a bucket of one block is side 2; of two or more, each pair of blocks looks across only, and each block also at itself
     side = F.when(F.col("chunk") == F.col("other"), 2).otherwise((F.col("chunk") > F.col("other")).cast("int"))
     blocks = spread.select("t", "key", F.least("chunk", "other").alias("c"), F.greatest("chunk", "other").alias("d"),
-                           side.alias("side"), "rep", "n", "raw", "keys")
-    blocks = blocks.repartition("t", "key", "c", "d").sortWithinPartitions("t", "key", "c", "d", "rep")
+                           side.alias("side"), "class", "n", "raw", "keys")
+    blocks = blocks.repartition("t", "key", "c", "d").sortWithinPartitions("t", "key", "c", "d", "class")
     found = cut_lineage(blocks.mapInArrow(_verify(threshold, kind), "a long, b long, links long"))
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    # rows that share a vec_id are one node
-    ties = packed.where("raw is not null").groupBy("vec_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    ties = packed.join(ties, "vec_id").join(classes, "raw").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
-    merged = connected_components(found.select("a", "b").union(ties))
-    of_class = (
-        classes.join(links, "rep", "left").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("raw", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                F.coalesce("component", "rep").alias("component"))
-    )
-    out = packed.join(cut_lineage(of_class), "raw", "left")
+    links = found.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
+    merged = connected_components(found.select("a", "b")).withColumnRenamed("node", "class")
+    named = cut_lineage(classes.join(links, "class", "left").join(merged, "class", "left").select(
+        "raw", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("set")))
+    smallest = named.groupBy("set").agg(F.min("rep").alias("component"))
+    of_class = cut_lineage(named.join(smallest, "set").select("raw", "n_links", "component"))
+    out = packed.join(of_class, "raw", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long")
                       .alias("n_links"), component.alias("component_id"),

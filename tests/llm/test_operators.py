@@ -393,17 +393,17 @@ def test_vectors_match_brute_force(spark):
     x[230:240] = 2 * x[4]
     data = [(i + 5, [float(np.float32(v)) for v in row]) for i, row in enumerate(x)]
     data += [(2000, None), (2001, [0.0] * 24), (2002, [None] * 24), (2003, [float("nan")] * 24), (2004, []), (2005, [1.0, 2.0]),
-             (2006, [2.0, 4.0]), (None, data[0][1]), (7, data[2][1])]
+             (2006, [2.0, 4.0]), (None, data[0][1]), (7, data[2][1]), (6, data[100][1]), (300, data[4][1]), (65, data[499][1])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").selectExpr("*", "1 as rep", "2 as raw").repartition(4)
     good = [(i, np.asarray(v, float)) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     link = [[j for j, (_, w) in enumerate(good) if j != i and len(v) == len(w) and
              v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.95] for i, (_, v) in enumerate(good)]
-    root = {k: k for k, _ in good}
+    root = [k for k, _ in good]  # rows, not ids, are linked
     for _ in range(20):
-        for i, (k, _) in enumerate(good):
+        for i in range(len(good)):
             for j in link[i]:
-                root[k] = root[good[j][0]] = min(root[k], root[good[j][0]])
-    want = [(k, len(link[i]), root[k], root[k] == k) for i, (k, _) in enumerate(good)]
+                root[i] = root[j] = min(root[i], root[j])
+    want = [(k, len(link[i]), root[i], root[i] == k) for i, (k, _) in enumerate(good)]
     want += [(i, 0, i, True) for i in (2000, 2001, 2002, 2003, 2004)] + [(None, 0, None, True)]
     for chunk in (embeddings.CHUNK, 16):
         embeddings.CHUNK, old = chunk, embeddings.CHUNK

@@ -108,7 +108,7 @@ def _tiles(x: np.ndarray, side: np.ndarray, threshold: float) -> Iterator[tuple[
     """(first row, which of all rows each of the next TILE rows is linked with): the cosines of a tile are all that is held at once."""
     for a in range(0, len(x), TILE):
         hit = x[a:a + TILE] @ x.T >= threshold
-        hit[np.arange(len(hit)), a + np.arange(len(hit))] = False
+        np.fill_diagonal(hit[:, a:], False)
         if side[0] != 2:  # two blocks of one bucket: pairs within a block are found elsewhere
             hit &= side[a:a + TILE, None] != side[None, :]
         yield a, hit
@@ -118,17 +118,15 @@ def _links_of_block(ids, n, x, keys, table: int, side, threshold: float):
     """Links found in one block: (id, count) and star edges (id, smallest of its linked set)."""
     links, bits = np.zeros(len(ids), np.int64), []
     for first, hit in _tiles(x, side, threshold):
-        bits.append(np.packbits(hit, axis=1) if hit.any() else None)
-        if bits[-1] is None:
-            continue
-        i, j = (v.astype(np.int32) for v in np.nonzero(hit))
+        i, j = np.nonzero(hit)
+        bits.append(None if not len(i) else hit if len(ids) <= TILE else np.packbits(hit, axis=1))
         for a in range(0, len(i), PAIRS):  # links that an earlier table has found are not counted again
             some, other = i[a:a + PAIRS] + first, j[a:a + PAIRS]
             if table:
                 new = ~(keys[some, :table] == keys[other, :table]).any(axis=1)
                 some, other = some[new], other[new]
             links += np.bincount(some, n[other], len(ids)).astype(np.int64) if len(some) else 0
-    if all(b is None for b in bits):
+    if all(b is None for b in bits):  # as in most buckets
         return None
     label, moved = ids.copy(), True
     while moved:
@@ -136,7 +134,7 @@ def _links_of_block(ids, n, x, keys, table: int, side, threshold: float):
         for first, packed in zip(range(0, len(ids), TILE), bits):
             if packed is not None:
                 rows = slice(first, first + len(packed))
-                hit = np.unpackbits(packed, axis=1, count=len(ids)).view(bool)
+                hit = packed if packed.dtype == bool else np.unpackbits(packed, axis=1, count=len(ids)).view(bool)
                 low = np.minimum(label[rows], np.where(hit, label[None, :], np.iinfo(np.int64).max).min(axis=1))
                 moved |= bool((low < label[rows]).any())
                 label[rows] = low

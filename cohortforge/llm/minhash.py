@@ -17,8 +17,8 @@
 With 32 coordinates and 15 matches, a pair of similarity exactly 0.8 is missed with probability 6e-6, less above.
 
 Defined results: no words or a null text: an empty set, linked with nothing; fewer words than a shingle: the whole sequence is the one
-shingle; rows that share a doc_id are one document; a row without doc_id is linked with nothing and kept; an empty table
-gives an empty result.
+shingle; rows are documents, also if they share a doc_id, and a component is named by the smallest doc_id in it; a row without doc_id is linked
+with nothing and kept by near_duplicates, while drop_near_duplicates links it by its text as any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,10 +99,10 @@ def _sign(k: int, coords: int):
                     sums.append((total[to[1:]] - total[to[:-1]]).view(np.int64))
                 sig = signatures(h, bounds, coords).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(sizes)), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]),
+                    [ids.slice(row, len(sizes)), batch.column(2).slice(row, len(sizes)), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * coords),
                                               pa.array(sig.ravel()))],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+                    ["doc_id", "digest", "n_shingles", "set_a", "set_b", "sig"])
     return run
 
 
@@ -113,7 +113,7 @@ def _sets(k: int):
                 sets = distinct_sets(*shingles(data, offsets, k))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary())],
-                    ["doc_id", "shingles"])
+                    ["rep", "shingles"])
     return run
 
 
@@ -277,31 +277,39 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles) of the documents with the given ids."""
-    ids = ids.distinct()
-    return written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "sets")
+def _sets_of(reps: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(rep, shingles) of the classes with the given numbers, from the document that stands for each."""
+    wanted = reps.distinct().join(classes.select("rep", "least"), "rep").select(
+        "rep", F.col("least.doc_id").alias("_id"), F.col("least.digest").alias("_digest"))
+    texts = docs.join(wanted, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("rep", "text")
+    return written(texts.mapInArrow(_sets(k), "rep long, shingles binary"), "sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     pairs = cut_lineage(pairs.distinct())
-    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, k)
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    sets = _sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), classes, docs, k)
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return cut_lineage(joined.mapInArrow(_confirm(num, den), "a long, b long").distinct())
 
 
-def near_duplicates(documents: DataFrame, k: int = 4, num: int = 80, den: int = 100, coords: int = COORDS,
-                    matches: int = MATCHES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``documents`` (doc_id, text)."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _text_digest() -> F.Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def _linked(documents: DataFrame, k: int, num: int, den: int, coords: int, matches: int, without_id: bool) -> DataFrame:
+    """doc_id, digest, n_shingles of every row and ``least``: of all documents that it can reach by links, itself included, the doc_id and digest
+    of the one with the smallest doc_id (null last), then digest; null for rows without shingles and, if not ``without_id``, without id."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_digest().alias("digest"))
     signed = written(docs.mapInArrow(
-        _sign(k, coords), "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>"), "signatures")
+        _sign(k, coords), "doc_id long, digest binary, n_shingles long, set_a long, set_b long, sig array<int>"), "signatures")
     key = ["set_a", "set_b", "n_shingles"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(
-        F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = cut_lineage(classes)
+    # a class (documents with one set) is a stored row with a number of its own: ids are values only, as different texts may share one
+    takes_part = (F.col("n_shingles") > 0) & (F.lit(without_id) | F.col("doc_id").isNotNull())
+    classes = signed.where(takes_part).groupBy(*key).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("least"), F.first("sig").alias("sig"))
+    classes = cut_lineage(classes.withColumn("rep", F.monotonically_increasing_id()))
 
     item = F.shiftleft(F.col("coord").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF))
     items = classes.select("rep", F.posexplode("sig").alias("coord", "value")).select("rep", item.alias("item"))
@@ -325,11 +333,8 @@ def near_duplicates(documents: DataFrame, k: int = 4, num: int = 80, den: int =
 
     first = posted.select("item", "chunk", "rep", "sig")
     first = first.repartition("item", "chunk").sortWithinPartitions("item", "chunk", "rep")
-    edges = _confirmed(first.mapInArrow(_against_first(matches), "a long, b long"), docs, k, num, den)
-    # a doc_id in several classes (rows that share it) ties them together
-    twice = signed.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    ties = signed.join(twice, "doc_id").join(classes, key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    merged = connected_components(edges.union(ties))
+    edges = _confirmed(first.mapInArrow(_against_first(matches), "a long, b long"), classes, docs, k, num, den)
+    merged = connected_components(edges)
 
     comp = merged.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     open_lists = posted.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -343,30 +348,40 @@ def near_duplicates(documents: DataFrame, k: int = 4, num: int = 80, den: int =
     by_list = lambda df: df.repartition("item", "c", "d").sortWithinPartitions("item", "c", "d", "rep")
     meeting = "item long, c int, d int, rep long, comp long, side int, mask long"
     met = cut_lineage(by_list(second).mapInArrow(_meeting(matches), meeting + ", sig array<int>"))
-    sets = _sets_of(met.select(F.col("rep").alias("doc_id")), docs, k).withColumnRenamed("doc_id", "rep")
+    sets = _sets_of(met.select("rep"), classes, docs, k)
     met = met.join(sets, "rep").select("item", "c", "d", "rep", "comp", "side", "mask", "shingles", "sig")
     more = cut_lineage(by_list(met).mapInArrow(_across(matches, num, den), "a long, b long"))
     merged = connected_components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    of_class = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = cut_lineage(of_class.select(*key, F.coalesce("component", "rep").alias("component")))
+    placed = cut_lineage(classes.select("rep", "least", *key).join(merged.withColumnRenamed("node", "rep"), "rep", "left")
+                         .select(*key, "least", F.coalesce("component", "rep").alias("component")))
+    smallest = placed.groupBy("component").agg(F.min("least").alias("_least"))
+    of_class = cut_lineage(placed.join(smallest, "component").select(*key, F.col("_least").alias("least")))
     out = signed.drop("sig").join(of_class, key, "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "digest", "n_shingles", F.when(takes_part, F.col("least")).alias("least"))
+
+
+def near_duplicates(documents: DataFrame, k: int = 4, num: int = 80, den: int = 100, coords: int = COORDS,
+                    matches: int = MATCHES) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``documents`` (doc_id, text)."""
+    out = _linked(documents, k, num, den, coords, matches, without_id=False)
+    component = F.coalesce("least.doc_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``documents`` with one document of each group of near-duplicates; of rows that share a doc_id, one."""
-    found = near_duplicates(documents, k, num, den)
-    ids, rows, order = fresh(documents, "kept_id", "rows", "order")
-    per_id = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(ids)).agg(
-        F.min(F.col("kept").cast("int")).alias("k"), F.count(F.lit(1)).alias(rows))
-    odd = cut_lineage(per_id.where(f"k = 0 or `{rows}` > 1").select(ids, F.when(F.col("k") == 1, F.col(rows)).alias(rows)))
-    marked = documents.join(odd, F.col("doc_id").cast("long") == F.col(ids), "left")
-    single = marked.where(F.col(ids).isNull())
-    repeated = marked.where(F.col(rows).isNotNull())
-    repeated = repeated.dropDuplicates(["doc_id"])
+    """``documents`` with one row of each group of near-duplicates, rows without doc_id included: the one with the smallest doc_id (null
+    last), then digest; of rows that share id and text, one. Rows without words all stay."""
+    found = _linked(documents, k, num, den, COORDS, MATCHES, without_id=True)
+    ids, digests, rows, own = fresh(documents, "odd_id", "odd_digest", "odd_rows", "own_digest")
+    chosen = (F.col("least.digest") == F.col("digest")) & F.col("least.doc_id").eqNullSafe(F.col("doc_id"))
+    per_row = found.where("least is not null").groupBy("doc_id", "digest").agg(
+        F.max(chosen).alias("chosen"), F.count(F.lit(1)).alias("rows"))
+    odd = cut_lineage(per_row.where("not chosen or rows > 1").select(
+        F.col("doc_id").alias(ids), F.col("digest").alias(digests), F.when(F.col("chosen"), F.col("rows")).alias(rows)))
+    marked = documents.withColumn(own, _text_digest()).join(
+        odd, (F.col(own) == F.col(digests)) & F.col("doc_id").cast("long").eqNullSafe(F.col(ids)), "left")
+    single = marked.where(F.col(digests).isNull())
+    repeated = marked.where(F.col(rows).isNotNull()).dropDuplicates(["doc_id", own])
     return single.select(*[F.col(f"`{c}`") for c in documents.columns]).union(
         repeated.select(*[F.col(f"`{c}`") for c in documents.columns]))

@@ -432,17 +432,16 @@ def brute_sets(data, k):
 
 
 def brute_near(data, k=4):
-    sets, root = brute_sets(data, k), {i: i for i, _ in data}
+    sets, root = brute_sets(data, k), [i for i, _ in data]  # rows, not ids, are linked
     links = [(a, b) for a in range(len(data)) for b in range(a) if sets[a] and sets[b] and data[a][0] is not None and
              data[b][0] is not None and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     for _ in range(len(data)):
-        before = dict(root)
+        before = list(root)
         for a, b in links:
-            low = min(root[data[a][0]], root[data[b][0]])
-            root[data[a][0]] = root[data[b][0]] = low
+            root[a] = root[b] = min(root[a], root[b])
         if before == root:
             break
-    return sorted(str((i, len(s), root[i] if s else i, i is None or not s or root[i] == i)) for (i, _), s in zip(data, sets))
+    return sorted(str((i, len(s), r if s else i, i is None or not s or r == i)) for (i, _), s, r in zip(data, sets, root))
 
 
 @pytest.mark.parametrize("chunk", [minhash.CHUNK, 4])
@@ -460,6 +459,7 @@ def test_near_duplicates_match_brute_force(spark, rows, chunk, monkeypatch):
     for j in range(40):
         data.append((5000 + j, " ".join([*rng.choice(vocabulary, 60), *passage])))
     data += [(9000, None), (9001, " "), (9002, "two words"), (9003, "TWO\twords"), (None, "two words"), (9004, "a b c d"), (9004, "a b c d")]
+    data += [(1003, "quite another text under an id that is used"), (5001, data[70][1]), (9005, data[90][1])]
     df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 as rep", "2 as item", "3 as sig").repartition(5)
     got = minhash.near_duplicates(df).collect()
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in got) == brute_near(data)
@@ -473,6 +473,17 @@ def test_one_of_each_group_stays(spark, odd, empty):
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(i) for i in (1, 2, 3, 4, None, 7, 8, 9, 10))
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    data = [(1, long), (1, other), (1, other), (2, long + " end"), (None, other), (None, "only here and without an id"), (None, long), (3, ""), (3, ""),
+            (None, "a text b text c text d"), (None, "a text b text c text d")]
+    df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 as odd_id", "2 as digest").repartition(3)
+    got = minhash.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(str(x) for x in [
+        (1, long), (1, other), (None, "only here and without an id"), (3, ""), (3, ""), (None, "a text b text c text d")])
+
+
 # --- languages ---
 
 def test_code_lengths_match_brute_force():

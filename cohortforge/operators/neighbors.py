@@ -1,19 +1,22 @@
 """Exact nearest-neighbour search.
 
-Plan: both sides are reduced to distinct feature vectors (categorical data repeats heavily); the
-query vectors are cut into KQ hash blocks and the pool vectors into KP hash blocks of at most
-`block_rows` vectors; each (query block, pool block) pair is one cogroup task whose distances
-are computed with numpy (Arrow batches in, a k-row summary per query out). Candidates from the
-KP pool blocks are merged with a window over at most KP*k rows per query. Every task sees a
-bounded block pair, so neither side is broadcast whole and no group grows with the data; total
-work is the inherent Q x P distance count of exact search. Ties are broken by the smaller pool id.
-A row with a null feature has no distance to anything: as a query it keeps one row with null results,
-in the pool it is nobody's neighbour.
+Both sides are reduced to distinct feature vectors (categorical data repeats heavily). The pool is cut into k-d cells
+(`kdcells.py`): the cuts come from a sample, each cell's box from all its vectors, so the box
+bounds are exact whatever the sample. A search has two rounds:
+
+1. every query is compared with its home cell; its k-th smallest distance there is an upper bound;
+2. the query goes on to the other cells whose box lies within that bound, found by walking the cell tree.
+
+A round is one cogroup over units (cell, pool chunk, query chunk) of at most `block_rows` rows a side, cut by counts, so
+neither a crowded cell nor a cell that all queries reach is held by one task; distances are computed with numpy and only k
+candidates per query and unit come out. Neither side is broadcast; the driver holds the cells' boxes (at most MAX_CELLS).
+Ties are broken by the smaller pool id. A row with a null feature has no distance to anything: as a query it keeps one
+row with null results, in the pool it is nobody's neighbour.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,88 +24,164 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .kdcells import SLACK, Cells, Metric, grow
 from .rowindex import k_smallest_per_group
 
 DEFAULT_BLOCK = 2048
+#: Wanted pool vectors per cell; beyond LEAF_ROWS * MAX_CELLS vectors the cells grow instead (and are cut into chunks).
+LEAF_ROWS = 512
+MAX_CELLS = 1 << 14
+#: Sampled vectors per cell that the cuts are taken from.
+SAMPLE_PER_CELL = 16
+#: Queries that walk the cell tree together.
+WALK_ROWS = 128
 
 
-def _n_blocks(n: int, block_rows: int) -> int:
-    return max(1, -(-int(n) // block_rows))
+def _chunk(cols: Sequence[str], n: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), n).cast("int")
 
 
-def _block_of(feats: Sequence[str], n_blocks: int) -> F.Column:
-    return F.pmod(F.xxhash64(*[F.col(f) for f in feats]), F.lit(n_blocks)).cast("int")
+def _cells(pv: DataFrame, feats: list[str], metric: Metric, leaf_rows: int) -> tuple[DataFrame, Cells]:
+    """The pool with its cell numbers (stored) and the cells with their boxes and sizes."""
+    n = pv.count()
+    wanted = min(MAX_CELLS, max(1, -(-n // leaf_rows)))
+    sample = np.empty((0, len(feats)))
+    if wanted > 1:
+        # a hash sample of the distinct vectors, about SAMPLE_PER_CELL for each cell
+        share = F.pmod(F.xxhash64(F.lit("cells"), *feats), F.lit(n)) < F.lit(wanted * SAMPLE_PER_CELL)
+        sample = pv.where(share).select(*feats).distinct().toPandas().sort_values(feats).to_numpy(dtype=np.float64)
+    cells = grow(sample, wanted, metric)
+    home = F.pandas_udf(lambda *x: pd.Series(cells.home(np.column_stack(x)), dtype="int32"), "int")
+    placed = cut_lineage(pv.withColumn("_cell", home(*feats)))
+    sides = [f(c).alias(f"{name}{i}") for i, c in enumerate(feats) for name, f in (("lo", F.min), ("hi", F.max))]
+    boxes = placed.groupBy("_cell").agg(F.count("*").alias("n"), *sides).toPandas()
+    numbers = range(len(feats))
+    return placed, cells.with_boxes(boxes["_cell"].to_numpy(), boxes["n"].to_numpy(),
+                                    boxes[[f"lo{i}" for i in numbers]].to_numpy(dtype=np.float64),
+                                    boxes[[f"hi{i}" for i in numbers]].to_numpy(dtype=np.float64))
 
 
-def _candidates(qv: DataFrame, pv: DataFrame, feats: Sequence[str], k: int | None, radius2: float | None,
-                block_rows: int, gower: tuple[Sequence[float], Sequence[bool]] | None = None) -> DataFrame:
-    """qv: distinct query vectors (feats as double). pv: pool entries (feats, _pid bigint, _plab string,
-    _pmult bigint). Returns (feats..., _d2, _pid, _plab, _pmult) candidate rows: the k nearest entries
-    per query and pool block (k mode) or every entry within radius (radius mode)."""
-    feats = list(feats)
-    # distinct vectors are small relative to the rows: materialize them once (reliable checkpoint)
-    # so the block counts and the replicated cogroup inputs do not recompute their lineage
-    qv, pv = cut_lineage(qv), cut_lineage(pv)
-    nq, npool = qv.count(), pv.count()
-    kq, kp = _n_blocks(nq, block_rows), _n_blocks(npool, block_rows)
-    q = qv.withColumn("_qb", _block_of(feats, kq)).withColumn("_pb", F.explode(F.sequence(F.lit(0), F.lit(kp - 1))))
-    p = pv.withColumn("_pb", _block_of(feats, kp)).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(kq - 1))))
-    out_schema = ", ".join([f"`{f}` double" for f in feats] + ["_d2 double", "_pid bigint", "_plab string", "_pmult bigint"])
-    nf = len(feats)
-
-    def kernel(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+def units(q: DataFrame, placed: DataFrame, feats: list[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and pool entries keyed by (_cell, _pc, _qc): both sides of a cell are cut into chunks of about `block_rows`
+    rows and every pair of chunks is a unit. The size table has a row per cell (MAX_CELLS at most)."""
+    sizes = F.broadcast(q.groupBy("_cell").agg(F.ceil(F.count("*") / block_rows).alias("_kq")).join(
+        placed.groupBy("_cell").agg(F.ceil(F.count("*") / block_rows).alias("_kp")), "_cell"))
+    qs = q.join(sizes, "_cell").withColumn("_qc", _chunk(feats, F.col("_kq"))) \
+        .withColumn("_pc", F.explode(F.sequence(F.lit(0), (F.col("_kp") - 1).cast("int"))))
+    ps = placed.join(sizes, "_cell").withColumn("_pc", _chunk([*feats, "_pid"], F.col("_kp"))) \
+        .withColumn("_qc", F.explode(F.sequence(F.lit(0), (F.col("_kq") - 1).cast("int"))))
+    return qs.drop("_kp", "_kq"), ps.drop("_kp", "_kq")
+
+
+def _kernel(feats: list[str], metric: Metric, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Distances of one unit: the k nearest entries of each query within its `_bound`."""
+    columns = [*feats, "_d2", "_pid", "_plab", "_pmult"]
+
+    def compare(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or pdf.empty:
-            return pd.DataFrame({c: [] for c in [*feats, "_d2", "_pid", "_plab", "_pmult"]})
-        qx = qdf[feats].to_numpy(dtype=np.float64)
-        px = pdf[feats].to_numpy(dtype=np.float64)
-        pid = pdf["_pid"].to_numpy(dtype=np.int64)
-        order = np.lexsort((pid,))  # pool entries by id, so a stable sort on distance breaks ties by id
-        px, pid = px[order], pid[order]
-        plab = pdf["_plab"].to_numpy(dtype=object)[order]
-        pmult = pdf["_pmult"].to_numpy(dtype=np.int64)[order]
+            return pd.DataFrame({c: [] for c in columns})
+        pdf = pdf.sort_values("_pid", kind="stable")  # so that a stable order by distance breaks ties by id
+        qx, px = qdf[feats].to_numpy(dtype=np.float64), pdf[feats].to_numpy(dtype=np.float64)
+        bound = qdf["_bound"].to_numpy(dtype=np.float64) * SLACK
         outs = []
-        step = max(1, (1 << 22) // max(1, len(px) * nf))
+        step = max(1, (1 << 22) // max(1, px.size))
         for s in range(0, len(qx), step):
             qs = qx[s:s + step]
-            if gower is None:
-                d2 = ((qs[:, None, :] - px[None, :, :]) ** 2).sum(axis=2)
-            else:
-                ranges, is_cat = gower
-                diff = np.abs(qs[:, None, :] - px[None, :, :])
-                cat = np.asarray(is_cat, dtype=bool)
-                rng = np.where(np.asarray(ranges, dtype=np.float64) > 0, np.asarray(ranges, dtype=np.float64), 1.0)
-                diff = np.where(cat[None, None, :], (diff > 0).astype(np.float64), diff / rng[None, None, :])
-                d2 = diff.mean(axis=2)
-            if radius2 is not None:
-                qi, pj = np.nonzero(d2 <= radius2 + 1e-12)
-                sel_q, sel_p, sel_d = qi, pj, d2[qi, pj]
-            elif k == 1:
-                # argmin returns the first minimum: pool entries are in id order, so ties -> smallest id
-                sel_q = np.arange(len(qs))
-                sel_p = np.argmin(d2, axis=1)
-                sel_d = d2[sel_q, sel_p]
+            d2 = metric.distance(qs[:, None, :], px[None, :, :])
+            limit = bound[s:s + step]
+            if k == 1:
+                c = np.argmin(d2, axis=1)  # the first minimum, so the smallest id
+                r = np.arange(len(qs))
+                near = d2[r, c] <= limit
+                r, c = r[near], c[near]
             else:
-                # k-th smallest distance per query (linear-time partition), then an exact (distance,
-                # id) ordering of the few entries at or below it
                 kk = min(k, d2.shape[1])
-                vk = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-                r, c = np.nonzero(d2 <= vk[:, None])
-                dd = d2[r, c]
-                order = np.lexsort((c, dd, r))
-                r, c, dd = r[order], c[order], dd[order]
-                starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
-                rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
-                keep = rank < kk
-                sel_q, sel_p, sel_d = r[keep], c[keep], dd[keep]
-            part = pd.DataFrame(qs[sel_q], columns=feats)
-            part["_d2"] = sel_d
-            part["_pid"] = pid[sel_p]
-            part["_plab"] = plab[sel_p]
-            part["_pmult"] = pmult[sel_p]
+                limit = np.minimum(limit, np.partition(d2, kk - 1, axis=1)[:, kk - 1])
+                r, c = np.nonzero(d2 <= limit[:, None])
+                order = np.lexsort((c, d2[r, c], r))
+                r, c = r[order], c[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
+                r, c = r[keep], c[keep]
+            part = pd.DataFrame(qs[r], columns=feats)
+            part["_d2"] = d2[r, c]
+            for name in ("_pid", "_plab", "_pmult"):
+                part[name] = pdf[name].to_numpy()[c]
             outs.append(part)
         return pd.concat(outs, ignore_index=True)
 
-    return q.groupBy("_qb", "_pb").cogroup(p.groupBy("_qb", "_pb")).applyInPandas(kernel, out_schema)
+    return compare
+
+
+def _walk(feats: list[str], cells: Cells, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Queries with their bound (null: none yet) to rows (query, bound, cell) for the cells within the bound, but for the home
+    cell, which round one has seen."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in range(0, len(batch), WALK_ROWS):
+                part = batch.iloc[s:s + WALK_ROWS]
+                x = part[feats].to_numpy(dtype=np.float64)
+                bound = part["_bound"].to_numpy(dtype=np.float64, na_value=np.inf).copy()
+                short = np.isinf(bound)
+                if short.any():
+                    bound[short] = cells.sure_bound(x[short], k)
+                qi, cell = cells.within(x, bound)
+                other = cell != cells.home(x)[qi]
+                qi, cell = qi[other], cell[other]
+                out = pd.DataFrame(x[qi], columns=feats)
+                out["_bound"], out["_cell"] = bound[qi], cell.astype(np.int32)
+                yield out
+
+    return walk
+
+
+def _rounds(qv: DataFrame, pv: DataFrame, feats: Sequence[str], k: int, block_rows: int,
+            metric: Metric | None) -> tuple[DataFrame, list[DataFrame], Callable[[DataFrame], DataFrame], DataFrame]:
+    """(placed pool, the (query, bound, cell) rows of each round, the comparison of such rows, round one's candidates)."""
+    feats = list(feats)
+    metric = metric or Metric.squared(len(feats))
+    placed, cells = _cells(cut_lineage(pv), feats, metric, min(LEAF_ROWS, block_rows))
+    columns = ", ".join(f"`{f}` double" for f in feats)
+
+    def compare(q: DataFrame) -> DataFrame:
+        qs, ps = units(q, placed, feats, block_rows)
+        unit = ["_cell", "_pc", "_qc"]
+        return qs.groupBy(*unit).cogroup(ps.groupBy(*unit)).applyInPandas(
+            _kernel(feats, metric, k), f"{columns}, _d2 double, _pid bigint, _plab string, _pmult bigint")
+
+    pairs = f"{columns}, _bound double, _cell int"
+    home_of = F.pandas_udf(lambda *x: pd.Series(cells.home(np.column_stack(x)), dtype="int32"), "int")
+    home = cut_lineage(qv.withColumn("_bound", F.lit(float("inf"))).withColumn("_cell", home_of(*feats)))
+    first = cut_lineage(compare(home))
+    if cells.count == 1:
+        return placed, [home], compare, first
+    seen = k_smallest_per_group(first, feats, ["_d2", "_pid"], k, "_pid", salts=1, out="_r").groupBy(*feats).agg(
+        F.when(F.count("*") >= k, F.max("_d2")).alias("_bound"))
+    # a query whose home cell gave nothing still walks: its bound is null
+    bounds = home.select(*feats).join(seen, feats, "left")
+    return placed, [home, cut_lineage(bounds.mapInPandas(_walk(feats, cells, k), pairs))], compare, first
+
+
+def _candidates(qv: DataFrame, pv: DataFrame, feats: Sequence[str], k: int, block_rows: int,
+                metric: Metric | None = None) -> DataFrame:
+    """qv: distinct query vectors (feats as double). pv: pool entries (feats, _pid bigint, _plab string,
+    _pmult bigint). Returns (feats..., _d2, _pid, _plab, _pmult) candidate rows, among them the k nearest entries
+    of each query."""
+    _, rounds, compare, first = _rounds(qv, pv, feats, k, block_rows, metric)
+    return first if len(rounds) == 1 else first.unionByName(compare(rounds[1]))
+
+
+def compared_pairs(queries: DataFrame, pool: DataFrame, feats: Sequence[str], p_id: str, k: int = 1,
+                   block_rows: int = DEFAULT_BLOCK) -> DataFrame:
+    """One row: distinct query vectors, pool entries, and the pairs whose distance the search computes."""
+    feats = list(feats)
+    qv, pv = _vectors(queries, feats), pool_entries(pool, feats, p_id, None, k)
+    placed, rounds, _, _ = _rounds(qv, pv, feats, k, block_rows, None)
+    sizes = F.broadcast(placed.groupBy("_cell").agg(F.count("*").alias("_n")))
+    met = [r.groupBy("_cell").agg(F.count("*").alias("_q")) for r in rounds]
+    pairs = met[0] if len(met) == 1 else met[0].unionByName(met[1])
+    return pairs.join(sizes, "_cell").agg(F.sum(F.col("_q") * F.col("_n")).cast("bigint").alias("COMPARED")).select(
+        F.lit(rounds[0].count()).alias("QUERIES"), F.lit(placed.count()).alias("ENTRIES"), "COMPARED")
 
 
 def _vectors(df: DataFrame, feats: Sequence[str]) -> DataFrame:
@@ -126,7 +205,7 @@ def nearest(queries: DataFrame, pool: DataFrame, feats: Sequence[str], q_id: str
     feats = list(feats)
     qv = _vectors(queries, feats)
     pv = pool_entries(pool, feats, p_id, label, k)
-    cand = _candidates(qv, pv, feats, k, None, block_rows)
+    cand = _candidates(qv, pv, feats, k, block_rows)
     best = k_smallest_per_group(cand, feats, ["_d2", "_pid"], k, "_pid", salts=1, out="RANK")
     qrows = queries.select(F.col(q_id), *[F.col(f).cast("double").alias(f) for f in feats])
     return qrows.join(best, feats, "left").select(
@@ -155,7 +234,7 @@ def k_distance(df: DataFrame, feats: Sequence[str], id_col: str, k: int, block_r
     feats = list(feats)
     qv = _vectors(df, feats)
     pv = pool_entries(df, feats, id_col, None, 1)
-    cand = _candidates(qv, pv, feats, k, None, block_rows)
+    cand = _candidates(qv, pv, feats, k, block_rows)
     best = k_smallest_per_group(cand, feats, ["_d2", "_pid"], k, "_pid", salts=1, out="_r")
     cum = F.sum("_pmult").over(Window.partitionBy(*feats).orderBy("_d2", "_pid").rowsBetween(Window.unboundedPreceding, 0))
     kd = best.withColumn("_cum", cum).where(F.col("_cum") >= k).groupBy(*feats).agg(F.min("_d2").alias("_kd2"))
@@ -163,13 +242,27 @@ def k_distance(df: DataFrame, feats: Sequence[str], id_col: str, k: int, block_r
     return rows.join(kd, feats, "left").select(id_col, F.sqrt("_kd2").alias("KDIST"))
 
 
-def radius_edges(df: DataFrame, feats: Sequence[str], id_col: str, eps: float, block_rows: int = DEFAULT_BLOCK) -> DataFrame:
-    """Edges between distinct vectors within eps (self edges included): (feats..., _pid of the
-    neighbour vector, its multiplicity, d2). Used by density clustering."""
+def radius_visits(vectors: DataFrame, feats: Sequence[str], eps: float, block_rows: int = DEFAULT_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """vectors: distinct (feats as double, _pid, ...), stored. Returns them with their own cell, and a row (feats, _pid, _cell)
+    for every cell whose box lies within eps of a vector (its own included): all vectors within eps of it are in those cells."""
     feats = list(feats)
-    qv = _vectors(df, feats)
-    pv = pool_entries(df, feats, id_col, None, 1)
-    return _candidates(qv, pv, feats, None, eps * eps, block_rows)
+    placed, cells = _cells(vectors, feats, Metric.squared(len(feats)), min(LEAF_ROWS, block_rows))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in range(0, len(batch), WALK_ROWS):
+                part = batch.iloc[s:s + WALK_ROWS]
+                x = part[feats].to_numpy(dtype=np.float64)
+                rows, cell = cells.within(x, np.full(len(x), within_radius(eps)))
+                yield part.iloc[rows].assign(_cell=cell.astype(np.int32))
+
+    columns = ", ".join(f"`{f}` double" for f in feats)
+    return placed, cut_lineage(vectors.select(*feats, "_pid").mapInPandas(walk, f"{columns}, _pid bigint, _cell int"))
+
+
+def within_radius(eps: float) -> float:
+    """The largest squared distance that counts as within eps."""
+    return eps * eps + 1e-12
 
 
 def gower_nearest(queries: DataFrame, pool: DataFrame, num_feats: Sequence[str], cat_feats: Sequence[str], q_id: str,
@@ -182,7 +275,7 @@ def gower_nearest(queries: DataFrame, pool: DataFrame, num_feats: Sequence[str],
     is_cat = [False] * len(num_feats) + [True] * len(cat_feats)
     qv = _vectors(queries, feats)
     pv = pool_entries(pool, feats, p_id, None, 1)
-    cand = _candidates(qv, pv, feats, 1, None, block_rows, gower=(ranges, is_cat))
+    cand = _candidates(qv, pv, feats, 1, block_rows, Metric.gower(ranges, is_cat))
     best = k_smallest_per_group(cand, feats, ["_d2", "_pid"], 1, "_pid", salts=1, out="_r")
     qrows = queries.select(F.col(q_id), *[F.col(f).cast("double").alias(f) for f in feats])
     return qrows.join(best, feats, "left").select(q_id, F.col("_pid").alias("NN_ID"), F.col("_d2").alias("GOWER_DIST"))

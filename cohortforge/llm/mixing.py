@@ -5,9 +5,12 @@ stops there and the rest is shared again by weight (solved in closed form over t
 
 Draws: the documents of a source are permuted by a hash and cut into blocks. A source with target T takes its permuted
 blocks in order, again from the start once all are used, until T words are reached; that is its exact block quota. The tree
-divides the drawn blocks among the output shards: at each node a random half of the node's blocks (all sources together)
-goes left, so the sources' counts in a child follow the multivariate hypergeometric law, and every block is drawn
-by one shard only. Inside a shard, documents are ordered by a second hash.
+divides the quotas among the output shards: at each node a random half of the node's drawn blocks (all sources together)
+goes left, so the sources' counts in a child follow the multivariate hypergeometric law, and every drawn block belongs to
+one shard only. What the mix takes of a document is the sum over its draws. Inside a shard, documents are ordered by a second hash.
+
+Sizes are counted in one pass over the texts and stored; totals, blocks and quotas come from the stored sizes. Sources join by
+broadcast (their number is counted first), so no shuffle is by source: the finest common key is (source, block).
 
 All hashes are md5 of (seed, tag, doc_id), so reruns agree and another engine can recompute the draw.
 
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_broadcast, cut_lineage, fresh
+from .common import WORD, counted_broadcast, cut_lineage, fresh, written
 
 #: Source weights, repeating over the sources in code point order.
 WEIGHTS = (5, 2, 1)
@@ -98,27 +101,41 @@ def split_tree(units: DataFrame, n_shards: int, seed: str, keys: list[str]) -> D
 
 
 def mix(df: DataFrame, size: Column, n_shards: int = SHARDS, seed: str = "mix", weights=WEIGHTS,
-        share: float = TOTAL_SHARE, cap: int = MAX_REPEAT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+        share: float = TOTAL_SHARE, cap: int = MAX_REPEAT, block_rows: int = BLOCK_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """``df`` (doc_id, source, ...) with size, source_size, target, taken and ``draws``, an array of
-    (epoch, shard, words): the shards that draw the document and how many of its words each takes."""
+    (epoch, shard, words): the shards that draw the document and how many of its words each takes.
+
+    ``counted``: the same rows as stored (doc_id, source, size), so that ``size`` is not evaluated again for the totals."""
     keep = [c for c in df.columns if c not in ("size", "source_size", "target", "taken", "draws")]
     key, u, block, start, inside, here, drawn_by = fresh(
         df, "source_key", "u", "block", "start", "inside", "here", "drawn_by")
-    # the source as a key without nulls, so that the window and the joins below share one partitioning
-    base = df.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
-    base = base.select(*[F.col(f"`{c}`") for c in keep], key, size.alias("size"),
-                       hash60(seed, F.col("doc_id")).alias(u))
-    sizes = base.groupBy("source", key).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    sources = cut_lineage(source_targets(sizes, weights, share, cap).select(
+
+    def keyed(rows: DataFrame, amount: Column, columns: list[str]) -> DataFrame:
+        # the source as a key without nulls, so that windows and joins below share one partitioning
+        return rows.select(*[F.col(f"`{c}`") for c in columns], amount.alias("size"), hash60(seed, F.col("doc_id")).alias(u),
+                           F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias(key))
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        return rows.join(sources, key).withColumn(
+            block, F.least(F.floor(F.col(u) / F.lit(float(1 << 60)) * F.col(block)), F.col(block) - 1))
+
+    base = keyed(df, size, keep)
+    lengths = base.select("source", key, "size", u) if counted is None else keyed(counted, F.col("size"), ["source"])
+    sizes = lengths.groupBy("source", key).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    sources = counted_broadcast(cut_lineage(source_targets(sizes, weights, share, cap).select(
         key, "source_size", "target", F.round("target").cast("long").alias(here),
-        F.ceil(F.col("rows") / block_rows).alias(block)))
-    docs = base.join(bounded_broadcast(sources), key)
-    docs = docs.withColumn(block, F.least(F.floor(F.col(u) / F.lit(float(1 << 60)) * F.col(block)),
-                                          F.col(block) - 1))
-    blocks = docs.groupBy(key, block).agg(
+        F.ceil(F.col("rows") / block_rows).alias(block))))
+    docs = in_blocks(base)
+    blocks = in_blocks(lengths).groupBy(key, block).agg(
         F.sum("size").alias("words"), F.first("source_size").alias("all"), F.first(here).alias("wanted"))
-    in_order = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = cut_lineage(blocks.withColumn(start, F.coalesce(F.sum("words").over(in_order), F.lit(0))))
+    blocks = cut_lineage(blocks.withColumn("range", F.floor(F.col(block) / 4096)))
+    # the words before a block: those of the ranges of blocks before, and of the blocks before inside its range
+    earlier = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = blocks.groupBy(key, "range").agg(F.sum("words").alias("n")).select(
+        key, "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    in_order = Window.partitionBy(key, "range").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut_lineage(blocks.join(ranges, [key, "range"]).withColumn(
+        start, F.col("first") + F.coalesce(F.sum("words").over(in_order), F.lit(0))).drop("range", "first"))
     units = (
         blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(int(cap) - 1))))
         .where((F.col("epoch") * F.col("all") + F.col(start) < F.col("wanted")) & (F.col("words") > 0))
@@ -141,11 +158,17 @@ def mix(df: DataFrame, size: Column, n_shards: int = SHARDS, seed: str = "mix",
         F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws")
 
 
+def word_sizes(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, size), stored."""
+    return written(documents.select("doc_id", "source", word_count().alias("size")), "mix-sizes")
+
+
 def mix_documents(documents: DataFrame) -> DataFrame:
-    """The mix of ``documents`` (doc_id, text, source) without their texts: one row per document."""
-    narrow = documents.select("doc_id", "source", word_count().alias("n_words"))
-    out = mix(narrow, F.col("n_words"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    """The mix of ``documents`` (doc_id, text, source) without their texts: one row per document, with ``draws`` as text:
+    epoch:shard:words of every draw, joined by commas (empty: not drawn)."""
+    out = mix(word_sizes(documents), F.col("size"))
+    draws = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["epoch"], d["shard"], d["words"])), ",")
+    return out.select("doc_id", "size", "source_size", "target", "taken", draws.alias("draws"))
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
@@ -154,7 +177,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     Whole documents are drawn: of the document that a source's target cuts, a copy is drawn if at least half of it is wanted.
     """
     cols = documents.columns
-    out = mix(documents, word_count(), **options)
+    out = mix(documents, word_count(), counted=word_sizes(documents), **options)
     draw, key = fresh(out, "draw", "key")
     copies = out.withColumn(draw, F.explode("draws")).where(F.col(f"{draw}.words") * 2 >= F.col("size"))
     return (

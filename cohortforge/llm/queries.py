@@ -67,10 +67,18 @@ QUERIES = {f.__name__: f for f in (
 #: The words of the contracts, in DuckDB's regular expressions.
 _WORD = r"[^\x20\x09-\x0D]+"
 
+
+def _tree_level(level: int) -> str:
+    """One level of the splitting tree: of the drawn blocks of each node, the half with the smallest hashes goes left."""
+    return f"""n{level + 1} as (select k, blk, e, node * 2 + case when 2 * row_number() over (partition by node
+      order by ('0x' || substr(md5('mix-{level}|' || k || '|' || blk || '|' || e), 1, 15))::bigint, k, blk, e)
+      <= count(*) over (partition by node) + 1 then 0 else 1 end node from n{level})"""
+
+
 _MIXING = f"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::bigint size,
     ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '')), 1, 15))::bigint u from documents),
-s as (select source, sum(size)::bigint source_size,
+s as (select source, sum(size)::bigint source_size, ceil(count(*) / 256.0::double)::bigint n_blocks,
     [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double w from d group by source),
 r as (select *, 2.0::double * source_size top, 2.0::double * source_size / w ratio,
     1.5::double * sum(source_size) over () budget from s),
@@ -79,11 +87,20 @@ l as (select *, (budget - coalesce(sum(top) over (order by ratio, source nulls l
     / sum(w) over (order by ratio, source nulls last rows between current row and unbounded following) lv from r),
 t as (select *, least(top, coalesce(w * first_value(case when lv <= ratio then lv end ignore nulls) over (order by ratio,
     source nulls last rows between unbounded preceding and unbounded following), top)) target from l),
-p as (select d.*, t.source_size, t.target, round(t.target)::bigint wanted, coalesce(sum(d.size) over (partition by d.source
-    order by u, doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint start
-    from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target, (greatest(0, least(size, wanted - start))
-    + greatest(0, least(size, wanted - source_size - start)))::bigint taken from p
+p as (select d.*, coalesce('=' || d.source, 'null') k, t.source_size, t.target, round(t.target)::bigint wanted,
+    least(floor(d.u / 1152921504606846976.0::double * t.n_blocks), t.n_blocks - 1)::bigint blk
+    from d join t on d.source is not distinct from t.source),
+b as (select k, blk, sum(size)::bigint words, any_value(source_size) source_size, any_value(wanted) wanted from p group by all),
+bs as (select *, coalesce(sum(words) over (partition by k order by blk rows between unbounded preceding and 1 preceding), 0)::bigint start from b),
+n0 as (select k, blk, e, 0 node from bs, range(0, 2) r(e) where e * source_size + start < wanted and words > 0),
+{_tree_level(0)}, {_tree_level(1)}, {_tree_level(2)},
+o as (select p.*, bs.start + coalesce(sum(p.size) over (partition by p.k, p.blk order by p.u, p.doc_id, p.size
+    rows between unbounded preceding and 1 preceding), 0)::bigint pos, row_number() over () rid from p join bs using (k, blk)),
+w as (select o.*, n.e, n.node, greatest(0, least(o.size, o.wanted - n.e * o.source_size - o.pos))::bigint words
+    from o left join n3 n on n.k = o.k and n.blk = o.blk)
+select any_value(doc_id) doc_id, any_value(size) size, any_value(source_size) source_size, any_value(target) target,
+    coalesce(sum(words), 0)::bigint taken,
+    coalesce(string_agg(e || ':' || node || ':' || words, ',' order by e) filter (where words > 0), '') draws from w group by rid
 """
 
 _WARC = """

@@ -10,6 +10,7 @@ distribution through a binned equi-join lookup. No per-row driver loop, no range
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -302,39 +303,62 @@ def autoregressive_generate(train: DataFrame, requests: DataFrame, output: str,
     return out
 
 
-def chow_liu_order(train: DataFrame, features: Sequence[str]) -> list[tuple[str, str | None]]:
-    """Maximum spanning tree over pairwise mutual information (Chow-Liu). All pairs come from one table of counts;
-    the k x k MI matrix (k features) is solved on the driver. Returns [(feature, parent or None)] in a root-first order."""
-    from .stats import pairwise_information
-    feats = list(features)
-    mi = {}
-    for r in pairwise_information(train, feats).collect():  # one row per pair of features
-        mi[(r.A, r.B)] = mi[(r.B, r.A)] = r.MI or 0.0
-    in_tree = [feats[0]]
-    order: list[tuple[str, str | None]] = [(feats[0], None)]
-    while len(in_tree) < len(feats):
-        best = max(((a, b) for a in in_tree for b in feats if b not in in_tree), key=lambda ab: (mi.get(ab, 0.0), ab[1]))
-        in_tree.append(best[1])
-        order.append((best[1], best[0]))
+def subset_entropies(train: DataFrame, features: Sequence[str], size: int) -> tuple[dict, int]:
+    """Entropy (nats) and number of states of every set of up to `size` features, from one table of counts, and the number of
+    rows. Rows with a null feature are left out. Rows collapse to distinct combinations before they are listed under each
+    set; the driver reads one row per set."""
+    feats = sorted(features)
+    cells = cut_lineage(train.dropna(subset=feats).groupBy(*feats).agg(F.count("*").alias("_n")))
+    n = int(cells.agg(F.sum("_n")).first()[0] or 0)
+    sets = [s for k in range(1, min(size, len(feats)) + 1) for s in combinations(feats, k)]
+    listed = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.to_json(F.array(*[F.col(f).cast("string") for f in s])).alias("v"))
+                                 for i, s in enumerate(sets)]))
+    counts = cells.select("_n", listed.alias("_s")).groupBy("_s.i", "_s.v").agg(F.sum("_n").alias("_n"))
+    share = F.col("_n") / F.lit(float(n or 1))
+    rows = counts.groupBy("i").agg(F.sum(-share * F.log(share)).alias("h"), F.count("*").alias("states")).collect()
+    return {frozenset(sets[r["i"]]): (r["h"], r["states"]) for r in rows}, n
+
+
+def network_structure(train: DataFrame, features: Sequence[str], max_parents: int = 2) -> list[tuple[str, tuple[str, ...]]]:
+    """A Bayesian network, grown greedily: [(feature, parents)], parents first.
+
+    The first feature has the largest total information with the others; then the (feature, parent set) with the best score
+    among all sets of up to `max_parents` placed features follows: n x information of feature and parents, less
+    ln(n) / 2 per free parameter (BIC), so that a parent must be worth its table. Ties: fewer parents, then by name.
+    """
+    feats = sorted(features)
+    of, n = subset_entropies(train, feats, max_parents + 1)
+    if not n:
+        return [(f, ()) for f in feats]
+
+    def score(f: str, parents: tuple[str, ...]) -> float:
+        if not parents:
+            return 0.0
+        (hf, kf), (hp, kp), (hj, _) = of[frozenset([f])], of[frozenset(parents)], of[frozenset([f, *parents])]
+        return round(n * (hf + hp - hj) - np.log(n) / 2 * (kf - 1) * (kp - 1), 6)
+
+    shared = {f: sum(of[frozenset([f])][0] + of[frozenset([g])][0] - of[frozenset([f, g])][0] for g in feats if g != f) for f in feats}
+    order = [(min(feats, key=lambda f: (-round(shared[f], 9), f)), ())]
+    while len(order) < len(feats):
+        placed = sorted(f for f, _ in order)
+        choices = [(f, p) for f in feats if f not in placed for k in range(min(max_parents, len(placed)) + 1)
+                   for p in combinations(placed, k)]
+        order.append(min(choices, key=lambda c: (-score(*c), len(c[1]), c)))
     return order
 
 
-def tabular_synth_fit(train: DataFrame, features: Sequence[str]):
-    """Re-aim of the neural table generators: a Chow-Liu tree of discrete columns; the fitted
-    state is the tree (tiny) plus the training frame used for smoothed conditionals."""
-    return {"order": chow_liu_order(train, features), "train": train}
+def tabular_synth_fit(train: DataFrame, features: Sequence[str], max_parents: int = 2):
+    """Re-aim of the neural table generators: a Bayesian network of discrete columns; the fitted
+    state is the network (tiny) plus the training frame used for smoothed conditionals."""
+    return {"order": network_structure(train, features, max_parents), "train": train}
 
 
 def tabular_synth_sample(model, n: int, spark, tag: str = "tsyn", alpha: int = 1) -> DataFrame:
-    """n rows: root drawn from its smoothed marginal, each child from P(child | parent)."""
+    """n rows: each feature from P(feature | parents), smoothed over the categories seen with them; parent values that never
+    occur together give way to the marginal."""
     rows = spark.range(n).withColumnRenamed("id", "ROW_ID")
-    train = model["train"]
-    for feat, parent in model["order"]:
-        if parent is None:
-            counts = train.where(F.col(feat).isNotNull()).groupBy(feat).agg((F.count("*") + F.lit(alpha)).alias("n"))
-            rows = draw_from_counts(rows, counts, feat, uniform(f"{tag}_{feat}", "ROW_ID"), feat)
-        else:
-            rows = contextual_draw(rows, train, [parent], feat, feat, f"{tag}_{feat}", "ROW_ID", alpha=alpha)
+    for feat, parents in model["order"]:
+        rows = contextual_draw(rows, model["train"], parents, feat, feat, f"{tag}_{feat}", "ROW_ID", alpha=alpha)
     return rows
 
 

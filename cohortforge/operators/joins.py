@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import inverse_cdf, uniform
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, cut_lineage
 from .rowindex import with_row_index
 
 
@@ -60,6 +60,40 @@ def join_pool_one(pop: DataFrame, pool: DataFrame, keys: Sequence[str], label: s
     return joined.withColumn(out, draw).drop("_cats", "_cum")
 
 
+#: Rows of one side of a key that a task of the fan-out join should join at most; a key with more is cut into chunks.
+CHUNK_ROWS = 4096
+
+
+def join_pool_fanout(pop: DataFrame, pool: DataFrame, keys: Sequence[str], values: Sequence[str], id_col: str = "RECORD_ID",
+                     pool_id: str = "RECORD_ID", out_id: str = "POOL_ID", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Left join of population and pool on keys in which rows multiply: a row per pool match with the pool's `values` and its id
+    as `out_id`; a row without a match (or with a null key) comes out once, with nulls.
+
+    Both sides are counted first. A key with more than `chunk_rows` rows on a side is cut there into chunks by a hash of the id,
+    and each (population chunk, pool chunk) pair is a join key of its own, so a hot key's product is written by as many tasks
+    as it has chunk pairs. All other keys are one plain left equi join.
+    """
+    keys = list(keys)
+    taken = {c.lower() for c in (*pop.columns, *pool.columns)}
+    left_chunk, right_chunk, left_n, right_n = (next(n for n in ("_" * i + name for i in range(1, 99)) if n.lower() not in taken)
+                                                for name in ("lc", "rc", "nl", "nr"))
+    right = pool.select(*keys, *values, F.col(pool_id).alias(out_id))
+    sized = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias(name))
+    hot = cut_lineage(sized(pop, left_n).join(sized(pool, right_n), keys).where((F.col(left_n) > 1) | (F.col(right_n) > 1)))
+    if hot.isEmpty():
+        return pop.join(right, keys, "left").select(*[F.col(f"`{c}`") for c in pop.columns], *values, out_id)
+    # at most one hot key per chunk_rows input rows, counted before it is broadcast
+    hot = F.broadcast(hot) if hot.count() <= 1 << 20 else hot
+    cold = pop.join(hot.select(*keys), keys, "left_anti").join(right, keys, "left")
+    chunk = lambda key, n: F.pmod(F.xxhash64(F.col(key)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ls = pop.join(hot, keys).withColumn(left_chunk, chunk(id_col, left_n)).withColumn(right_chunk, every(right_n))
+    rs = right.join(hot, keys).withColumn(right_chunk, chunk(out_id, right_n)).withColumn(left_chunk, every(left_n))
+    many = ls.drop(left_n, right_n).join(rs.drop(left_n, right_n), [*keys, left_chunk, right_chunk])
+    columns = [*[F.col(f"`{c}`") for c in pop.columns], *values, out_id]
+    return cold.select(*columns).unionByName(many.select(*columns))
+
+
 def draw_from_counts(df: DataFrame, counts: DataFrame, label: str, u: "F.Column", out: str) -> DataFrame:
     """Draw `out` for every row of df from a global (label, n) count table: inverse CDF by labels sorted
     ascending, k = floor(u*N), pick the label whose cumulative range [prev, cum) contains k.

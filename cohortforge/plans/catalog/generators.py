@@ -332,3 +332,9 @@ def q_topk_labels(spark, d):
     e = fx.read_table(spark, d, "embeddings")
     cents = embed.label_centroids(e, "embedding", "label")
     return embed.top_k_long(e, "vec_id", "embedding", cents, k=3)
+
+
+@register("label_by_learned_vectors")
+def q_label_by_learned_vectors(spark, d):
+    e = fx.read_table(spark, d, "embeddings")
+    return embed.score_top_k(e, "vec_id", "embedding", embed.learned_label_vectors(e, "embedding", "label"), k=3)

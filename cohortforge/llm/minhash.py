@@ -11,8 +11,8 @@
    count the collisions of their cross-component pairs, each pair in the first list that it shares. The documents of pairs with enough
    collisions meet once more in that list with their shingle sets; all pairs are confirmed there, as intersections of bit sets, and
    only a spanning forest of the confirmed ones leaves the task. A pair that is left out is in one component already, so no
-   component is lost, and no group is sent out as all its pairs. Lists longer than ``CHUNK`` are dealt out by chunk (first
-   pass) and by pairs of chunks (second pass).
+   component is lost, and no group is sent out as all its pairs. Lists of more than ``CHUNK`` documents or ``CHUNK_BYTES`` of shingle
+   sets are dealt out by chunk (first pass) and by pairs of chunks (second pass), so very long documents make chunks of few documents.
 
 With 32 coordinates and 15 matches, a pair of similarity exactly 0.8 is missed with probability 6e-6, less above.
 
@@ -37,6 +37,11 @@ from .textcore import LOWER, U64, fmix, text_slices, word_hashes, word_spans
 COORDS = 32
 MATCHES = 15
 CHUNK = 1024
+CHUNK_BYTES = 16 << 20
+#: What a task gathers of a sorted partition before it works on the whole lists among it: rows, bytes.
+HELD_ROWS, HELD_BYTES = 20_000, 32 << 20
+#: Bit sets of a list beyond this size are not made; its sets are intersected pair by pair.
+BIT_BYTES = 32 << 20
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +138,7 @@ def _lists(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.nd
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
-        if held.num_rows < 20_000:
+        if held.num_rows < HELD_ROWS and held.nbytes < HELD_BYTES:
             continue
         cols = [c.to_numpy() for c in held.columns[:keys]]
         same = np.all([c == c[-1] for c in cols], axis=0)
@@ -204,12 +209,14 @@ def _meeting(matches: int):
     return run
 
 
-def _bit_sets(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of bits per set, over the values that at least two of the sets hold."""
+def _bit_sets(sets: list[np.ndarray]) -> np.ndarray | None:
+    """One row of bits per set, over the values that at least two of the sets hold; None if that is more than BIT_BYTES."""
     flat = np.concatenate(sets)
     values, where, n = np.unique(flat, return_inverse=True, return_counts=True)
     column = np.cumsum(n > 1) - 1
     words = int((n > 1).sum() + 63) // 64
+    if len(sets) * words * 8 > BIT_BYTES:
+        return None
     out = np.zeros((len(sets), max(1, words)), U64)
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     shared = n[where] > 1
@@ -218,6 +225,16 @@ def _bit_sets(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _common(sets: list[np.ndarray], bits: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``i`` with the sets ``j``."""
+    if bits is None:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
+    out, step = np.zeros(len(i), np.int64), max(1, (1 << 20) // bits.shape[1])
+    for x in range(0, len(i), step):
+        out[x:x + step] = np.bitwise_count(bits[i[x:x + step]] & bits[j[x:x + step]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the graph with edges (a, b)."""
     root: dict[int, int] = {}
@@ -250,13 +267,10 @@ def _across(matches: int, num: int, den: int):
                 size, bits = np.array([len(x) for x in sets]), _bit_sets(sets)
                 for a, b in _cross_pairs(number[s:e] - number[s], item[s:e] >> 32, rep[s:e], comp[s:e], side[s:e], mask[s:e],
                                          sig[s:e], matches):
-                    step = max(1, (1 << 20) // bits.shape[1])
-                    for x in range(0, len(a), step):
-                        i, j = a[x:x + step], b[x:x + step]
-                        both = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
-                        hit = den * both >= num * (size[i] + size[j] - both)
-                        edges[0].append(rep[s:e][i[hit]])
-                        edges[1].append(rep[s:e][j[hit]])
+                    both = _common(sets, bits, a, b)
+                    hit = den * both >= num * (size[a] + size[b] - both)
+                    edges[0].append(rep[s:e][a[hit]])
+                    edges[1].append(rep[s:e][b[hit]])
             if edges[0] and len(np.concatenate(edges[0])):
                 yield _pairs(*_forest(np.concatenate(edges[0]), np.concatenate(edges[1])))
     return run
@@ -312,17 +326,19 @@ def _linked(documents: DataFrame, k: int, num: int, den: int, coords: int, match
     classes = cut_lineage(classes.withColumn("rep", F.monotonically_increasing_id()))
 
     item = F.shiftleft(F.col("coord").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF))
-    items = classes.select("rep", F.posexplode("sig").alias("coord", "value")).select("rep", item.alias("item"))
-    shared = cut_lineage(items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    items = classes.select("rep", "n_shingles", F.posexplode("sig").alias("coord", "value")).select("rep", "n_shingles", item.alias("item"))
+    per_item = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total")).where("n > 1")
+    shared = cut_lineage(per_item.select("item", "n", F.greatest(
+        F.ceil(F.col("n") / CHUNK), F.ceil(F.col("total") * 8 / CHUNK_BYTES)).cast("int").alias("chunks")))
     # values held by one signature only come first in the order and fill the prefix without being posted
     prefix = (
         items.join(shared, "item").groupBy("rep")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("held"))
+        .agg(F.sort_array(F.collect_list(F.struct("n", "item", "chunks"))).alias("held"))
         .select("rep", F.slice("held", F.lit(1), F.greatest(
             F.lit(0), F.size("held") - F.lit(matches - 1))).alias("held"))
         .where(F.size("held") > 0)
     )
-    chunks = F.ceil(F.col("x.n") / CHUNK).cast("int")
+    chunks = F.col("x.chunks")
     coords_posted = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x["item"], 32).cast("int"))))
     posted = cut_lineage(

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -444,9 +445,10 @@ def brute_near(data, k=4):
     return sorted(str((i, len(s), r if s else i, i is None or not s or r == i)) for (i, _), s, r in zip(data, sets, root))
 
 
-@pytest.mark.parametrize("chunk", [minhash.CHUNK, 4])
-def test_near_duplicates_match_brute_force(spark, rows, chunk, monkeypatch):
+@pytest.mark.parametrize("chunk, size", [(minhash.CHUNK, minhash.CHUNK_BYTES), (4, minhash.CHUNK_BYTES), (minhash.CHUNK, 4096)])
+def test_near_duplicates_match_brute_force(spark, rows, chunk, size, monkeypatch):
     monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "CHUNK_BYTES", size)
     rng = np.random.default_rng(11)
     vocabulary = [f"w{i}" for i in range(900)]
     data = [(r.doc_id, r.text[:900]) for r in rows[:60]]
@@ -465,6 +467,26 @@ def test_near_duplicates_match_brute_force(spark, rows, chunk, monkeypatch):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in got) == brute_near(data)
 
 
+def test_sets_meet_by_bits_and_pair_by_pair(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (1, 40, 200, 260, 90)]
+    i, j = map(np.array, zip(*[(a, b) for a in range(5) for b in range(a)]))
+    want = [len(set(sets[a].tolist()) & set(sets[b].tolist())) for a, b in zip(i, j)]
+    assert minhash._common(sets, minhash._bit_sets(sets), i, j).tolist() == want
+    monkeypatch.setattr(minhash, "BIT_BYTES", 64)
+    assert minhash._bit_sets(sets) is None and minhash._common(sets, None, i, j).tolist() == want
+
+
+def test_lists_are_cut_by_bytes(monkeypatch):
+    monkeypatch.setattr(minhash, "HELD_BYTES", 1 << 12)
+    item = np.repeat(np.arange(30), 7)
+    sig = pa.ListArray.from_arrays(pa.array(np.arange(211, dtype=np.int32) * 2), pa.array(np.arange(420, dtype=np.int32)))
+    table = pa.table({"item": item, "set": pa.array([bytes(100)] * 210, pa.binary()), "sig": sig})
+    got = list(minhash._lists(iter(table.to_batches(max_chunksize=25)), 1))
+    assert len(got) > 3 and np.concatenate([cols[0] for _, cols, _ in got]).tolist() == item.tolist()
+    assert all(np.bincount(number).tolist() == [7] * (number[-1] + 1) for number, _, _ in got)
+
+
 def test_one_of_each_group_stays(spark, odd, empty):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.drop_near_duplicates(empty).count() == 0
     extra = odd.selectExpr("*", "1 as kept_id", "2 as rows", "3 as k")

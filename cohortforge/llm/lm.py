@@ -207,7 +207,7 @@ def _count(order: int, buckets: int):
 
         for batch in batches:
             training = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, data, offsets in text_slices(batch.column(1)):
+            for row, data, offsets in text_slices(batch.column(1), 2 << 20):
                 here = training[row:row + len(offsets) - 1]
                 data = LOWER[data]
                 starts, ends, first = word_spans(data, offsets)

@@ -224,19 +224,20 @@ _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 def _pack(path: str, capacity: int, block_tokens: int, with_ids: bool):
     def block(ids: list, docs: list, number: int) -> tuple[pa.RecordBatch, int]:
-        flat = np.concatenate(ids)
+        flat = np.concatenate(ids).astype("<u4", copy=False)
+        ids.clear()  # one copy of a block's ids is enough
         lengths = np.concatenate([n for _, n in docs])
         before = np.concatenate([[0], np.cumsum(lengths)])
         pieces, sequences = pack_block(lengths, capacity)
         doc, start, n, seq, offset = pieces.T
-        raw, at = flat.astype("<u4").tobytes(), before[doc] + start
+        raw, at = memoryview(flat).cast("B"), before[doc] + start
         crc = np.fromiter((zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(at, at + n)), np.int64, len(n))
         columns = [pa.concat_arrays([x for x, _ in docs]).take(pa.array(doc)), pa.array(start), pa.array(n), pa.array(crc),
                    pa.array(lengths[doc]), pa.array(seq + number), pa.array(offset),
                    pa.array(np.array(sequences, np.int64)[seq])]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"]
         if with_ids:
-            columns.append(pa.array([flat[a:b].astype(np.int32) for a, b in zip(at, at + n)], pa.list_(pa.int32())))
+            columns.append(pa.array([flat[a:b].view(np.int32) for a, b in zip(at, at + n)], pa.list_(pa.int32())))
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names), len(sequences)
 

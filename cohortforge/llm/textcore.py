@@ -1,7 +1,8 @@
 """Vectorised byte and word work on Arrow text columns, used inside tasks by the operators of this subpackage.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, as in the contracts; UTF-8 keeps its multi-byte characters
-clear of those bytes. All functions work on slices of a few MB of whole documents, so memory does not grow with a batch.
+clear of those bytes. All functions work on slices of whole documents, half a MB by default (each byte takes some ten numbers of eight
+bytes on the way), so memory does not grow with a batch.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ _R_INV = pow(_R, -1, 1 << 64)
 _POW: dict[str, np.ndarray] = {}
 
 
-def text_slices(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets from 0) of runs of whole documents of about ``limit`` bytes; a longer document is alone.
     A null text is empty."""
     if texts.null_count:
@@ -50,7 +51,7 @@ def fmix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POW or len(_POW["up"]) < n + 1:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, 1 << 19)
         for name, base in (("up", _R), ("down", _R_INV)):
             a = np.full(size, base, dtype=U64)
             a[0] = 1

@@ -8,7 +8,7 @@ score is its posterior under equal priors. ASCII letters count as lower case.
 
 Training reads a bounded sample: TRAIN_BYTES are shared among the languages by water filling (what small languages leave unused goes to the
 larger ones, LEAST_BYTES each at least), and a language's share is filled by its documents in hash order, each with a FEW-th of it
-first and, where that leaves room, with more of the longer ones. So every language with a non-empty training document has a tree.
+first and, where that leaves room, with more of the longer ones; a document that is not read whole gives a window at a hashed place. So every language with a non-empty training document has a tree.
 That bounds the trees, which are collected and broadcast; with many languages they are held as lists of the languages that saw a context,
 with the same code lengths. Everything else covers all documents.
 
@@ -225,8 +225,10 @@ def train(documents: DataFrame, train_bytes: int = TRAIN_BYTES, order: int = ORD
     longer = F.col("bytes") - F.col("first")
     more = F.greatest(F.lit(0), F.least(longer, left - F.coalesce(F.sum(longer).over(before), F.lit(0))))
     chosen = cut_lineage(chosen.select("lang", "key", (F.col("first") + more).cast("int").alias("take")))
+    # a window at a hashed place, as the beginnings of long documents are often alike
+    place = F.pmod(F.xxhash64("key"), F.octet_length("text") - F.col("take") + 1).cast("int") + 1
     sample = docs.select("lang", key, "text").join(counted_broadcast(chosen), ["lang", "key"]).select(
-        "lang", "key", F.substring(F.col("text").cast("binary"), F.lit(1), F.col("take")).alias("text"))
+        "lang", "key", F.substring(F.col("text").cast("binary"), place, F.col("take")).alias("text"))
     counts = (
         sample.dropDuplicates(["lang", "key"]).select("lang", "text")
         .mapInArrow(_count(order), "lang string, gram long, n long")

@@ -587,6 +587,15 @@ def test_a_language_of_few_very_long_documents_has_a_tree(spark):
     assert all(r.lang_pred == rows[r.doc_id][2] for r in out) and len(out) == len(rows)
 
 
+def test_long_documents_train_by_windows_beyond_their_beginnings(spark):
+    word = {"aa": "lorem ipsum dolor ", "bb": "grumpf zwitsch klang "}
+    header = "all rights reserved " * 2000
+    rows = [(10 * i + j, header + w * 20_000, x, "s", 0) for i, (x, w) in enumerate(word.items()) for j in range(10)]
+    short = [(100 + i, w * 3, None, "s", 0) for i, w in enumerate(word.values())]
+    out = language.identify(spark.createDataFrame(rows + short, DOCS), train_bytes=1 << 13).collect()
+    assert [r.lang_pred for r in sorted(out, key=lambda r: r.doc_id) if r.doc_id >= 100] == list(word)
+
+
 def test_thousands_of_lang_values_leave_no_language_without_a_tree(spark):
     rng = np.random.default_rng(3)
     junk = [(i, "".join(map(chr, rng.integers(0x400, 0x450, 30))), f"junk{i}", "s", 0) for i in range(2500)]

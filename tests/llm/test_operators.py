@@ -104,6 +104,54 @@ def test_quality_on_held_out_rows(spark, docs):
     assert sum(a > b for a in good for b in bad) / (len(good) * len(bad)) > 0.95
 
 
+def brute_statistics(text):
+    data = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    low = [w.lower() for w in words]
+    pairs = list(zip(low, low[1:]))
+    lines = data.split(b"\n")
+    lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+    symbol = {c for c in range(128) if not chr(c).isalnum() and c not in b" \t\n\v\f\r"}
+    size, n = max(1, len(data)), max(1, len(words))
+    share = lambda test: sum(map(test, data)) / size
+    of = lambda test: sum(map(test, words)) / n
+    upper = range(65, 91)
+    return [
+        math.log1p(len(data)), math.log1p(len(words)), sum(map(len, words)) / n, share(lambda c: c in upper), share(lambda c: c in range(48, 58)),
+        share(lambda c: c in symbol), share(lambda c: c >= 128), share(lambda c: c in b" \t\n\v\f\r"), share(lambda c: c == 10),
+        -sum(m / size * math.log2(m / size) for m in collections.Counter(data).values()), len(set(low)) / n,
+        max(collections.Counter(low).values(), default=0) / n, len(set(pairs)) / max(1, len(words) - 1), max(map(len, words), default=0),
+        of(lambda w: w[-1] in symbol and w[-1] not in b".,;:?"), of(lambda w: len(w) == 1), 1 - len(set(lines)) / max(1, len(lines)),
+        of(lambda w: 2 * sum(c in upper for c in w) > len(w)), of(lambda w: w[-1] in b"!.?"), of(lambda w: all(c in symbol for c in w))]
+
+
+def test_statistics_match_brute_force(rows):
+    texts = [r.text for r in rows[:80]] + ["", "  ", "\n", "a\na\n", "a\nb\na", "One one ONE two", "!!! ??? x.", "é ß É", "NASA Was here!\n\n\n", "x" * 700_000 + " y"]
+    got = quality.statistics_of(pa.array(texts))
+    for text, mine in zip(texts, got):
+        want = brute_statistics(text)
+        assert [f for f, a, b in zip(quality.FEATURES, mine, want) if not math.isclose(a, b, abs_tol=1e-9)] == [], (text[:80], mine, want)
+
+
+def test_one_tree_of_one_level_is_the_best_newton_split():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (300, len(quality.FEATURES))).astype(float)
+    y = ((x[:, 5] > 6) ^ (rng.random(300) < 0.1)).astype(float)
+    forest = quality.fit_forest(x, y, trees=1, depth=1)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = y - share, np.full(len(y), share * (1 - share))
+
+    def gain(side):
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality.SMOOTH)
+        return part(side) + part(~side) if min(h[side].sum(), h[~side].sum()) >= 1 else 0
+
+    best = max(gain(x[:, f] > t) for f in range(x.shape[1]) for t in range(12))
+    side = x[:, forest.feature[0, 0]] > forest.threshold[0, 0]
+    assert math.isclose(gain(side), best)
+    for m, leaf in ((~side, forest.leaf[0, 0]), (side, forest.leaf[0, 1])):
+        assert math.isclose(leaf, quality.RATE * g[m].sum() / (h[m].sum() + quality.SMOOTH))
+
+
 def test_forest_equals_walking_the_trees():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, len(quality.FEATURES)))

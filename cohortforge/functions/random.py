@@ -40,11 +40,18 @@ def inverse_cdf(cats: Column, cum: Column, u: Column) -> Column:
 
     k = floor(u*n) in [0, n); the chosen category is the first whose cumulative count exceeds k.
     Array form avoids a range join (which Spark plans as a nested loop): one equi join brings the
-    (cats, cum) row to each draw, then a vectorised filter counts the passed boundaries.
+    (cats, cum) row to each draw, then a binary search counts the passed boundaries. The draw is an
+    element of an array, so that it is computed once a row and not for each boundary.
     """
     n = F.element_at(cum, -1)
     k = F.floor(u * n)
-    idx = F.size(F.filter(cum, lambda c: c <= k)) + 1
+    steps = F.array(*[F.lit(1 << b) for b in range(30, -1, -1)])
+
+    def passed(s: Column) -> Column:
+        ends = lambda at, step: (at + step <= F.size(s["c"])) & (F.get(s["c"], at + step - 1) <= s["k"])
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(step > F.size(s["c"]), at).when(ends(at, step), at + step).otherwise(at))
+
+    idx = F.element_at(F.transform(F.array(F.struct(cum.alias("c"), k.alias("k"))), passed), 1) + 1
     return F.element_at(cats, idx.cast("int"))
 
 

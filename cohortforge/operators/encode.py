@@ -2,7 +2,7 @@
 
 A vocabulary is a long DataFrame (COLUMN, CATEGORY, CODE): one unpivot + distinct, then positions over range
 partitions of the distinct values (no task holds all values of a column), stored once. Applying it is one
-left join per column against that column's slice (broadcast when its estimated size is small, else a shuffle join).
+left join per column against that column's slice (broadcast while the slices' measured sizes are small, else a shuffle join).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, cut_lineage
+from ..session import DEFAULT_BROADCAST_BYTES, bounded_broadcast, cut_lineage
 from .rowindex import with_row_index
 
 NULL_TOKEN = "nan"
@@ -61,10 +61,15 @@ def _numbered(values: DataFrame, *order: str) -> DataFrame:
 def apply_vocabulary(df: DataFrame, vocab: DataFrame, cols: Sequence[str], unseen: int | None = -1,
                      null_token: str | None = NULL_TOKEN, suffix: str = "") -> DataFrame:
     """Replace each column by its code; unseen categories -> `unseen` (None keeps null)."""
-    out = df
+    # a stored vocabulary keeps the estimate of the frame that it was fitted on: its columns are measured (a row per column)
+    sizes = dict(vocab.where(F.col("COLUMN").isin(list(cols))).groupBy("COLUMN").agg(
+        F.sum(F.coalesce(F.octet_length("CATEGORY"), F.lit(0)) + 64)).collect())
+    out, sent = df, 0
     for c in cols:
         v = vocab.where(F.col("COLUMN") == c).select(F.col("CATEGORY").alias(f"_cat_{c}"), F.col("CODE").alias(f"_code_{c}"))
-        out = out.withColumn(f"_cat_{c}", _as_category(c, null_token)).join(bounded_broadcast(v), f"_cat_{c}", "left")
+        if sent + sizes.get(c, 0) <= DEFAULT_BROADCAST_BYTES:  # all columns together: they are joined in one pass
+            v, sent = F.broadcast(v), sent + sizes.get(c, 0)
+        out = out.withColumn(f"_cat_{c}", _as_category(c, null_token)).join(v, f"_cat_{c}", "left")
         code = F.col(f"_code_{c}")
         if unseen is not None:
             code = F.coalesce(code, F.lit(unseen))

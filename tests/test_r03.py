@@ -53,3 +53,42 @@ def test_boosting_sorts_each_feature_once():
     finally:
         boosting.cuts = plain
     assert len(seen) == 4 * x.shape[1] and all(seen)
+
+
+def test_a_draw_is_computed_once_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from cohortforge.functions.random import inverse_cdf
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(300):
+        counts = rng.integers(1, 5, rng.integers(1, 70))
+        rows.append((i, [f"l{j}" for j in range(len(counts))], np.cumsum(counts).tolist(), float(rng.random())))
+    rows += [(300, None, None, 0.5), (301, ["a", "b"], [1, 2], None), (302, ["a"], [3], 0.0)]
+    df = spark.createDataFrame(rows, "i int, cats array<string>, cum array<long>, u double")
+    got = {r.i: r.l for r in df.select("i", inverse_cdf(F.col("cats"), F.col("cum"), F.col("u")).alias("l")).collect()}
+    for i, cats, cum, u in rows[:300]:
+        assert got[i] == cats[int(np.searchsorted(cum, int(u * cum[-1]), side="right"))]
+    assert [got[i] for i in (300, 301, 302)] == [None, "a", "a"]
+    plan = df.select(inverse_cdf(F.col("cats"), F.col("cum"), F.length(F.md5(F.col("u").cast("string"))) / 64.0).alias("l"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("md5(") <= 1 and "filter(" not in text
+
+
+def test_small_stored_vocabularies_are_broadcast_whatever_their_estimate(spark):
+    from pyspark.sql import functions as F
+
+    from cohortforge.operators.encode import apply_vocabulary
+    from cohortforge.session import DEFAULT_BROADCAST_BYTES, estimated_bytes
+    vocab = spark.range(1 << 24).where("id % 8388608 = 0").select(
+        F.lit("f").alias("COLUMN"), F.col("id").cast("string").alias("CATEGORY"), F.col("id").cast("int").alias("CODE"))
+    assert estimated_bytes(vocab) > DEFAULT_BROADCAST_BYTES
+    df = spark.range(10).select("id", (F.col("id") * 8388608).cast("string").alias("f"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = apply_vocabulary(df, vocab, ["f"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r.id: r.f for r in out.collect()} == {i: i * 8388608 if i < 2 else -1 for i in range(10)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

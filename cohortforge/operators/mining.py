@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,29 +60,31 @@ def markov_transitions(events: DataFrame, entity: str, state: str, ts: str, tie:
     return t.withColumn("P", r6(F.col("N") / F.sum("N").over(Window.partitionBy("FROM_STATE"))))
 
 
-def pair_support(bk: DataFrame, pairs: DataFrame, basket: str, out: str) -> DataFrame:
-    """Share of the baskets that hold both items of each of ``pairs`` (x, y): baskets with x meet their other items."""
-    n = bk.count()
-    held = bk.select(basket, F.explode("items").alias("item"))
-    both = (
-        held.join(bounded_broadcast(pairs), F.col("item") == F.col("x")).drop("item")
-        .join(held.withColumnRenamed("item", "other"), basket).where(F.col("other") == F.col("y"))
-    )
-    return both.groupBy("x", "y").agg((F.count("*") / F.lit(float(n or 1))).alias(out))
+def pair_counts(bk: DataFrame, items: DataFrame, basket: str) -> DataFrame:
+    """(x, y, n, held): the baskets that hold both of two of ``items`` (item), and those of them that have a name. Only the kept items of a
+    basket are paired, so its pairs are bounded by theirs."""
+    kept = bk.crossJoin(F.broadcast(items.agg(F.collect_set("item").alias("kept")))).select(  # one row: mean basket size / min_support items
+        basket, F.array_sort(F.array_intersect("items", "kept")).alias("items")).where(F.size("items") > 1)
+    pairs = F.flatten(F.transform("items", lambda x, i: F.transform(
+        F.slice("items", i + 2, F.size("items")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    return kept.select(basket, F.explode(pairs).alias("p")).groupBy("p.x", "p.y").agg(
+        F.count("*").alias("n"), F.count(basket).alias("held"))
 
 
 def comorbidity_compare(real: DataFrame, synth: DataFrame, basket: str, min_support: float):
     """Support on both sides of the item pairs that are frequent on either side (counted, so a pair that is rare on one side
-    shows its true support there), their difference, and the JS similarity of the two normalized profiles."""
-    frequent = None
-    for bk in (real, synth):
-        items, _ = freq_itemsets(bk, min_support)
-        s = F.array_sort("items")
-        found = items.where(F.size("items") == 2).select(s[0].alias("x"), s[1].alias("y"))
-        frequent = found if frequent is None else frequent.union(found)
-    frequent = cut_lineage(frequent.distinct())
-    j = frequent.join(pair_support(real, frequent, basket, "S_REAL"), ["x", "y"], "left").join(
-        pair_support(synth, frequent, basket, "S_SYNTH"), ["x", "y"], "left").na.fill(0.0, subset=["S_REAL", "S_SYNTH"])
+    shows its true support there), their difference, and the JS similarity of the two normalized profiles.
+
+    Items are counted first: a pair can be frequent on a side only if both its items are, so the pairs of all other items are not formed."""
+    sides = [cut_lineage(bk) for bk in (real, synth)]  # baskets are built once for all counts
+    sizes = [bk.count() for bk in sides]
+    least = [math.ceil(min_support * n) for n in sizes]
+    single = [bk.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= m).select("item")
+              for bk, m in zip(sides, least)]
+    items = cut_lineage(single[0].union(single[1]).distinct())  # 1 / min_support baskets' worth at most
+    c = [pair_counts(bk, items, basket).select("x", "y", F.col("n").alias(f"n{i}"), F.col("held").alias(f"h{i}")) for i, bk in enumerate(sides)]
+    both = c[0].join(c[1], ["x", "y"], "full").na.fill(0).where((F.col("n0") >= max(1, least[0])) | (F.col("n1") >= max(1, least[1])))
+    j = cut_lineage(both.select("x", "y", *[(F.col(f"h{i}") / F.lit(float(n or 1))).alias(s) for i, (n, s) in enumerate(zip(sizes, ("S_REAL", "S_SYNTH")))]))
     j = j.select(F.concat_ws("|", "x", "y").alias("ITEMS"), "S_REAL", "S_SYNTH")
     pairs = j.select("ITEMS", r6(F.col("S_REAL")).alias("S_REAL"), r6(F.col("S_SYNTH")).alias("S_SYNTH"),
                      r6(F.col("S_SYNTH") - F.col("S_REAL")).alias("DIFF"))

@@ -92,3 +92,30 @@ def test_small_stored_vocabularies_are_broadcast_whatever_their_estimate(spark):
         assert {r.id: r.f for r in out.collect()} == {i: i * 8388608 if i < 2 else -1 for i in range(10)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_of_rare_items_are_not_formed(spark, monkeypatch):
+    from itertools import combinations
+
+    from cohortforge.operators import mining
+    rng = np.random.default_rng(2)
+    sides = []
+    for seed in range(2):
+        rows = [(i, sorted({f"i{v}" for v in rng.zipf(1.6, 6) if v < 40})) for i in range(300)] + [(None, ["i1", "i2"])]
+        sides.append([r for r in rows if r[1]])
+    want, counts = {}, []
+    for rows in sides:
+        n = {}
+        for b, items in rows:
+            for p in combinations(items, 2):
+                n[p] = n.get(p, 0) + 1
+        counts.append(n)
+    for p in set(counts[0]) | set(counts[1]):
+        if any(c.get(p, 0) >= 0.1 * len(rows) for c, rows in zip(counts, sides)):
+            none = p == ("i1", "i2")  # the basket without a name is not joined
+            want["|".join(p)] = tuple(round(max(0, c.get(p, 0) - none) / len(rows), 6) for c, rows in zip(counts, sides))
+    frames = [spark.createDataFrame(rows, "o long, items array<string>") for rows in sides]
+    monkeypatch.setattr(mining, "freq_itemsets", None)  # itemsets of other sizes are not needed
+    pairs, _ = mining.comorbidity_compare(*frames, "o", 0.1)
+    got = {r.ITEMS: (r.S_REAL, r.S_SYNTH) for r in pairs.collect()}
+    assert len(want) > 3 and got == want

@@ -119,3 +119,49 @@ def test_pairs_of_rare_items_are_not_formed(spark, monkeypatch):
     pairs, _ = mining.comorbidity_compare(*frames, "o", 0.1)
     got = {r.ITEMS: (r.S_REAL, r.S_SYNTH) for r in pairs.collect()}
     assert len(want) > 3 and got == want
+
+
+def forest_rows(spark):
+    rows = [([i % 7, i % 3], i % 4, 1) for i in range(200)]
+    return spark.createDataFrame(rows, "x array<int>, y int, n long")
+
+
+def test_dense_and_sorted_sums_give_the_same_splits(monkeypatch):
+    rng = np.random.default_rng(7)
+    for i in range(40):
+        n = int(rng.integers(1, 300))
+        args = (np.sort(rng.integers(0, 20, n)), rng.integers(-1, 40, n), rng.integers(0, 9, n), rng.integers(1, 5 if i % 2 else 1 << 20, n), 20)
+        got = []
+        for dense in (0, 4, 1 << 20):
+            monkeypatch.setattr(forest, "DENSE", dense)
+            got.append(forest.thresholds(*args))
+        for other in got[1:]:
+            assert all(np.array_equal(a, b) for a, b in zip(got[0], other))
+
+
+def test_cells_are_counted_once_for_all_trees(spark, monkeypatch):
+    cells = forest_rows(spark)
+    kind, counted = type(cells), []
+    plain = kind.count
+    monkeypatch.setattr(kind, "count", lambda df: counted.append(1) or plain(df))
+    forest.fit_forest(cells, 2, 4, 5, forest.Rules())
+    assert len(counted) == 1
+
+
+def test_a_block_reads_its_own_trees_alone(spark):
+    fitted = forest.fit_forest(forest_rows(spark), 2, 4, 6, forest.Rules())
+    one = fitted.pieces.where("tree >= 2 and tree < 3")
+    assert {r.f for r in one.selectExpr("input_file_name() f").collect()} < {r.f for r in fitted.pieces.selectExpr("input_file_name() f").collect()}
+    assert "PartitionFilters: [isnotnull(tree" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_vector_is_scored_once_however_many_rows_hold_it(spark, monkeypatch):
+    from cohortforge.operators import models
+
+    rows = [(i, "ab"[i % 2], "xyz"[i % 3], "L" + "ab"[i % 2]) for i in range(240)]
+    df = spark.createDataFrame(rows, "RECORD_ID long, f string, g string, y string")
+    scored, plain = [], forest.score_vectors
+    monkeypatch.setattr(forest, "score_vectors", lambda model, vectors, *rest: scored.append(vectors.count()) or plain(model, vectors, *rest))
+    _, pred, _ = models.fit_predict("random_forest", df, df.union(df), ["f", "g"], "y", numTrees=3)
+    got = pred.collect()
+    assert scored == [6] and len(got) == 480 and all(r.pred == r.y and abs(sum(r.prob) - 1) < 1e-12 for r in got)

@@ -165,3 +165,14 @@ def test_a_vector_is_scored_once_however_many_rows_hold_it(spark, monkeypatch):
     _, pred, _ = models.fit_predict("random_forest", df, df.union(df), ["f", "g"], "y", numTrees=3)
     got = pred.collect()
     assert scored == [6] and len(got) == 480 and all(r.pred == r.y and abs(sum(r.prob) - 1) < 1e-12 for r in got)
+
+
+def test_a_round_sends_its_margins_alone_and_drops_them(spark, monkeypatch):
+    from pyspark import Broadcast, SparkContext
+
+    sent, gone = [], []
+    send, drop = SparkContext.broadcast, Broadcast.destroy
+    monkeypatch.setattr(SparkContext, "broadcast", lambda sc, value: sent.append(type(value)) or send(sc, value))
+    monkeypatch.setattr(Broadcast, "destroy", lambda held, *rest: gone.append(1) or drop(held, *rest))
+    boosting.fit_boosted(forest_rows(spark), 2, 4, boosting.Boost(rounds=4, depth=2))
+    assert sent.count(boosting._State) == 1 and sent.count(np.ndarray) == 4 and len(gone) == 5

@@ -189,22 +189,30 @@ def _vectors(df: DataFrame, feats: Sequence[str]) -> DataFrame:
 
 
 def pool_entries(pool: DataFrame, feats: Sequence[str], id_col: str, label: str | None, per_vector: int) -> DataFrame:
-    """Pool as (feats, _pid, _plab, _pmult): the `per_vector` smallest ids of each distinct vector
-    (skew-safe k-smallest), with the vector's multiplicity."""
+    """Pool as (feats, _pid, _plab, _pmult): the `per_vector` smallest ids of each distinct vector, with the vector's multiplicity.
+    One id per vector is a partial/final aggregate (null is the smallest id, as in an ordering), more are a skew-safe k-smallest."""
     x = pool.select(*[F.col(f).cast("double").alias(f) for f in feats], F.col(id_col).cast("bigint").alias("_pid"),
                     (F.col(label).cast("string") if label else F.lit(None).cast("string")).alias("_plab"))
     x = x.dropna(subset=list(feats))
+    if per_vector == 1:
+        if label:
+            first = x.groupBy(*feats).agg(F.min(F.struct("_pid", "_plab")).alias("_f"), F.count("*").alias("_pmult"))
+            return first.select(*feats, F.col("_f._pid").alias("_pid"), F.col("_f._plab").alias("_plab"), "_pmult")
+        smallest = F.when(F.count("_pid") == F.count("*"), F.min("_pid"))
+        return x.groupBy(*feats).agg(smallest.alias("_pid"), F.count("*").alias("_pmult")).select(
+            *feats, "_pid", F.lit(None).cast("string").alias("_plab"), "_pmult")
     mult = x.groupBy(*feats).agg(F.count("*").alias("_pmult"))
     firsts = k_smallest_per_group(x, list(feats), ["_pid"], per_vector, "_pid").drop("_rank")
     return firsts.join(mult, list(feats), "inner")
 
 
 def nearest(queries: DataFrame, pool: DataFrame, feats: Sequence[str], q_id: str, p_id: str, label: str | None = None,
-            k: int = 1, block_rows: int = DEFAULT_BLOCK) -> DataFrame:
-    """For each query row: its k nearest pool rows (RANK 1..k, NN_ID, NN_DIST, NN_LABEL)."""
+            k: int = 1, block_rows: int = DEFAULT_BLOCK, entries: DataFrame | None = None) -> DataFrame:
+    """For each query row: its k nearest pool rows (RANK 1..k, NN_ID, NN_DIST, NN_LABEL). `entries`: the pool's `pool_entries`,
+    if they are at hand."""
     feats = list(feats)
     qv = _vectors(queries, feats)
-    pv = pool_entries(pool, feats, p_id, label, k)
+    pv = pool_entries(pool, feats, p_id, label, k) if entries is None else entries
     cand = _candidates(qv, pv, feats, k, block_rows)
     best = k_smallest_per_group(cand, feats, ["_d2", "_pid"], k, "_pid", salts=1, out="RANK")
     qrows = queries.select(F.col(q_id), *[F.col(f).cast("double").alias(f) for f in feats])

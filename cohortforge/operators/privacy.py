@@ -13,16 +13,18 @@ from ..session import bounded_broadcast, cut_lineage
 from .aggregates import combine_rows
 from .encode import standardize
 from .metrics import roc_auc
-from .neighbors import nearest
+from .neighbors import nearest, pool_entries
 from .rowindex import in_key_order, part_offsets
 from .sampling import sample_n
 
 DIST_DIGITS = 9  # distances are rounded before threshold comparisons (engine-independent ties)
 
 
-def nn_distances(queries: DataFrame, pool: DataFrame, feats: Sequence[str], q_id: str, p_id: str) -> DataFrame:
-    """Distance of every query row to its closest pool row, stored once: mean, threshold, leak and AUC read it."""
-    nb = nearest(queries, pool, feats, q_id, p_id, None, 1)
+def nn_distances(queries: DataFrame, pool: DataFrame, feats: Sequence[str], q_id: str, p_id: str,
+                 entries: DataFrame | None = None) -> DataFrame:
+    """Distance of every query row to its closest pool row, stored once: mean, threshold, leak and AUC read it. A pool that is
+    searched more than once passes its `entries`, stored."""
+    nb = nearest(queries, pool, feats, q_id, p_id, None, 1, entries=entries)
     return cut_lineage(nb.select(q_id, F.round("NN_DIST", DIST_DIGITS).alias("D")))
 
 
@@ -48,7 +50,8 @@ def nnd(train: DataFrame, synth: DataFrame, test: DataFrame, feats: Sequence[str
     """Standardize on train (population std, zero variance -> 1), then nearest-train distances of
     synthetic and of held-out real rows. Returns (synth distances, test distances)."""
     tr, sy, te = standardize(train.select(id_col, *feats), [synth.select(id_col, *feats), test.select(id_col, *feats)], feats)
-    return nn_distances(sy, tr, feats, id_col, id_col), nn_distances(te, tr, feats, id_col, id_col)
+    entries = cut_lineage(pool_entries(tr, feats, id_col, None, 1))
+    return nn_distances(sy, tr, feats, id_col, id_col, entries), nn_distances(te, tr, feats, id_col, id_col, entries)
 
 
 def leak_rate(synth_d: DataFrame, real_d: DataFrame, q: float = 0.05) -> DataFrame:
@@ -63,11 +66,13 @@ def mia_distance_auc(train: DataFrame, test: DataFrame, synth: DataFrame, feats:
     """Membership inference scored by closeness to the synthetic data: n members (train) and n
     non-members (test), n = min(|train|, |test|) unless given; score = -distance to the nearest
     synthetic row; AUC of members vs non-members."""
+    n_train, n_test = train.count(), test.count()
     if n is None:
-        n = min(train.count(), test.count())
-    mem = sample_n(train.select(id_col, *feats), n, tag="member", id_col=id_col).withColumn("_lab", F.lit(1))
-    non = sample_n(test.select(id_col, *feats), n, tag="nonmember", id_col=id_col).withColumn("_lab", F.lit(0))
-    both = mem.unionByName(non)
+        n = min(n_train, n_test)
+    mem = sample_n(train.select(id_col, *feats), n, tag="member", id_col=id_col, total=n_train).withColumn("_lab", F.lit(1))
+    non = sample_n(test.select(id_col, *feats), n, tag="nonmember", id_col=id_col, total=n_test).withColumn("_lab", F.lit(0))
+    # stored, as its vectors, its rows and its labels are read apart: otherwise both samples would be drawn three times
+    both = cut_lineage(mem.unionByName(non))
     d = nn_distances(both, synth.select(id_col, *feats), feats, id_col, id_col).join(both.select(id_col, "_lab"), id_col)
     return roc_auc(d.withColumn("_score", -F.col("D")), "_score", "_lab")
 
@@ -83,7 +88,8 @@ def privacy_score(auc: F.Column, mean_nnd: F.Column, leak: F.Column) -> dict:
 def privacy_report(train: DataFrame, synth: DataFrame, test: DataFrame, feats: Sequence[str], id_col: str = "RECORD_ID") -> DataFrame:
     """One row: P_MIA, P_NND, P_LEAKAGE, privacy_score, mean_nnd, real_nnd, leak_rate, mia_auc."""
     tr, sy, te = standardize(train.select(id_col, *feats), [synth.select(id_col, *feats), test.select(id_col, *feats)], feats)
-    sd, rd = nn_distances(sy, tr, feats, id_col, id_col), nn_distances(te, tr, feats, id_col, id_col)
+    entries = cut_lineage(pool_entries(tr, feats, id_col, None, 1))
+    sd, rd = nn_distances(sy, tr, feats, id_col, id_col, entries), nn_distances(te, tr, feats, id_col, id_col, entries)
     m = combine_rows(sd.agg(F.avg("D").alias("mean_nnd")), rd.agg(F.avg("D").alias("real_nnd")))
     lk = leak_rate(sd, rd).select(F.col("LEAK_RATE").alias("leak_rate"))
     auc = mia_distance_auc(tr, te, sy, feats, id_col).select(F.col("AUC").alias("mia_auc"))

@@ -56,11 +56,12 @@ def sample_stratified_n(df: DataFrame, label: str, n: int, tag: str = "stratn",
             .select(*df.columns))
 
 
-def sample_n(df: DataFrame, n: int, tag: str = "sample", id_col: str = "RECORD_ID") -> DataFrame:
+def sample_n(df: DataFrame, n: int, tag: str = "sample", id_col: str = "RECORD_ID", total: int | None = None) -> DataFrame:
     """min(n, len) rows without replacement: the n smallest u. Only rows below a bound on u that leaves a little
-    more than n of them are ranked; should they be fewer than n, all rows are."""
+    more than n of them are ranked; should they be fewer than n, all rows are. `total`: the number of rows, if it is known."""
     x = df.withColumn("_u", uniform(tag, id_col))
-    total = x.count()
+    if total is None:
+        total = x.count()
     if total <= n:
         return df
     near = x.where(F.col("_u") < (n + 8 * n ** 0.5 + 64) / total)

@@ -330,9 +330,10 @@ def _linked(documents: DataFrame, k: int, num: int, den: int, coords: int, match
     per_item = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total")).where("n > 1")
     shared = cut_lineage(per_item.select("item", "n", F.greatest(
         F.ceil(F.col("n") / CHUNK), F.ceil(F.col("total") * 8 / CHUNK_BYTES)).cast("int").alias("chunks")))
-    # values held by one signature only come first in the order and fill the prefix without being posted
+    # values held by one signature only come first in the order and fill the prefix without being posted. Spark takes a signature for one
+    # number, exploded or not, and would broadcast some thirty times what it reckons: both joins are told to merge
     prefix = (
-        items.join(shared, "item").groupBy("rep")
+        items.hint("merge").join(shared, "item").groupBy("rep")
         .agg(F.sort_array(F.collect_list(F.struct("n", "item", "chunks"))).alias("held"))
         .select("rep", F.slice("held", F.lit(1), F.greatest(
             F.lit(0), F.size("held") - F.lit(matches - 1))).alias("held"))
@@ -342,7 +343,7 @@ def _linked(documents: DataFrame, k: int, num: int, den: int, coords: int, match
     coords_posted = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x["item"], 32).cast("int"))))
     posted = cut_lineage(
-        prefix.withColumn("mask", coords_posted).join(classes.select("rep", "sig"), "rep")
+        prefix.withColumn("mask", coords_posted).join(classes.select("rep", "sig").hint("merge"), "rep")
         .select("rep", "sig", "mask", F.explode("held").alias("x"))
         .select(F.col("x.item").alias("item"), chunks.alias("chunks"),
                 F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"), "rep", "mask", "sig"))

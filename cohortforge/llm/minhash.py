@@ -396,7 +396,7 @@ def drop_near_duplicates(documents: DataFrame, k: int = 5, num: int = 80, den: i
         F.max(chosen).alias("chosen"), F.count(F.lit(1)).alias("rows"))
     odd = cut_lineage(per_row.where("not chosen or rows > 1").select(
         F.col("doc_id").alias(ids), F.col("digest").alias(digests), F.when(F.col("chosen"), F.col("rows")).alias(rows)))
-    odd = counted_broadcast(odd)  # the texts are shuffled only beside a table of more than 2^20 rows to drop
+    odd = counted_broadcast(odd, 1 << 19)  # some 150 bytes a row, held several times; beside a larger table the texts are shuffled
     marked = documents.withColumn(own, _text_digest()).join(
         odd, (F.col(own) == F.col(digests)) & F.col("doc_id").cast("long").eqNullSafe(F.col(ids)), "left")
     single = marked.where(F.col(digests).isNull())
